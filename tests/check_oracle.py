@@ -67,7 +67,7 @@ def main() -> None:
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "10g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "10g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

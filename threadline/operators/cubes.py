@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadline.functions import times
 from threadline.functions.pricing import hours_sum, money, usd_sum
 from threadline.operators.intervals import calendar
+from threadline.operators.ordered import position
 from threadline.operators.selection import Span, child_rows, real_sessions, session_kind
 
 # Attribution kinds and session kinds in their encoded order.
@@ -15,26 +16,6 @@ ATTRIBUTION_ORDER = ["agent", "mcp_server", "mcp_tool", "plugin", "skill"]
 KIND_ORDER = ["mine", "subagent", "automated"]
 
 
-def position(df: DataFrame, buckets: list[str], within: list[str], out: str) -> DataFrame:
-    """0-based position in the order of ``buckets`` then ``within``, without a global sort task.
-
-    Rows are counted per bucket, the counts are summed along the (few) buckets,
-    and only the order inside one bucket needs a sort.
-    """
-    keyed = df.withColumns({f"_b{i}": F.coalesce(F.col(b).cast("string"), F.lit("")) for i, b in enumerate(buckets)})
-    names = [f"_b{i}" for i in range(len(buckets))]
-    order = [F.min(b).alias(f"_o{i}") for i, b in enumerate(buckets)]
-    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *order)
-    along = Window.partitionBy(F.lit(0)).orderBy(*[F.col(f"_o{i}").asc_nulls_first() for i in range(len(buckets))])
-    start = sizes.select(
-        *names,
-        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy(*names).orderBy(*within)
-    placed = keyed.join(start, names).withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
-    return placed.drop("_start", *names)
-
-
 def dictionary(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Distinct values of a column with a dense id in first-seen order: ``value, id``.
 

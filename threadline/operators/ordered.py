@@ -82,3 +82,46 @@ def top_per_key(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame
         F.min_by(row, F.struct(*rank)).alias("_row")
     )
     return best.select("_row.*")
+
+
+def running_max(
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int
+) -> DataFrame:
+    """Largest ``value`` (any ordered type, structs included) among the EARLIER rows of the key."""
+    rows = with_chunk(df, F.col(order), width).withColumn("_value", value)
+    along = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(*keys, CHUNK)
+        .agg(F.max("_value").alias("_top"))
+        .withColumn("_carry", F.max("_top").over(along))
+        .drop("_top")
+    )
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried, [*keys, CHUNK]).withColumn("_local", F.max("_value").over(inside))
+    # greatest() skips NULLs but does not take structs, so compare by hand.
+    best = (
+        F.when(F.col("_local").isNull(), F.col("_carry"))
+        .when(F.col("_carry").isNull() | (F.col("_local") >= F.col("_carry")), F.col("_local"))
+        .otherwise(F.col("_carry"))
+    )
+    return joined.withColumn(out, best).drop("_value", "_carry", "_local", CHUNK)
+
+
+def position(df: DataFrame, buckets: list[str], within: list[str], out: str) -> DataFrame:
+    """0-based position in the order of ``buckets`` then ``within``, without a global sort task.
+
+    Rows are counted per bucket, the counts are summed along the (few) buckets,
+    and only the order inside one bucket needs a sort.
+    """
+    keyed = df.withColumns({f"_b{i}": F.coalesce(F.col(b).cast("string"), F.lit("")) for i, b in enumerate(buckets)})
+    names = [f"_b{i}" for i in range(len(buckets))]
+    order = [F.min(b).alias(f"_o{i}") for i, b in enumerate(buckets)]
+    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *order)
+    along = Window.partitionBy(F.lit(0)).orderBy(*[F.col(f"_o{i}").asc_nulls_first() for i in range(len(buckets))])
+    start = sizes.select(
+        *names,
+        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    )
+    inside = Window.partitionBy(*names).orderBy(*within)
+    placed = keyed.join(start, names).withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
+    return placed.drop("_start", *names)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadline.functions.once import computed_once
+
 ZONE = "Australia/Melbourne"
 BLOCK_SECONDS = 259_200
 # Model ids the stand-in entries cycle through.
@@ -184,7 +186,8 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule must drop.
     """
     e = shaped_events(spark, sf_dir)
-    lines = e.select("u", "k", "stem", "uuid", "sub", F.col("event_id").alias("line_no"), _entry_json(e).alias("raw"))
+    keyed = computed_once(e, {"raw": _entry_json(e)})
+    lines = keyed.select("u", "k", "stem", "uuid", "sub", F.col("event_id").alias("line_no"), "raw")
     own = lines.withColumn(
         "path",
         F.when(F.col("u") % 2 == 0, transcript_path("archive", F.col("u"), F.col("stem"), F.col("uuid"), F.col("sub")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadline.functions.once import computed_once
+
 # Archive folders that hold no sessions.
 RESERVED_FOLDERS = ["locks", "catalog.sqlite", "_orphaned-subagents", "_not-sessions"]
 
@@ -58,7 +60,7 @@ def parsed_line(raw: Column) -> Column:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their VARIANT; a malformed line keeps its row with ``v`` NULL."""
     kept = lines.where(F.length(F.btrim(F.col("raw"), F.lit(" \t\n\r\f\x0b"))) > 0)
-    return kept.withColumn("v", parsed_line(F.col("raw")))
+    return computed_once(kept, {"v": parsed_line(F.col("raw"))})
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], glob: str = "*.json") -> DataFrame:
