@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.plans import catalog_queries, stats_queries
+from threadline.plans import catalog_queries, stats_queries, talk_queries
 
-_MODULES = (stats_queries, catalog_queries)
+_MODULES = (stats_queries, catalog_queries, talk_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
