@@ -384,3 +384,18 @@ def hidden_changes(versions: DataFrame, rederived: DataFrame) -> DataFrame:
         "verdict",
         F.when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("hidden"), "flipped").otherwise("unchanged"),
     ).drop("_now")
+
+
+def rebuild_catalogue(folded: DataFrame, payload: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalogue rows from payloads alone, oldest first, and the payloads that could not be read.
+
+    ``folded`` is the parse fold per ``path``; ``payload`` is ``path, hash, size_bytes, captured_at``.
+    """
+    joined = payload.join(folded, "path", "left")
+    unreadable = joined.where("line_count is null or line_count = skipped_lines").select("path", "hash")
+    good = joined.where("line_count > skipped_lines")
+    once = top_per_key(good, ["hash"], [F.coalesce("last_ts", "captured_at"), F.col("path")])
+    day = F.substring(F.coalesce("last_ts", "captured_at"), 1, 10)
+    ordered = position(once.withColumn("_day", day).withColumn("_when", F.coalesce("last_ts", "captured_at")), ["_day"], ["_when", "path"], "_at")
+    rows = ordered.withColumn("id", F.col("_at") + 1).drop("_day", "_when", "_at")
+    return short_keys(supersedes(rows)), unreadable

@@ -131,3 +131,50 @@ def calendar(days: DataFrame, column: str) -> DataFrame:
     return spread.select(F.date_format("d", "yyyy-MM-dd").alias("local_date"))
 
 
+
+
+def pack_lanes(segments: DataFrame, day: str = "local_date", start: str = "start_second", end: str = "end_second") -> DataFrame:
+    """Lane of every segment of a day: the lowest lane free at its start, in start order.
+
+    Greedy packing is one sequential pass per day, so it runs per group in
+    Arrow batches. A day is first cut where no segment is open: the lanes of
+    such stretches are independent, which splits a crowded day into groups.
+    """
+    import heapq
+
+    import pandas as pd
+
+    edges = segments.select(
+        day, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("_e")
+    ).groupBy(day, F.col("_e.t").alias("t")).agg(F.sum("_e.d").alias("net"), F.sum(F.greatest("_e.d", F.lit(0))).alias("opened"))
+    order = Window.partitionBy(day).orderBy("t")
+    live = edges.withColumn("_before", F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A stretch begins where segments open and nothing was open before.
+    begins = live.where("_before = 0 and opened > 0").select(day, F.col("t").alias("_from")).withColumn(
+        "_to", F.lead("_from").over(Window.partitionBy(day).orderBy("_from"))
+    )
+    placed = segments.join(
+        begins, (segments[day] == begins[day]) & (segments[start] >= F.col("_from"))
+        & (F.col("_to").isNull() | (segments[start] < F.col("_to")))
+    ).drop(begins[day])
+    fields = [f for f in segments.schema.fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", lane int"
+    names = [f.name for f in fields]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([start, end, *names], kind="stable")
+        busy: list[tuple[float, int]] = []
+        free: list[int] = []
+        lanes, used = [], 0
+        for s, e in zip(pdf[start], pdf[end], strict=True):
+            while busy and busy[0][0] <= s:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if free:
+                lane = heapq.heappop(free)
+            else:
+                lane, used = used, used + 1
+            heapq.heappush(busy, (e, lane))
+            lanes.append(lane)
+        return pdf[names].assign(lane=pd.Series(lanes, index=pdf.index, dtype="int32"))
+
+    return placed.groupBy(day, "_from").applyInPandas(pack, schema)
