@@ -225,8 +225,7 @@ def resolve_projects(captures: DataFrame, alias: DataFrame, project: DataFrame)
     # A path kept by its own first claimant makes a new project; any other path joins its owner.
     is_self = (F.col("own_kind") == F.col("kind")) & (F.col("own_claim") == F.col("claim"))
     label_path = F.when(F.col("kind") == "cwd", F.col("claim")).otherwise(F.translate("claim", "-", "/"))
-    seeds = own.where(is_self).withColumn("bucket", F.floor(F.col("first_id") / ID_CHUNK))
-    numbered = position(seeds, ["bucket"], ["first_id", "claim"], "_at")
+    numbered = position(own.where(is_self), ["first_id", "claim"], "_at")
     highest = project.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     created = numbered.select(
         (highest + F.col("_at") + 1).alias("id"),
@@ -395,7 +394,6 @@ def rebuild_catalogue(folded: DataFrame, payload: DataFrame) -> tuple[DataFrame,
     unreadable = joined.where("line_count is null or line_count = skipped_lines").select("path", "hash")
     good = joined.where("line_count > skipped_lines")
     once = top_per_key(good, ["hash"], [F.coalesce("last_ts", "captured_at"), F.col("path")])
-    day = F.substring(F.coalesce("last_ts", "captured_at"), 1, 10)
-    ordered = position(once.withColumn("_day", day).withColumn("_when", F.coalesce("last_ts", "captured_at")), ["_day"], ["_when", "path"], "_at")
-    rows = ordered.withColumn("id", F.col("_at") + 1).drop("_day", "_when", "_at")
+    ordered = position(once.withColumn("_when", F.coalesce("last_ts", "captured_at")), ["_when", "path"], "_at")
+    rows = ordered.withColumn("id", F.col("_at") + 1).drop("_when", "_at")
     return short_keys(supersedes(rows)), unreadable

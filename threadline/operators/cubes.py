@@ -19,12 +19,10 @@ KIND_ORDER = ["mine", "subagent", "automated"]
 def dictionary(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Distinct values of a column with a dense id in first-seen order: ``value, id``.
 
-    Ids are given to distinct names (labels, models, versions), which are few
-    next to the rows; the rows themselves are reduced by ``min`` first.
+    Rows are reduced to one per distinct value by ``min`` before anything is sorted.
     """
     first = df.groupBy(F.coalesce(column, F.lit("")).alias("value")).agg(F.min(F.struct(*order)).alias("_at"))
-    ranked = Window.partitionBy(F.lit(0)).orderBy("_at", "value")
-    return first.select("value", (F.row_number().over(ranked) - 1).cast("bigint").alias("id"))
+    return position(first, ["_at", "value"], "id").select("value", F.col("id").cast("bigint").alias("id"))
 
 
 def _encode(df: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
@@ -33,7 +31,7 @@ def _encode(df: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
 
 
 def _ordered_sessions(session: DataFrame, span: Span) -> DataFrame:
-    return position(real_sessions(session, span), ["local_date", "local_hour"], ["key"], "row_id")
+    return position(real_sessions(session, span), FIRST_SEEN, "row_id")
 
 
 def _kind_id() -> Column:

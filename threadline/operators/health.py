@@ -31,7 +31,8 @@ OVERDUE = 86400
 JOB_GRACE = 120
 CONTINUITY = 3600
 WARN_AFTER, ALERT_AFTER = 1800, 7200
-LOG_CHUNK = 1 << 20
+# Width in microseconds of the time chunks an ordered pass over checks is cut into.
+CHECK_CHUNK = 3_600_000_000
 
 
 def _at(now: str) -> Column:
@@ -392,7 +393,7 @@ def unreadable_heads(head: DataFrame, files: DataFrame) -> DataFrame:
 
 def backlog_growth(checks: DataFrame, key: str = "monitor") -> DataFrame:
     """Items per hour since the previous check; NULL for the first and below about 36 seconds."""
-    seen = previous_row(checks, [key], "order_us", ["ts", "backlog"], 86_400_000_000)
+    seen = previous_row(checks, [key], "order_us", ["ts", "backlog"], CHECK_CHUNK)
     hours = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(3.6e9)
     rate = F.when(hours > 0.01, (F.col("backlog") - F.col("prev_backlog")) / hours)
     return seen.select(*checks.columns, rate.alias("per_hour"))
@@ -404,11 +405,11 @@ def outages(checks: DataFrame, key: str = "monitor") -> DataFrame:
     A failing check carries the outage of the one before it if that failed too,
     no longer than the continuity limit ago.
     """
-    seen = previous_row(checks, [key], "order_us", ["ts", "broken"], 86_400_000_000)
+    seen = previous_row(checks, [key], "order_us", ["ts", "broken"], CHECK_CHUNK)
     gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
     carried = F.coalesce(F.col("prev_broken") & (gap <= CONTINUITY * 1_000_000), F.lit(False))
     opened = seen.withColumn("_open", F.when(F.col("broken") & ~carried, F.col("ts")))
-    tracked = running_max(opened, [key], "order_us", F.col("_open"), "_since", 86_400_000_000)
+    tracked = running_max(opened, [key], "order_us", F.col("_open"), "_since", CHECK_CHUNK)
     since = F.coalesce("_open", "_since")
     failing = tracked.where("broken").withColumn("broken_since", since)
     seconds = (F.unix_micros("ts") - F.unix_micros("broken_since")) / F.lit(1e6)

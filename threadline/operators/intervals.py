@@ -40,36 +40,36 @@ def clip_to_days(spans: DataFrame, zone: str, begin: str = "begin", end: str = "
     return cut.select(*kept, F.date_format("_day", "yyyy-MM-dd").alias("local_date"), "lo", "hi", "is_start")
 
 
-def sweep_days(pieces: DataFrame, slot_seconds: int = 900) -> DataFrame:
-    """Merged length and peak overlap per day, in one sweep over span edges.
+def live_edges(spans: DataFrame, day: str, lo: str, hi: str, slot: int) -> DataFrame:
+    """Edges of the spans of each day: ``t, before, live, until`` and ``opened``.
 
     Edges are summed per instant before anything is ordered, so a busy day
-    costs its number of distinct instants; the ordered pass then runs per slot
-    of the day, with the running count carried from slot to slot. Summing the
-    edges of one instant is what makes an end come before a start there, and a
-    zero-length span count for nothing.
+    costs its number of distinct instants; the ordered pass then runs per
+    ``slot`` of the day, with the running count carried from slot to slot.
+    Summing the edges of one instant is what makes an end come before a start
+    there, and a zero-length span count for nothing.
     """
     edges = (
-        pieces.select(
-            "local_date",
+        spans.select(
+            F.col(day),
             F.explode(
                 F.array(
-                    F.struct(F.col("lo").alias("t"), F.lit(1).alias("d")),
-                    F.struct(F.col("hi").alias("t"), F.lit(-1).alias("d")),
+                    F.struct(F.col(lo).alias("t"), F.lit(1).alias("d")),
+                    F.struct(F.col(hi).alias("t"), F.lit(-1).alias("d")),
                 )
             ).alias("_e"),
         )
-        .groupBy("local_date", F.col("_e.t").alias("t"))
-        .agg(F.sum("_e.d").alias("net"))
-        .withColumn("slot", F.floor(F.col("t") / F.lit(slot_seconds * MICROS_PER_SECOND)))
+        .groupBy(day, F.col("_e.t").alias("t"))
+        .agg(F.sum("_e.d").alias("net"), F.sum(F.greatest("_e.d", F.lit(0))).alias("opened"))
+        .withColumn("_slot", F.floor(F.col("t") / F.lit(slot)))
     )
-    by_slot = Window.partitionBy("local_date").orderBy("slot")
+    by_slot = Window.partitionBy(day).orderBy("_slot")
     carried = (
-        edges.groupBy("local_date", "slot")
+        edges.groupBy(day, "_slot")
         .agg(F.sum("net").alias("_net"), F.min("t").alias("_first"))
         .withColumns(
             {
-                "_before": F.coalesce(
+                "_carry": F.coalesce(
                     F.sum("_net").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
                 ),
                 "_after": F.lead("_first").over(by_slot),
@@ -77,14 +77,18 @@ def sweep_days(pieces: DataFrame, slot_seconds: int = 900) -> DataFrame:
         )
         .drop("_net", "_first")
     )
-    inside = Window.partitionBy("local_date", "slot").orderBy("t")
-    live = edges.join(carried, ["local_date", "slot"]).withColumns(
-        {
-            "live": F.col("_before") + F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-            "until": F.coalesce(F.lead("t").over(inside), F.col("_after"), F.col("t")),
-        }
+    inside = Window.partitionBy(day, "_slot").orderBy("t")
+    live = F.col("_carry") + F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    swept = edges.join(carried, [day, "_slot"]).withColumns(
+        {"live": live, "until": F.coalesce(F.lead("t").over(inside), F.col("_after"), F.col("t"))}
     )
-    return live.groupBy("local_date").agg(
+    return swept.select(day, "t", (F.col("live") - F.col("net")).alias("before"), "live", "until", "opened")
+
+
+def sweep_days(pieces: DataFrame, slot_seconds: int = 900) -> DataFrame:
+    """Merged length and peak overlap per day, in one sweep over span edges."""
+    swept = live_edges(pieces, "local_date", "lo", "hi", slot_seconds * MICROS_PER_SECOND)
+    return swept.groupBy("local_date").agg(
         F.sum(F.when(F.col("live") > 0, F.col("until") - F.col("t")).otherwise(0)).alias("merged_micros"),
         F.greatest(F.max("live"), F.lit(0)).alias("max_concurrent"),
     )
@@ -133,48 +137,56 @@ def calendar(days: DataFrame, column: str) -> DataFrame:
 
 
 
-def pack_lanes(segments: DataFrame, day: str = "local_date", start: str = "start_second", end: str = "end_second") -> DataFrame:
+def pack_lanes(
+    segments: DataFrame, day: str = "local_date", start: str = "start_second", end: str = "end_second",
+    slot_seconds: int = 900,
+) -> DataFrame:
     """Lane of every segment of a day: the lowest lane free at its start, in start order.
 
-    Greedy packing is one sequential pass per day, so it runs per group in
-    Arrow batches. A day is first cut where no segment is open: the lanes of
-    such stretches are independent, which splits a crowded day into groups.
+    A day is first cut where no segment is open, because the lanes of such
+    stretches do not depend on each other. Inside a stretch each lane depends
+    on all before it, so a stretch is one ordered pass; it runs over sorted,
+    spilled partitions in Arrow batches and keeps only the open lanes in
+    memory, never the stretch.
     """
     import heapq
 
     import pandas as pd
 
-    edges = segments.select(
-        day, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("_e")
-    ).groupBy(day, F.col("_e.t").alias("t")).agg(F.sum("_e.d").alias("net"), F.sum(F.greatest("_e.d", F.lit(0))).alias("opened"))
-    order = Window.partitionBy(day).orderBy("t")
-    live = edges.withColumn("_before", F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A stretch begins where segments open and nothing was open before.
-    begins = live.where("_before = 0 and opened > 0").select(day, F.col("t").alias("_from")).withColumn(
-        "_to", F.lead("_from").over(Window.partitionBy(day).orderBy("_from"))
+    swept = live_edges(segments, day, start, end, slot_seconds)
+    begins = swept.where("before = 0 and opened > 0").select(day, F.col("t").alias("_from"))
+    # A stretch runs to the next begin; both sides meet in the slot the begin falls in, or a later one.
+    marks = begins.select(day, F.col("_from").alias(start), F.lit(True).alias("_mark"))
+    rows = segments.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    slotted = rows.withColumn("_slot", F.floor(F.col(start) / F.lit(slot_seconds)))
+    # The newest begin at or before a segment, carried over slots as in the sweep.
+    last = slotted.groupBy(day, "_slot").agg(F.max(F.when(F.col("_mark"), F.col(start))).alias("_seen"))
+    earlier = Window.partitionBy(day).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(day, "_slot", F.max("_seen").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(day, "_slot").orderBy(start, F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    found = slotted.join(carried, [day, "_slot"]).withColumn(
+        "_stretch", F.coalesce(F.max(F.when(F.col("_mark"), F.col(start))).over(inside), F.col("_carry"))
     )
-    placed = segments.join(
-        begins, (segments[day] == begins[day]) & (segments[start] >= F.col("_from"))
-        & (F.col("_to").isNull() | (segments[start] < F.col("_to")))
-    ).drop(begins[day])
-    fields = [f for f in segments.schema.fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", lane int"
-    names = [f.name for f in fields]
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, *names], kind="stable")
-        busy: list[tuple[float, int]] = []
-        free: list[int] = []
-        lanes, used = [], 0
-        for s, e in zip(pdf[start], pdf[end], strict=True):
-            while busy and busy[0][0] <= s:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                lane = heapq.heappop(free)
-            else:
-                lane, used = used, used + 1
-            heapq.heappush(busy, (e, lane))
-            lanes.append(lane)
-        return pdf[names].assign(lane=pd.Series(lanes, index=pdf.index, dtype="int32"))
-
-    return placed.groupBy(day, "_from").applyInPandas(pack, schema)
+    names = segments.columns
+    kept = found.where(~F.col("_mark")).select(*names, "_stretch")
+    ordered = kept.repartition(day, "_stretch").sortWithinPartitions(day, "_stretch", start, end, *names)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema.fields)
+
+    def pack(batches):
+        here, busy, free, used = None, [], [], 0
+        for pdf in batches:
+            lanes = []
+            for d, stretch, s, e in zip(pdf[day], pdf["_stretch"], pdf[start], pdf[end], strict=True):
+                if (d, stretch) != here:
+                    here, busy, free, used = (d, stretch), [], [], 0
+                while busy and busy[0][0] <= s:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    lane = heapq.heappop(free)
+                else:
+                    lane, used = used, used + 1
+                heapq.heappush(busy, (e, lane))
+                lanes.append(lane)
+            yield pdf[names].assign(lane=pd.Series(lanes, index=pdf.index, dtype="int32"))
+
+    return ordered.mapInPandas(pack, f"{fields}, lane int")

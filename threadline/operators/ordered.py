@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.runtime import new_run_dir, stage
+
 CHUNK = "_chunk"
 
 
@@ -107,21 +109,24 @@ def running_max(
     return joined.withColumn(out, best).drop("_value", "_carry", "_local", CHUNK)
 
 
-def position(df: DataFrame, buckets: list[str], within: list[str], out: str) -> DataFrame:
-    """0-based position in the order of ``buckets`` then ``within``, without a global sort task.
+def position(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """0-based position of every row in a total order, with no task holding more than its share.
 
-    Rows are counted per bucket, the counts are summed along the (few) buckets,
-    and only the order inside one bucket needs a sort.
+    The rows are range partitioned and sorted, and the sorted frame is written
+    once: a range partitioning samples its input, so only a stored one gives
+    the same parts when it is read for the sizes and again for the rows.
+    A row's position is the size of the parts before it plus its place in its own.
+    ``order`` must be unique, or ties fall in any order.
     """
-    keyed = df.withColumns({f"_b{i}": F.coalesce(F.col(b).cast("string"), F.lit("")) for i, b in enumerate(buckets)})
-    names = [f"_b{i}" for i in range(len(buckets))]
-    order = [F.min(b).alias(f"_o{i}") for i, b in enumerate(buckets)]
-    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *order)
-    along = Window.partitionBy(F.lit(0)).orderBy(*[F.col(f"_o{i}").asc_nulls_first() for i in range(len(buckets))])
-    start = sizes.select(
-        *names,
-        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = placed.withColumn("_mid", F.monotonically_increasing_id())
+    rows = stage(marked, new_run_dir(spark, "position")).withColumns(
+        {"_part": F.shiftright("_mid", 33), "_in_part": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
     )
-    inside = Window.partitionBy(*names).orderBy(*within)
-    placed = keyed.join(start, names).withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
-    return placed.drop("_start", *names)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # One row per partition of the sort: always small.
+    joined = rows.join(F.broadcast(starts), "_part")
+    return joined.withColumn(out, F.col("_start") + F.col("_in_part")).drop("_part", "_start", "_in_part", "_mid")

@@ -15,6 +15,10 @@ _REQUIRED = {
 }
 
 
+# Scratch folders of local sessions that name none.
+_local_roots: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on; safe to call repeatedly."""
     for key, value in _REQUIRED.items():
@@ -33,9 +37,10 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="threadline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="threadline-")
+    return _local_roots[app]
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
