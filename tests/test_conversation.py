@@ -124,7 +124,7 @@ def test_every_secret_family_is_found(spark):
 
 def test_redaction_order_and_bad_patterns(spark):
     rules = R.redaction_patterns(["ann", "x*", "(", ""], home="/home/bob", username="bob", hostname="box")
-    assert [label for label, _ in rules] == ["ann", "email", "home-dir", "username", "hostname"]
+    assert [r.label for r in rules] == ["ann", "email", "home-dir", "username", "hostname"]
     df = spark.createDataFrame([("ann@example.org /home/bob/bobby bob box",)], "t string")
     r = R.redact_text(df, "t", rules).first()
     assert r.t == "[REDACTED]@example.org [REDACTED]/bobby [REDACTED] [REDACTED]"

@@ -70,3 +70,20 @@ def union_text(v: Column, path: str) -> Column:
     """The string arm of a field that is either a string or an array."""
     scalar = items(v, path).isNull() & fields(v, path).isNull()
     return F.when(scalar, text(v, path))
+
+
+# ---- fields already read as a small VARIANT of their own ----------------------
+
+
+def leaf_word(c: Column) -> Column:
+    """Stripped text of a scalar VARIANT, NULL when blank or not a string."""
+    return F.nullif(strip(F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))), F.lit(""))
+
+
+def leaf_true(c: Column) -> Column:
+    value = F.when(F.schema_of_variant(c) == "BOOLEAN", F.try_variant_get(c, "$", "boolean"))
+    return F.coalesce(value, F.lit(False))
+
+
+def leaf_integer(c: Column) -> Column:
+    return F.when(F.schema_of_variant(c) == "BIGINT", F.try_variant_get(c, "$", "bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ def discover(listing: DataFrame, archive_at: str = "/archive/", live_at: str = "
 def entries_of(lines: DataFrame, winners: DataFrame, prices: PriceList | None = None) -> DataFrame:
     """Priced, typed entries of the winning files only; losers are dropped before parsing."""
     chosen = lines.join(winners.select("path", "key"), "path")
-    return priced_entries(extract_entries(T.parse_lines(chosen)), prices)
+    return priced_entries(extract_entries(chosen), prices)
 
 
 def build_facts(
@@ -54,12 +55,22 @@ def build_facts(
     found = discover(listing)
     winners = stage(keep_largest(found), f"{root}/listing")
     entry = stage(entries_of(lines, winners, prices), f"{root}/entry")
-    facet_counts = stage(S.facets(entry), f"{root}/facet")
-    session = stage(S.sessions(entry, facet_counts, winners, zone, idle_gap), f"{root}/session")
-    turn = stage(S.turns(entry, line_chunk), f"{root}/turn")
-    tool_call = stage(S.tool_calls(entry), f"{root}/tool_call")
+
+    # Everything below reads only the staged entries; independent writes are
+    # submitted together so that small jobs fill each other's gaps.
+    def fold_sessions() -> tuple[DataFrame, DataFrame, DataFrame]:
+        counts = stage(S.facets(entry), f"{root}/facet")
+        table = stage(S.sessions(entry, counts, winners, zone, idle_gap), f"{root}/session")
+        overlap = stage(overlap_by_day(session_spans(table), zone), f"{root}/overlap_day")
+        return counts, table, overlap
+
+    with ThreadPoolExecutor(3) as pool:
+        folded = pool.submit(fold_sessions)
+        turns = pool.submit(lambda: stage(S.turns(entry, line_chunk), f"{root}/turn"))
+        calls = pool.submit(lambda: stage(S.tool_calls(entry), f"{root}/tool_call"))
+        facet_counts, session, overlap = folded.result()
+        turn, tool_call = turns.result(), calls.result()
     attribution = stage(S.attribution(facet_counts), f"{root}/attribution")
-    overlap = stage(overlap_by_day(session_spans(session), zone), f"{root}/overlap_day")
     meta = spark.range(1).select(
         F.lit(zone).alias("local_timezone"), F.lit(PRICES_READ_ON).alias("prices_read_on")
     )

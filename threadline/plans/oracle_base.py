@@ -212,10 +212,10 @@ def overlap_cte(where: str = "TRUE", name: str = "overlap_day") -> str:
   SELECT CAST(d AS DATE) AS d, greatest(a, d) AS lo, least(z, d + INTERVAL 1 DAY) AS hi, d = date_trunc('day', a) AS start
   FROM (SELECT a, z, unnest(generate_series(CAST(date_trunc('day', a) AS TIMESTAMP), CAST(date_trunc('day', z) AS TIMESTAMP), INTERVAL 1 DAY)) AS d
         FROM {p}_span WHERE z >= a)),
-{p}_pc AS (SELECT d, epoch_us(lo) AS lo, epoch_us(hi) AS hi, start FROM {p}_cut WHERE lo < hi OR start),
+{p}_pc AS (SELECT d, epoch_us(lo) AS lo, epoch_us(hi) AS hi, start, row_number() OVER (ORDER BY d, lo, hi) AS rid FROM {p}_cut WHERE lo < hi OR start),
 {p}_isl AS (
-  SELECT d, lo, hi, sum(fresh) OVER (PARTITION BY d ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM (
-    SELECT d, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY d ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT d, lo, hi, sum(fresh) OVER (PARTITION BY d ORDER BY lo, hi, rid ROWS UNBOUNDED PRECEDING) AS grp FROM (
+    SELECT d, lo, hi, rid, CASE WHEN lo <= max(hi) OVER (PARTITION BY d ORDER BY lo, hi, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
                            THEN 0 ELSE 1 END AS fresh FROM {p}_pc)),
 {p}_mrg AS (SELECT d, sum(len) AS merged FROM (SELECT d, grp, max(hi) - min(lo) AS len FROM {p}_isl GROUP BY d, grp) GROUP BY d),
 {p}_pk AS (

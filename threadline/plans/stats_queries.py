@@ -18,7 +18,7 @@ from threadline.operators.selection import Span
 from threadline.plans import etl
 from threadline.plans import standins as X
 from threadline.plans.oracle_base import IDLE_GAP, hours, over_facts, overlap_cte, total, usd
-from threadline.runtime import prepare
+from threadline.runtime import new_run_dir, prepare, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,8 @@ def facts_for(spark: SparkSession, sf_dir: str) -> etl.Facts:
     prepare(spark)
     cache = _built.setdefault(spark, {})
     if sf_dir not in cache:
-        lines = X.transcript_lines(spark, sf_dir)
+        # The lines stand for files, so they are laid down once and then read.
+        lines = stage(X.transcript_lines(spark, sf_dir), f"{new_run_dir(spark, 'lines')}/jsonl")
         listing = lines.groupBy("path").agg(F.sum(F.octet_length("raw") + 1).alias("size_bytes"))
         cache[sf_dir] = etl.build_facts(spark, lines, listing, X.ZONE, idle_gap=IDLE_GAP)
     return cache[sf_dir]

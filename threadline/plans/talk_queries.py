@@ -187,7 +187,7 @@ SELECT path, sha256(path) AS source_hash, prompts, tool_calls, coalesce((SELECT
 _EMAIL = R.EMAIL
 
 
-def _patterns() -> list[tuple[str, str]]:
+def _patterns() -> list[R.Rule]:
     return R.redaction_patterns(["[0-9]{3}-[0-9]{4}", "x*", "("], home="/home/ann", username="the", hostname="erth")
 
 
