@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the operators need for right results.
+# Runtime settings the operators rely on.
 _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object with a repeated key is legal input; the last value wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JVM never compiles a method above 8,000 bytes of bytecode; such wide
+    # generated stages run slower than the same operators without generation.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
