@@ -215,14 +215,17 @@ def latest_repair_summary(records: DataFrame) -> DataFrame:
     return last.where("x is not null").select("x.*")
 
 
-def dead_hook_runs(hook_records: DataFrame, versions: DataFrame, capture_records: DataFrame, now: str) -> DataFrame:
+def dead_hook_runs(
+    hook_records: DataFrame, versions: DataFrame, capture_records: DataFrame, now: str, writer: str = "session-hook"
+) -> DataFrame:
     """Hook runs that started and never ended, with a severity.
 
     A run whose session is catalogued is ``captured``; one that a completed
-    sweep has missed since is ``blocking``; any other is a ``warning``.
+    sweep has missed since is ``blocking``; any other is a ``warning``. Records
+    of another ``writer`` than the hook do not count; a record without one does.
     """
     mine = hook_records.where(
-        (F.coalesce("source", F.lit("ccw-hook")) == "ccw-hook")
+        (F.coalesce("source", F.lit(writer)) == writer)
         & F.col("session").isNotNull()
         & (F.col("ts") >= _ago(now, LOG_WINDOW))
         & (F.col("status").isNull() | (F.col("status") != "dispatched"))

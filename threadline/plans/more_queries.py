@@ -19,6 +19,7 @@ from threadline.operators import selection as P
 from threadline.plans import standins as X
 from threadline.plans import standins_catalog as Z
 from threadline.plans import stats_queries as Q
+from threadline.plans.catalog_queries import _LOG
 
 from threadline.plans.oracle_base import FACTS_CTE, IDLE_GAP, over_facts
 from threadline.plans.talk_queries import _TALK, talk_for
@@ -110,7 +111,7 @@ def _project_docs(s: SparkSession, d: str) -> DataFrame:
 
 _add("s14_project_sidecars", lambda s, d: L.project_sidecars(_project_docs(s, d)), """
 SELECT '/arch/' || n_name AS folder, n_name AS label, unnest(['/home/' || n_name, '/srv']) AS alias FROM nation WHERE n_nationkey % 5 <> 4""")
-_add("k11_split_history", lambda s, d: L.history_rows(Z.history_lines(s, d)).select("session_uuid", "line_no", F.length("raw").cast("bigint").alias("n_chars")), None)
+_add("k11_split_history", lambda s, d: L.history_rows(Z.history_lines(s, d)).select("session_uuid", "line_no"), f"WITH {_LOG} SELECT session_uuid, n AS line_no FROM hist")
 
 # ---- longest prefix --------------------------------------------------------------
 
@@ -358,3 +359,134 @@ _add("t05_stream_heads", _t05, """SELECT doc_id AS id, source || '-' || lang AS
 QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY coalesce(CASE WHEN doc_id % 13 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id * 37 % 200 AS INT), '%Y-%m-%d') END, '2024-03-01') DESC, doc_id DESC) = 1""")
 _add("t06_stream_daily", lambda s, d: _complete(s, J.daily_counts(_stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))), "t06"),
      "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
+
+# ---- single aspects of the session fold ---------------------------------------------------------
+
+
+def _facts(name: str, run, sql: str | None) -> None:
+    _add(name, lambda s, d: run(Q.facts_for(s, d)), sql)
+
+
+_FIRST = "key, session_uuid, cwd, git_branch, slug_title, cc_version, entrypoint, user_type, agent_id, ai_title, custom_title, first_ts, last_ts"
+_facts("a02_a03_a04_first_last", lambda f: f.session.select(*_FIRST.split(", ")), over_facts(f"SELECT {_FIRST} FROM session"))
+_MAPS = "key, primary_model, models_json, cc_versions_json, effort_json, service_tiers_json, speeds_json, permission_modes_json, prompt_sources_json, entry_types_json, refusal_categories_json"
+_facts("a05_a06_frequency_maps", lambda f: f.session.select(*_MAPS.split(", ")), over_facts(f"SELECT {_MAPS} FROM session"))
+_FLAGS = "key, is_sidechain, interrupted_by_shutdown, n_prompt_ids, n_user_prompts, n_interrupts, n_tool_results"
+_facts("a07_a08_f12_f14_flags", lambda f: f.session.select(*_FLAGS.split(", ")), over_facts(f"SELECT {_FLAGS} FROM session"))
+_facts("f09_usage", lambda f: f.entry.where("is_reply").select(
+        "line_no", "input_tokens", "output_tokens", "cache_write_5m", "cache_write_1h", "cache_write_declared", "cache_read", "thinking_tokens", "service_tier", "speed"),
+     over_facts("""SELECT event_id AS line_no, tin AS input_tokens, tout AS output_tokens, cw5 AS cache_write_5m, cw1h AS cache_write_1h, decl AS cache_write_declared,
+  cread AS cache_read, think AS thinking_tokens, tier AS service_tier, speed FROM e4 WHERE is_reply"""))
+_facts("f03_f04_local_seconds", lambda f: f.session.where("first_ts is not null").select(
+        "key", times.offset_text_to_minutes(F.col("tz_offset")).alias("minutes"),
+        times.local_seconds_of_day(times.parse_instant(F.col("first_ts")), F.col("tz_offset")).alias("second"),
+        times.duration_seconds(times.parse_instant(F.col("first_ts")), times.parse_instant(F.col("last_ts"))).alias("duration")), over_facts("""
+SELECT key, 660 AS minutes, CAST(hour(t) * 3600 + minute(t) * 60 + second(t) AS INT) AS second, CAST(round_even((epoch_us(z) - epoch_us(t)) / 1e6, 0) AS BIGINT) AS duration
+FROM (SELECT key, CAST(first_ts AS TIMESTAMP) + INTERVAL 11 HOUR AS t, CAST(last_ts AS TIMESTAMP) + INTERVAL 11 HOUR AS z FROM session WHERE first_ts IS NOT NULL)"""))
+
+
+def _u01(s: SparkSession, d: str) -> DataFrame:
+    from threadline.plans import etl
+
+    listing = X.transcript_lines(s, d).groupBy("path").agg(F.sum(F.octet_length("raw") + 1).alias("size_bytes"))
+    found = etl.discover(listing)
+    return found.groupBy("source_tree", "is_subagent").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("key").alias("keys"))
+
+
+_add("u01_both_trees", _u01, over_facts("""SELECT source_tree, CAST(sub AS INT) AS is_subagent, count(*) AS files, count(*) AS keys FROM (
+  SELECT DISTINCT CASE WHEN u % 2 = 0 THEN 'archive' ELSE 'live' END AS source_tree, sub, key FROM e4
+  UNION SELECT DISTINCT 'live', sub, key FROM e4 WHERE u % 6 = 0 AND k < 80) GROUP BY ALL"""))
+
+# ---- texts ---------------------------------------------------------------------------------------
+
+
+def _media(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    data = F.repeat(F.lit("A"), (k * 40).cast("int"))
+    block = F.to_json(F.struct(F.lit("image").alias("type"), F.struct(F.when(k % 3 != 0, F.lit("image/png")).alias("media_type"), data.alias("data")).alias("source")))
+    rows = X.shaped_events(s, d).select("event_id", F.parse_json(block).alias("b"))
+    return rows.select("event_id", T.media_marker(F.col("b")).alias("shown"))
+
+
+_add("f20_media_marker", _media, f"""WITH {_EV}, x AS (SELECT n, concat_ws(' · ', CASE WHEN k % 3 <> 0 THEN 'image/png' END, CASE WHEN k > 0 THEN format('{{:,}}', k * 30) || ' bytes' END) AS d FROM ev)
+SELECT n AS event_id, 'attachment (image)' || CASE WHEN d <> '' THEN ': ' || d ELSE '' END AS shown FROM x""")
+
+
+def _talkish(s: SparkSession, d: str) -> DataFrame:
+    """One entry per event: attachments, strings, lists and replies, for the text rules."""
+    k = F.col("k")
+    raw = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"type":"attachment","attachment":{"type":"file","filename":"f'), k, F.lit('","content":{"content":"body"}}}')))
+        .when(k % 4 == 1, F.concat(F.lit('{"type":"attachment","attachment":{"type":"hook","filename":"f'), k, F.lit('"}}')))
+        .when(k % 4 == 2, F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"text","text":"'), F.when(k % 8 == 2, F.lit("  ")).otherwise(F.lit(" said ")), F.lit('"},{"type":"text","text":"more"}]}}')))
+        .otherwise(F.lit('{"type":"user","message":{"content":"  typed "}}'))
+    )
+    lines = X.shaped_events(s, d).select(F.col("event_id").alias("path"), F.lit(1).cast("bigint").alias("line_no"), raw.alias("raw"))
+    return T.conversation_entries(S.parse_lines(lines))
+
+
+_add("f21_attachments", lambda s, d: T.model_entries(_talkish(s, d).where("etype = 'attachment'")).select(F.col("path").alias("event_id"), F.explode("blocks").alias("b")).select("event_id", "b.kind", "b.text"),
+     f"""WITH {_EV} SELECT n AS event_id, CASE WHEN k % 4 = 0 THEN 'attachment' ELSE 'machinery' END AS kind,
+  CASE WHEN k % 4 = 0 THEN 'attachment (file): f' || k || chr(10) || chr(10) || 'body' ELSE 'attachment:hook f' || k END AS text FROM ev WHERE k % 4 < 2""")
+_add("f11_f26_content_text", lambda s, d: _talkish(s, d).where("etype <> 'attachment'").select(
+        F.col("path").alias("event_id"), T.content_text(F.col("text"), F.col("items")).alias("shown"), T.substantive(F.col("text"), F.col("items")).alias("real")), f"""WITH {_EV}
+SELECT n AS event_id, CASE WHEN k % 4 = 3 THEN 'typed' WHEN k % 8 = 2 THEN 'more' ELSE 'said  more' END AS shown, TRUE AS real FROM ev WHERE k % 4 >= 2""")
+
+
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    text = (
+        F.when(k % 5 == 0, F.lit(" <task-notification> x")).when(k % 5 == 1, F.lit("Stop hook feedback: y"))
+        .when(k % 5 == 2, F.lit("<system-reminder>only</system-reminder>")).otherwise(F.lit("real <task-notification> mention"))
+    )
+    no = F.lit(False)
+    return X.shaped_events(s, d).select("event_id", T.prompt_class(F.lit("user"), text, k % 7 == 3, no, k % 11 == 5).alias("class"))
+
+
+_add("f18_prompt_class", _classes, f"""WITH {_EV}
+SELECT n AS event_id, CASE WHEN k % 11 = 5 THEN NULL WHEN k % 5 = 0 THEN 'task_notification' WHEN k % 5 = 1 THEN 'stop_hook' WHEN k % 5 = 2 OR k % 7 = 3 THEN 'machinery' ELSE 'prompt' END AS class FROM ev""")
+_add("f27_f40_titles", lambda s, d: X.shaped_events(s, d).select(
+        "event_id", T.title(F.when(F.col("k") % 5 == 0, F.lit("own")), F.when(F.col("k") % 3 == 0, F.lit("made")), F.when(F.col("k") % 2 == 0, F.lit("")).otherwise(F.lit("slug")),
+        F.when(F.col("k") % 4 == 0, F.lit(" line one \nline two")).otherwise(F.lit("(no summary)"))).alias("title")), f"""WITH {_EV}
+SELECT n AS event_id, CASE WHEN k % 5 = 0 THEN 'own' WHEN k % 3 = 0 THEN 'made' WHEN k % 2 = 1 THEN 'slug' WHEN k % 4 = 0 THEN 'line one' ELSE 'session' END AS title FROM ev""")
+
+# ---- appended tables -------------------------------------------------------------------------------
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """Events appended in two runs, a coverage row, and the history kept under its own hash."""
+    root = new_run_dir(s, "append")
+    rows = Z.keyed_events(s, d).select(F.col("event_id").alias("id"), F.col("et").alias("action"))
+    sinks.append_rows(rows.where("id % 2 = 0"), f"{root}/event")
+    sinks.append_rows(rows.where("id % 2 = 1"), f"{root}/event")
+    return s.read.parquet(f"{root}/event").groupBy("action").agg(F.count(F.lit(1)).alias("events"))
+
+
+_add("k13_append_events", _appended, "SELECT event_type AS action, count(*) AS events FROM events GROUP BY 1")
+
+
+def _coverage(s: SparkSession, d: str) -> DataFrame:
+    from threadline.operators import health as H
+    from threadline.plans.catalog_queries import _man, _sidecars
+
+    row = sinks.coverage_snapshot(H.sidecar_coverage(L.sidecar_notices(_sidecars(s, d))), H.prompt_coverage(_man(s, d)), "2024-02-01")
+    root = new_run_dir(s, "coverage")
+    sinks.append_rows(row, root)
+    return s.read.parquet(root).select("folders", "sessions_total", F.col("at").alias("taken_at"))
+
+
+_add("k15_coverage_snapshot", _coverage, f"""WITH {_LOG}
+SELECT (SELECT count(DISTINCT uuid) FROM evs WHERE et = 'view' AND k % 10 < 2) AS folders,
+  (SELECT count(DISTINCT doc_id // 20) FROM documents WHERE doc_id % 5 <> 0 AND doc_id // 20 % 7 <> 6) AS sessions_total, '2024-02-01' AS taken_at""")
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """A history file stored once per distinct content, however often it is offered."""
+    docs = Z.payloads(s, d).select("id", "hash")
+    root = new_run_dir(s, "snapshot")
+    sinks.append_rows(C.put_new(docs, docs.limit(0)), root)
+    sinks.append_rows(C.put_new(docs, s.read.parquet(root)), root)
+    return s.read.parquet(root)
+
+
+_add("k18_s13_snapshots", _snapshots, "SELECT min(doc_id) AS id, sha256(text) AS hash FROM documents GROUP BY 2")

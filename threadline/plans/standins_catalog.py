@@ -157,7 +157,7 @@ def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(
         F.struct(
             status.alias("status"), F.col("iso").alias("ts"), F.col("uuid").alias("session"),
-            F.when(et == "signup", _text("other")).otherwise(_text("ccw-hook")).alias("source"),
+            F.when(et == "signup", _text("other")).otherwise(_text("session-hook")).alias("source"),
             F.concat(_text("/live/"), F.col("uuid")).alias("detail"),
         )
     )

@@ -161,7 +161,13 @@ _add("f17_reminders", lambda k: k.turns.where(F.size("reminders") > 0).select("p
 _add("f32_captions", lambda k: k.blocks.where("kind = 'thinking'").select("path", "line_no", T.caption(F.col("text")).alias("caption")), _sql("""
 SELECT path, line_no, CASE WHEN length(x) > 72 THEN rtrim(substr(x, 1, 69)) || '...' ELSE x END AS caption FROM (
   SELECT path, line_no, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(translate(trim(ltrim(trim(s), '#>-*+ ')), '<>`', ''))), lambda s: s <> '')[1] AS x FROM blk WHERE kind = 'thinking')"""))
-_add("k08_transcript_pieces", lambda k: T.transcript_documents(k.turns, k.blocks, False, 120).select("path", "seq", "piece"), None)
+_add("k08_transcript_pieces", lambda k: T.transcript_documents(k.turns, k.blocks, False, 120).select("path", "seq", "piece"), _sql(f"""
+SELECT path, (turn_line << 20) - 1 AS seq, CASE WHEN synthetic THEN '## (before the first prompt)' ELSE '## ' || turn || chr(10) || prompt END AS piece
+FROM tt JOIN (SELECT path, CAST(turn AS BIGINT) AS turn, min(line_no) AS turn_line FROM num GROUP BY 1, 2) USING (path, turn)
+UNION ALL SELECT path, (line_no << 20) + bno, CASE kind WHEN 'assistant_text' THEN text
+  WHEN 'tool_use' THEN '> ' || CASE tool WHEN 'Bash' THEN 'Bash: ls ' || (line_no // 4) WHEN 'Edit' THEN 'Edit: ' ELSE 'Write: {{"file_path":"' || fp || '"}}' END
+  WHEN 'tool_result' THEN '< ' || {_CUT} || CASE WHEN length(text) > 120 THEN chr(10) || '[' || (length(text) - length({_CUT})) || ' characters omitted]' ELSE '' END
+  ELSE '(' || kind || ') ' || text END AS piece FROM blk WHERE kind <> 'thinking_withheld'"""))
 _add("k08_prose_only", lambda k: T.transcript_documents(k.turns, k.blocks, True).select("path", "piece"), _sql("""
 SELECT path, CASE WHEN synthetic THEN '## (before the first prompt)' ELSE '## ' || turn || chr(10) || prompt END AS piece FROM tt
 UNION ALL SELECT path, text FROM blk WHERE kind = 'assistant_text'"""))
