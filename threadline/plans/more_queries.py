@@ -219,8 +219,11 @@ def _lanes(s: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("local_date").agg(F.count(F.lit(1)).alias("segments"), (F.max("lane") + 1).cast("bigint").alias("lanes"))
 
 
-# The number of lanes of a day is its peak overlap, which SQL can say.
-_add("w06_lanes", _lanes, over_facts("SELECT local_date, sessions_active AS segments, greatest(max_concurrent, 1) AS lanes FROM overlap_day", overlap=True))
+# A day needs as many lanes as its peak overlap, or one more than is open where a zero-length segment falls.
+_add("w06_lanes", _lanes, over_facts("""
+SELECT local_date, sessions_active AS segments, greatest(max_concurrent, coalesce(z.lanes, 0)) AS lanes FROM overlap_day o
+LEFT JOIN (SELECT strftime(p.d, '%Y-%m-%d') AS day, max(1 + (SELECT count(*) FROM overlap_day_pc q WHERE q.d = p.d AND q.lo < p.lo AND q.hi > p.lo)) AS lanes
+           FROM overlap_day_pc p WHERE p.lo = p.hi GROUP BY 1) z ON z.day = o.local_date""", overlap=True))
 
 # ---- sinks --------------------------------------------------------------------------------
 
