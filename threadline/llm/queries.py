@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadline.functions.once import computed_once
+from threadline.llm import chat, decontaminate
 from threadline.llm import line_dedup as lines
-from threadline.llm import quality
+from threadline.llm import mixing as M
+from threadline.llm import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +82,84 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM y GROUP BY doc_id
 """
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): 2 where labelled good, a half where labelled bad; labels of one id are averaged."""
+    rated = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
+    return rated.select("doc_id", F.when(F.col("q") >= 0.5, 2.0).when(F.col("q") < 0.5, 0.5).otherwise(1.0).alias("weight"))
+
+
+@query
+def op4_source_mixing(spark, sf_dir):
+    weights = quality_weights(table(spark, sf_dir, "labels"))
+    return M.mix(table(spark, sf_dir, "documents"), weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op4_source_mixing"] = r"""
+WITH q AS (SELECT doc_id, avg(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CASE WHEN q.q >= 0.5 THEN 2.0::DOUBLE WHEN q.q < 0.5 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w,
+    (('0x' || substr(md5('7:' || CAST(d.doc_id AS VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size AS lim, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS own FROM r),
+o AS (SELECT own AS level FROM l WHERE own * weight < lim ORDER BY lim / weight, own LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM o) IS NULL THEN lim::DOUBLE ELSE least(lim::DOUBLE, (SELECT level FROM o) * weight) END AS target FROM l),
+k AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / w, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (epochs + CASE WHEN epochs < 3 AND upto - size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k
+"""
+
+
+@query
+def op9_simhash_near_dedup(spark, sf_dir):
+    done = simhash.simhash(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
+    chats = chat.format_chat(rows.union(extra))
+    read = computed_once(
+        chats, {"turns": chat.read_back(F.col("formatted")), "loss": chat.under_mask(F.col("formatted"), F.col("loss_spans"))}, ["conv_id", "formatted"]
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+ORACLE["op2_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+e AS (
+  SELECT *, length(text) + length(text) - length(replace(replace(text, '<', ''), '[', '')) AS size,
+    length(role) + length(role) - length(replace(replace(role, '<', ''), '[', '')) AS role_size,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS goes_on FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size + CASE WHEN goes_on THEN 7 ELSE role_size + 14 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
