@@ -11,7 +11,7 @@ from threadline.functions.once import computed_once
 from threadline.llm import chat, decontaminate
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
-from threadline.llm import quality, simhash
+from threadline.llm import quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +163,24 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(size + CASE WHEN goes_on THEN 7 ELSE role_size + 14 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    done = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 19], ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM rep, range(0, 20) r(o)),
+w AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
+    string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY w.i) AS kept
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
