@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions.once import computed_once
-from threadline.llm import chat, decontaminate
+from threadline.llm import chat, decontaminate, license_scan, lm_score
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
 from threadline.llm import quality, simhash, substring
@@ -184,3 +184,14 @@ k AS (SELECT w.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op8_lm_score(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    return license_scan.license_labels(spark, table(spark, sf_dir, "documents"))
