@@ -1,5 +1,66 @@
-"""placeholder"""
+"""A training corpus from raw documents: five stages, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadline.llm import decontaminate, line_dedup, mixing, quality, simhash
+from threadline.llm.queries import quality_weights
+from threadline.runtime import new_run_dir, stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    return quality.apply_policy(docs, "v2")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 10 code points or more stay in the first document that holds them; ``n_chars`` follows the text."""
+    done = line_dedup.line_dedup(docs).select(*docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else done
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked fingerprints stays."""
+    return simhash.representatives(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row per document with ``taken`` words, and its text."""
+    weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    taken = mixing.mix(docs, weights).where("taken > 0").withColumnRenamed("doc_id", "_taken")
+    texts = docs.select("doc_id", "text")
+    return texts.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken"))).drop("_taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("source_mixing", source_mixture),
+]
+
+#: SimHash and the components of its links have no plain SQL; the tests hold every stage against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), new_run_dir(spark, name))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ from threadline.functions.once import computed_once
 from threadline.llm import chat, decontaminate, license_scan, lm_score
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
-from threadline.llm import quality, simhash, substring
+from threadline.llm import quality, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -195,3 +195,81 @@ def op8_lm_score(spark, sf_dir):
 @query
 def op3_license_scan(spark, sf_dir):
     return license_scan.license_labels(spark, table(spark, sf_dir, "documents"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of every page: its response, and three later conditional requests.
+
+    The first revisit spells the URL in another way and has the response's tag
+    in its weak form, the second has only the date, and the third another tag.
+    """
+    day, minute = 86_400, 60
+    seen = pages.select(
+        "page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("size")
+    )
+    at = F.lit(1_700_000_000) + F.col("page_id") * minute
+    date = F.concat(F.lit("day "), F.floor(F.col("page_id") / 1000).cast("string"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("kind")
+    rows = seen.select("*", kinds)
+    pick = lambda *values: F.get(F.array(*values), F.col("kind"))
+    text = lambda value: F.lit(value).cast("string")
+    headers = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in ("etag", "last-modified", "date", "content-length", "cache-control")]),
+        F.array(
+            pick("digest", F.concat(F.lit("W/"), F.col("digest")), text(None), F.reverse("digest")),
+            pick(date, text(None), date, date),
+            F.concat(F.lit("t"), (at + F.col("kind") * day).cast("string")),
+            F.when(F.col("kind") == 0, F.col("size")).otherwise(0).cast("string"),
+            pick(text("max-age=1"), text("max-age=2"), text(None), text("max-age=4")),
+        ),
+    )
+    spelled = F.concat(F.regexp_replace(F.col("url"), "^https?://", "HTTP://WWW."), F.lit("#again"))
+    return rows.select(
+        (F.col("page_id") * 4 + F.col("kind")).alias("record_id"),
+        "page_id",
+        pick(F.col("url"), spelled, F.col("url"), F.col("url")).alias("url"),
+        (at + F.col("kind") * day).alias("at"),
+        F.when(F.col("kind") == 0, 200).otherwise(304).alias("status"),
+        headers.alias("headers"),
+    )
+
+
+@query
+def op1_revisit_resolution(spark, sf_dir):
+    done = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries(F.map_filter("merged", lambda k, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return done.select(
+        "record_id", "page_id", "canonical", "outcome", "base_id", F.floor(F.col("base_id") / 4).alias("base_page_id"), F.array_join(lines, ";").alias("merged")
+    )
+
+
+ORACLE["op1_revisit_resolution"] = r"""
+WITH r AS (
+  SELECT page_id * 4 + kind AS record_id, page_id, kind, 1700000000 + page_id * 60 + kind * 86400 AS ts,
+    CASE WHEN kind = 1 THEN regexp_replace(url, '^https?://', 'HTTP://WWW.') || '#again' ELSE url END AS url,
+    CASE kind WHEN 0 THEN md5(coalesce(html, '')) WHEN 1 THEN 'W/' || md5(coalesce(html, '')) WHEN 3 THEN reverse(md5(coalesce(html, ''))) END AS etag,
+    CASE WHEN kind <> 1 THEN 'day ' || CAST(page_id // 1000 AS VARCHAR) END AS modified,
+    CASE WHEN kind = 0 THEN length(coalesce(html, '')) ELSE 0 END AS size,
+    CASE kind WHEN 0 THEN 'max-age=1' WHEN 1 THEN 'max-age=2' WHEN 3 THEN 'max-age=4' END AS cache
+  FROM pages, (VALUES (0), (1), (2), (3)) k(kind)),
+b AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/$', '') AS front,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|sessionid|ref)='))) AS params FROM b),
+c AS (SELECT *, front || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM p),
+f AS (SELECT canonical, ts, max(record_id) AS base_id FROM c WHERE kind = 0 GROUP BY canonical, ts),
+j AS (SELECT c.*, f.base_id FROM c ASOF LEFT JOIN f ON c.canonical = f.canonical AND c.ts > f.ts WHERE c.kind > 0),
+v AS (SELECT j.*, b.etag AS b_etag, b.modified AS b_modified, b.size AS b_size, b.ts AS b_at, b.cache AS b_cache,
+    CASE WHEN j.etag IS NOT NULL AND b.etag IS NOT NULL THEN regexp_replace(j.etag, '^W/', '') = b.etag ELSE j.modified = b.modified END AS agree
+  FROM j LEFT JOIN c b ON j.base_id = b.record_id)
+SELECT record_id, page_id, canonical, 'response' AS outcome, record_id AS base_id, page_id AS base_page_id,
+  'cache-control:' || cache || ';content-length:' || size || ';date:t' || ts || ';etag:' || etag || ';last-modified:' || modified AS merged
+FROM c WHERE kind = 0
+UNION ALL
+SELECT record_id, page_id, canonical, CASE WHEN base_id IS NULL THEN 'no_base' WHEN agree IS NULL THEN 'unvalidated' WHEN agree THEN 'resolved' ELSE 'mismatch' END,
+  base_id, base_id // 4,
+  CASE WHEN agree THEN 'cache-control:' || coalesce(cache, b_cache) || ';content-length:' || b_size || ';date:t' || ts || ';etag:' || coalesce(etag, b_etag)
+    || ';last-modified:' || b_modified END
+FROM v
+"""

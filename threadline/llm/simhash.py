@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadline.llm.components import components, forest
-from threadline.llm.frames import bare_id, keyed
+from threadline.llm.frames import NULL_ID, bare_id, keyed
 from threadline.llm.scan import LOWER, SPACED, chunks, ints, words_of
 from threadline.runtime import new_run_dir, stage
 
@@ -187,3 +187,11 @@ def simhash(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -
     ids = placed.groupBy("root").agg(F.min("least").alias("component"))
     where = placed.join(ids, "root").select(F.col("node").alias("fp"), "component")
     return prints.join(where, "fp").select(bare_id(F.col("_id")).alias("doc_id"), "fp", bare_id(F.col("component")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, one per id, all columns as they are."""
+    kept = simhash(docs, k, max_bits, segments).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
+    rows = keyed(docs).select("row", "_id").join(ids, "_id", "left_semi").dropDuplicates(["_id"])
+    return rows.select("row.*")
