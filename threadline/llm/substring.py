@@ -212,18 +212,39 @@ def _suffixes(window: int, prefix: int, heavy: np.ndarray):
                     held += len(text)
             if held > 1 << 26:  # combining is only a saving; begin anew before it takes much memory
                 seen, held = {}, 0
-            mask = pa.array(repeat)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)),
-                    pa.array(ids[words.doc[low]]),
-                    pa.array(hs[words.doc[low]]),
-                    pa.array(ordinal[low].astype(np.int32)),
-                    pa.array(ordinal[high].astype(np.int32)),
-                    pa.array([None if r else t for r, t in zip(repeat.tolist(), around, strict=True)], type=pa.binary()),
-                ],
-                schema=_SUFFIXES,
-            ) if len(mask) else pa.RecordBatch.from_pylist([], schema=_SUFFIXES)
+            start, stop, doc = ordinal[low].astype(np.int32), ordinal[high].astype(np.int32), words.doc[low]
+            sent = np.flatnonzero(~repeat)
+            if len(sent):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key[sent].view(np.int64)),
+                        pa.array(ids[doc[sent]]),
+                        pa.array(hs[doc[sent]]),
+                        pa.array(start[sent]),
+                        pa.array(stop[sent]),
+                        pa.array([around[i] for i in sent.tolist()], type=pa.binary()),
+                    ],
+                    schema=_SUFFIXES,
+                )
+            again = np.flatnonzero(repeat)
+            if len(again):
+                # Ranges that go on in each other are one; they travel by document, for no group waits for them.
+                new = np.r_[True, (doc[again[1:]] != doc[again[:-1]]) | (start[again[1:]] != stop[again[:-1]] + 1)]
+                begin = np.flatnonzero(new)
+                end = np.r_[begin[1:], len(again)] - 1
+                a, b = again[begin], again[end]
+                route = mix(ids[doc[a]].view(np.uint64) ^ mix(start[a].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(route.view(np.int64)),
+                        pa.array(ids[doc[a]]),
+                        pa.array(hs[doc[a]]),
+                        pa.array(start[a]),
+                        pa.array(stop[b]),
+                        pa.nulls(len(a), pa.binary()),
+                    ],
+                    schema=_SUFFIXES,
+                )
 
     return run
 
