@@ -74,9 +74,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
         # One entry per line of the document; equal rows send the same places.
         .agg(F.collect_set("pos").alias("gone"))
     )
-    split = F.split("_text", "\n", -1)
+    # The text travels once, in its row.
+    split = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    joined = rows.join(drops, ["_id", "_h"], "left").withColumn("lines", split).withColumn("kept", places)
+    joined = rows.drop("_text").join(drops, ["_id", "_h"], "left").withColumn("lines", split).withColumn("kept", places)
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     # A document that loses nothing keeps its text untouched, null included.
     new_row = F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField("text", text))
