@@ -97,17 +97,17 @@ def _grams(batches):
             )
 
 
-def scan_licenses(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): a row per text with its word count, and every verified span.
+def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Every verified span, and a row without a label per distinct text.
 
-    Spans: ``_id``, ``_h``, ``label``, ``base``, ``start``, ``stop`` (words, stop excluded), ``coverage``.
+    ``_id``, ``_h``, ``label``, ``base``, ``start``, ``stop`` (words, stop excluded),
+    ``coverage``; rows without a label have ``n_words`` and ``copies`` instead.
     """
     templates = F.broadcast(spark.createDataFrame(template_positions(), _TEMPLATE_DDL))
     grams = keyed(docs).select("_id", "_h", "_text").mapInArrow(_grams, _GRAMS_DDL)
     hits = grams.join(templates, "key", "left").where("template is not null or n_words is not null")
-    votes = hits.groupBy(
-        "_id", "_h", "template", "label", "base", "whole", "n_grams", "size", (F.col("pos") - F.col("tpos")).alias("diagonal")
-    ).agg(
+    what = ["_id", "_h", "template", "label", "base", "whole", "n_grams", "size"]
+    votes = hits.groupBy(*what, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         # Distinct places: rows equal in id and text vote twice for the same ones.
         F.collect_set("tpos").alias("held"),
         F.min("pos").alias("first"),
@@ -115,22 +115,24 @@ def scan_licenses(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Data
         F.max("n_words").alias("n_words"),
         F.count("n_words").alias("copies"),
     )
-    texts = votes.where("template is null")
-    exact = votes.where("whole and size(held) = n_grams").select(
-        "_id", "_h", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("stop"), F.lit(1.0).alias("coverage")
-    )
+    # A phrase's diagonal stands alone; those of a long template join their neighbours.
     by = Window.partitionBy("_id", "_h", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= BAND, 0).otherwise(1)
-    long = votes.where("not whole").withColumn("apart", apart).withColumn("copy", F.sum("apart").over(by))
-    merged = long.groupBy("_id", "_h", "template", "label", "base", "n_grams", "size", "copy").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n_held"), F.min("first").alias("start"), F.max("last").alias("last")
+    near = ~F.col("whole") & (F.col("diagonal") - F.lag("diagonal").over(by) <= BAND)
+    placed = votes.withColumn("apart", F.when(near, 0).otherwise(1)).withColumn("place", F.sum("apart").over(by))
+    merged = placed.groupBy(*what, "place").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n_held"),
+        F.min("first").alias("start"),
+        F.max("last").alias("last"),
+        F.max("n_words").alias("n_words"),
+        F.max("copies").alias("copies"),
     )
-    loose = (
-        merged.withColumn("coverage", F.col("n_held") / F.col("n_grams"))
-        .withColumn("stop", F.col("last") + TEXT_GRAM)
-        .where((F.col("coverage") >= COVERAGE) & (F.col("stop") - F.col("start") <= 1.5 * F.col("size") + BAND))
+    spans = merged.withColumn("coverage", F.col("n_held") / F.col("n_grams")).withColumn(
+        "stop", F.when(F.col("whole"), F.col("start") + F.col("size")).otherwise(F.col("last") + TEXT_GRAM)
     )
-    return texts, exact.unionByName(loose.select("_id", "_h", "label", "base", "start", "stop", "coverage"))
+    complete = F.col("whole") & (F.col("n_held") == F.col("n_grams"))
+    enough = ~F.col("whole") & (F.col("coverage") >= COVERAGE) & (F.col("stop") - F.col("start") <= 1.5 * F.col("size") + BAND)
+    kept = spans.where(F.col("template").isNull() | complete | enough)
+    return kept.select("_id", "_h", "label", "base", "start", "stop", "coverage", "n_words", "copies")
 
 
 def license_labels(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -138,9 +140,8 @@ def license_labels(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Places and labels of phrases are the base; ``score`` is the best coverage of any span (0: none).
     """
-    texts, spans = scan_licenses(spark, docs)
     joined = lambda kept: F.array_join(F.sort_array(F.collect_set(kept)), ",")
-    both = texts.select("_id", "_h", "n_words", "copies").unionByName(spans, allowMissingColumns=True)
+    both = scan_licenses(spark, docs)
     per_text = both.groupBy("_id", "_h").agg(
         F.max("n_words").alias("n_words"),
         F.max("copies").alias("copies"),
