@@ -273,3 +273,38 @@ SELECT record_id, page_id, canonical, CASE WHEN base_id IS NULL THEN 'no_base' W
     || ';last-modified:' || b_modified END
 FROM v
 """
+
+
+def _notice_sql() -> str:
+    """The template k-grams as SQL rows: template, label, base, whole, tpos, n_grams, size, gram."""
+    rows = []
+    for whole_text, label, base in [(p, x, True) for p, x in license_scan.PHRASES.items()] + [(t, x, False) for x, t in license_scan.NOTICES.items()]:
+        words = license_scan.template_words(whole_text)
+        whole = base or len(words) <= license_scan.TEXT_GRAM
+        k = license_scan.PHRASE_GRAM if whole else license_scan.TEXT_GRAM
+        n = len(words) - k + 1
+        rows += [f"('{label}{base}{len(words)}{words[0]}', '{label}', {base}, {whole}, {i}, {n}, {len(words)}, '{' '.join(words[i : i + k])}')" for i in range(n)]
+    return ", ".join(rows)
+
+
+ORACLE["op3_license_scan"] = rf"""
+WITH t(template, label, base, whole, tpos, n_grams, size, gram) AS (VALUES {_notice_sql()}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i - 1 AS pos, array_to_string(words[i : i + k - 1], ' ') AS gram FROM p, (VALUES (2), (4)) n(k) WHERE i + k - 1 <= len(words)),
+h AS (SELECT doc_id, template, label, base, whole, n_grams, size, tpos, pos, pos - tpos AS diagonal FROM g JOIN t USING (gram)),
+v AS (SELECT doc_id, template, label, base, whole, n_grams, size, diagonal, list(DISTINCT tpos) AS held, min(pos) AS first, max(pos) AS last
+  FROM h GROUP BY ALL),
+a AS (SELECT *, CASE WHEN NOT whole AND diagonal - lag(diagonal) OVER w <= {license_scan.BAND} THEN 0 ELSE 1 END AS apart
+  FROM v WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+c AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM a),
+m AS (SELECT doc_id, template, label, base, whole, n_grams, size, place, len(list_distinct(flatten(list(held)))) AS n_held, min(first) AS start, max(last) AS last
+  FROM c GROUP BY ALL),
+s AS (SELECT *, n_held / n_grams AS coverage FROM m WHERE CASE WHEN whole THEN n_held = n_grams
+    ELSE n_held / n_grams >= {license_scan.COVERAGE} AND last + {license_scan.TEXT_GRAM} - start <= 1.5 * size + {license_scan.BAND} END)
+SELECT d.doc_id, max(len(words)) AS n_words, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word,
+  max(start) FILTER (WHERE base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
