@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.functions.once import computed_once
+
 #: Headers that a not-modified answer may update (fixed values, RFC 9110 section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not change the resource.
@@ -62,10 +64,14 @@ def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
     """
     full, revisit = F.col("status") == 200, F.col("status") == 304
     own = F.struct(*[F.col(f"`{c}`") for c in records.columns if c not in ("payload", "html", "body")])
-    rows = records.select(
-        own.alias("row"),
-        F.col("record_id").alias("id"),
-        canonical_url(F.col("url")).alias("canonical"),
+    # Behind a generator, or every filter below would spell the URL out again.
+    spelled = computed_once(
+        records.select(own.alias("row"), F.col("record_id").alias("id"), "url", "at", "status", "headers"), {"canonical": canonical_url(F.col("url"))}
+    )
+    rows = spelled.select(
+        "row",
+        "id",
+        "canonical",
         F.col("at").cast("bigint").alias("at"),
         F.coalesce(full, F.lit(False)).alias("full"),
         F.coalesce(revisit, F.lit(False)).alias("revisit"),
