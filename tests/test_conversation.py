@@ -123,14 +123,35 @@ def test_every_secret_family_is_found(spark):
 
 
 def test_redaction_order_and_bad_patterns(spark):
-    rules = R.redaction_patterns(["ann", "x*", "(", ""], home="/home/bob", username="bob", hostname="box")
-    assert [r.label for r in rules] == ["ann", "email", "home-dir", "username", "hostname"]
+    rules = R.redaction_patterns(["ann", "q*", "(", ""], home="/home/bob", username="bob", hostname="box")
+    assert [r.label for r in rules] == ["ann", "q*", "email", "home-dir", "username", "hostname"]
     df = spark.createDataFrame([("ann@example.org /home/bob/bobby bob box",)], "t string")
     r = R.redact_text(df, "t", rules).first()
     assert r.t == "[REDACTED]@example.org [REDACTED]/bobby [REDACTED] [REDACTED]"
     assert r.hits == {"ann": 1, "home-dir": 1, "username": 1, "hostname": 1}
 
 
+def test_rules_that_match_nothing_change_nothing(spark):
+    df = spark.createDataFrame([("ab xx cd",)], "t string")
+    one = lambda rule: R.redact_text(df, "t", [R.Rule(rule, rule)]).first()
+    assert (one(r"\b").t, one(r"\b").hits) == ("ab xx cd", {})
+    assert (one("x*").t, one("x*").hits) == ("ab [REDACTED] cd", {"x*": 1})
+    assert one("(?P<n>x)(?P=n)").t == "ab [REDACTED] cd"
+    with pytest.raises(ValueError, match="no pattern"):
+        one("(b)?(?(1)a|c)x")
+    lines = spark.createDataFrame([('{"x": ["ab xx", {"k": "x"}]}',)], "raw string")
+    got = R.redact_entries(lines, [R.Rule("x*", "x*"), R.Rule(r"\b", r"\b")]).first()
+    assert (got.raw, got.hits) == ('{"x": ["ab [REDACTED]", {"k": "[REDACTED]"}]}', {"x*": 2})
+
+
+def test_white_space_of_every_kind_is_trimmed(spark):
+    from threadline.operators import conversation as C
+
+    df = spark.createDataFrame([("\nError: boom", "\t\n\r a thought \r"), ("\tTraceback x", "\t"), ("fine", "b")], "r string, t string")
+    got = [tuple(r) for r in df.select(C.looks_failed(F.col("r")), C.caption(F.col("t"))).collect()]
+    assert got == [(True, "a thought"), (True, None), (False, "b")]
+
+
 def test_sharing_is_refused_on_findings(spark, tmp_path):
     df = spark.createDataFrame([(1, "sk-" + "A1b2" * 6)], "id int, text string")
     red = R.redact_text(df, "text", R.redaction_patterns())

@@ -97,3 +97,18 @@ def test_turn_numbers_do_not_depend_on_chunks(spark):
     )
     for width in (1, 7, 1000):
         assert [r.ordinal for r in S.turns(rows, width).orderBy("ordinal").collect()] == list(range(1, 68))
+
+
+def test_a_listing_too_large_to_broadcast_gives_the_same_entries(spark, sf_dir, monkeypatch):
+    from threadline.plans import etl, stats_queries
+
+    def entries():
+        return stats_queries._fresh(spark, sf_dir)
+
+    few = entries()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    small = sorted(map(str, few.collect()))
+    monkeypatch.setattr(etl, "BROADCAST_FILES", 0)
+    many = entries()
+    assert sorted(map(str, many.select(few.columns).collect())) == small

@@ -27,9 +27,9 @@ def test_repeats_extend_the_window_across_batches(spark, tmp_path):
 def test_heads_follow_payload_time_not_arrival(spark, tmp_path):
     schema = "id bigint, hash string, session_uuid string, last_ts string, captured_at string"
     stream = batches(spark, tmp_path, [[(1, "new", "s", "2026-05-02", "x")], [(2, "old", "s", "2026-05-01", "y"), (3, "other", "t", None, "2026-01-01")]], schema)
-    J.maintain_heads(stream, str(tmp_path / "cp"), str(tmp_path / "heads"))
-    got = {r.session_uuid: r.hash for r in J.latest_heads(spark, str(tmp_path / "heads"), 1).collect()}
-    assert got == {"s": "new", "t": "other"}
+    assert J.maintain_heads(stream, str(tmp_path / "cp"), str(tmp_path / "heads")) == 1
+    got = {r.session_uuid: (r.hash, r.n_versions) for r in J.latest_heads(spark, str(tmp_path / "heads"), 1).collect()}
+    assert got == {"s": ("new", 2), "t": ("other", 1)}
 
 
 def test_unfinished_runs_surface_after_the_grace(spark, tmp_path):

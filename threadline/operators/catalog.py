@@ -76,15 +76,17 @@ def _recency() -> Column:
     )
 
 
-def heads(versions: DataFrame) -> DataFrame:
+def heads(versions: DataFrame, weight: str | None = None) -> DataFrame:
     """The latest version of every session by payload time, with ``n_versions``.
 
+    ``weight`` names a column that says how many versions a row stands for.
+
     One ``max_by`` per chain, combined on the map side: a chain that holds a
     third of all versions still reduces to one row per task before the shuffle.
     """
-    row = F.struct(*versions.columns)
+    row = F.struct(*[c for c in versions.columns if c != weight])
     best = versions.groupBy(_chain().alias("_chain")).agg(
-        F.max_by(row, _recency()).alias("_row"), F.count(F.lit(1)).alias("n_versions")
+        F.max_by(row, _recency()).alias("_row"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("n_versions")
     )
     return best.select("_row.*", "n_versions")
 

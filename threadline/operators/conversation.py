@@ -104,6 +104,13 @@ def substantive(text: Column, items: Column) -> Column:
 # ---- catalogue parse fold ---------------------------------------------------
 
 
+def lone_surrogates(raw: Column) -> Column:
+    """Escaped surrogates of a JSON text that have no partner; an escaped backslash starts no escape."""
+    escapes = F.replace(raw, F.lit("\\\\"), F.lit(" "))
+    alone = F.regexp_replace(escapes, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", " ")
+    return F.regexp_count(alone, F.lit(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"))
+
+
 def conversation_entries(parsed: DataFrame) -> DataFrame:
     """Columns of every line the conversation model reads; ``v`` stays for the block step."""
     v = F.col("v")
@@ -116,7 +123,7 @@ def conversation_entries(parsed: DataFrame) -> DataFrame:
         "is_sidechain": V.is_true(v, "$.isSidechain"),
         "is_compact": V.is_true(v, "$.isCompactSummary"),
         "agent_id": V.present(v, "$.agentId"),
-        "unencodable": F.regexp_count("raw", F.lit(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")),
+        "unencodable": lone_surrogates(F.col("raw")),
     }
     kept = [c for c in parsed.columns if c != "raw"]
     return computed_once(parsed, typed, keep=kept)
@@ -171,8 +178,8 @@ def parse_fold(entries: DataFrame, key: str = "path") -> DataFrame:
 
 
 def title(custom: Column, ai: Column, slug: Column, summary: Column) -> Column:
-    """Document title: the operator's, the generated one, the slug, the summary's first line."""
-    line = F.nullif(strip(F.element_at(F.split(summary, "\n"), 1)), F.lit(""))
+    """Document title: the operator's, the generated one, the slug, the summary's first line without reminders."""
+    line = F.nullif(strip(F.element_at(F.split(visible_text(summary), "\n"), 1)), F.lit(""))
     return F.coalesce(
         F.nullif(custom, F.lit("")), F.nullif(ai, F.lit("")), F.nullif(slug, F.lit("")),
         F.when(summary != "(no summary)", line), F.lit("session"),
@@ -451,7 +458,7 @@ def caption(text: Column) -> Column:
     """The first usable line of a thought, without markup, cut to one clause."""
     lines = F.transform(
         F.split(text, "\n"),
-        lambda s: F.trim(F.translate(F.trim(F.ltrim(F.trim(s), F.lit("#>-*+ "))), "<>`", "")),
+        lambda s: strip(F.translate(strip(F.ltrim(strip(s), F.lit("#>-*+ "))), "<>`", "")),
     )
     first = F.try_element_at(F.filter(lines, lambda s: s != ""), F.lit(1))
     short = F.concat(F.rtrim(F.substring(first, 1, CAPTION_LENGTH - 3)), F.lit("..."))
@@ -460,7 +467,7 @@ def caption(text: Column) -> Column:
 
 def looks_failed(text: Column) -> Column:
     """A result that reads as an error; results carry no error flag."""
-    head = F.lower(F.substring(F.ltrim(text), 1, 200))
+    head = F.lower(F.substring(strip(text), 1, 200))
     return F.coalesce(head.rlike("^(error|traceback)") | head.contains("<tool_use_error>"), F.lit(False))
 
 

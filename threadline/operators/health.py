@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadline.functions import variants as V
+
 from threadline.operators.ordered import previous_row, running_max, top_per_key
 
 # Message prefixes of errors that name no lost session.
@@ -76,7 +78,7 @@ def said_nothing(findings: DataFrame, history: DataFrame | None, environments: D
     """
     if history is None:
         return findings.withColumn("is_empty", F.lit(False))
-    quiet = F.coalesce(F.trim("display").isin(EMPTY_INPUTS), F.lit(False)) & (
+    quiet = F.coalesce(V.strip(F.col("display")).isin(EMPTY_INPUTS), F.lit(False)) & (
         F.col("pasted").isNull() | (F.size("pasted") == 0)
     )
     inputs = history.groupBy("session_uuid").agg(F.min(quiet.cast("int")).alias("_quiet"))

@@ -138,9 +138,9 @@ def unvouched_copies(copies: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Recorded paths that vanished or changed, and trees whose file count shrank."""
-    b = before.select("path", "tree", F.struct("size_bytes", "sha256").alias("_b"))
-    a = after.select("path", F.struct("size_bytes", "sha256").alias("_a"))
+    """Recorded paths that vanished or changed (size, time or content), and trees whose file count shrank."""
+    b = before.select("path", "tree", F.struct("size_bytes", "modified", "sha256").alias("_b"))
+    a = after.select("path", F.struct("size_bytes", "modified", "sha256").alias("_a"))
     pair = b.join(a, "path", "left")
     failed = pair.where("_a is null or _a <> _b").select(
         F.col("path").alias("item"), F.when(F.col("_a").isNull(), "vanished").otherwise("changed").alias("failure")
@@ -173,7 +173,7 @@ def reconcile_statistics(session: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 # Names expected beside a transcript and inside its folders.
-KNOWN_SIDECARS = ["subagents", "tool-results", "workflows", "custom-title.json"]
+KNOWN_SIDECARS = ["subagents", "tool-results", "workflows", "custom-title.json", "auto-mode-classifier-error.txt"]
 PROJECT_KNOWN = ["memory"]
 IGNORED_NAMES = [".DS_Store"]
 SUBAGENT_CHILD = r"^agent-[A-Za-z0-9_.-]+\.(jsonl|meta\.json|prefix\.json|forked-skill(\.marker)?\.json)$|^workflows$"

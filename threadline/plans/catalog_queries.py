@@ -431,14 +431,16 @@ SELECT folder, count(*) AS unvouched FROM lv WHERE sha NOT IN (SELECT sha256(tex
 
 
 def _snapshot(s: SparkSession, d: str, after: bool) -> DataFrame:
-    rows = Z.payloads(s, d).select(F.concat(F.lit("/t/"), "id").alias("path"), F.when(F.col("id") % 2 == 0, "archive").otherwise("live").alias("tree"), "size_bytes", F.col("hash").alias("sha256"), "id")
+    rows = Z.payloads(s, d).select(F.concat(F.lit("/t/"), "id").alias("path"), F.when(F.col("id") % 2 == 0, "archive").otherwise("live").alias("tree"), "size_bytes", F.col("hash").alias("sha256"), F.col("id").alias("modified"), "id")
     if not after:
         return rows.where("id % 3 = 0")
-    return rows.where("id % 3 = 0 and id % 10 <> 0 or id % 3 = 1 and id % 2 = 1").withColumn("sha256", F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.col("sha256")))
+    return rows.where("id % 3 = 0 and id % 10 <> 0 or id % 3 = 1 and id % 2 = 1").withColumns({
+        "sha256": F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.col("sha256")),
+        "modified": F.when(F.col("id") % 11 == 0, F.lit(-1)).otherwise(F.col("modified"))})
 
 
 _add("j27_compare_snapshots", lambda s, d: G.compare_snapshots(_snapshot(s, d, False), _snapshot(s, d, True)), """
-SELECT '/t/' || doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'vanished' ELSE 'changed' END AS failure FROM documents WHERE doc_id % 3 = 0 AND (doc_id % 10 = 0 OR doc_id % 7 = 0)
+SELECT '/t/' || doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'vanished' ELSE 'changed' END AS failure FROM documents WHERE doc_id % 3 = 0 AND (doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0)
 UNION ALL SELECT 'archive', 'shrank'""")
 
 

@@ -17,6 +17,10 @@ from threadline.runtime import new_run_dir, stage
 from threadline.sources import transcripts as T
 
 
+#: Winning files that may be broadcast; at some 200 bytes each that is at most 50 MB.
+BROADCAST_FILES = 250_000
+
+
 @dataclass(frozen=True)
 class Facts:
     """The published tables; every report reads these and nothing else."""
@@ -40,9 +44,16 @@ def discover(listing: DataFrame, archive_at: str = "/archive/", live_at: str = "
 
 
 def entries_of(lines: DataFrame, winners: DataFrame, prices: PriceList | None = None) -> DataFrame:
-    """Priced, typed entries of the winning files only; losers are dropped before parsing."""
-    chosen = lines.join(winners.select("path", "key"), "path")
-    return priced_entries(extract_entries(chosen), prices)
+    """Priced, typed entries of the winning files only.
+
+    Raw lines are never shuffled: a listing of checked size is broadcast and
+    losers go before they are parsed; a larger one meets the typed entries,
+    which are far narrower than the lines.
+    """
+    chosen = winners.select("path", "key")
+    if chosen.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        return priced_entries(extract_entries(lines.join(F.broadcast(chosen), "path")), prices)
+    return priced_entries(extract_entries(lines), prices).join(chosen, "path")
 
 
 def build_facts(

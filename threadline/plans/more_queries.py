@@ -83,8 +83,8 @@ def _tree(s: SparkSession, d: str) -> DataFrame:
 
 _PATH = """tree AS (SELECT n, k, u, CASE k % 6 WHEN 0 THEN '/x/node_modules/a' || n || '.jsonl' WHEN 1 THEN '/x/p/memory/m' || n || '.jsonl' WHEN 2 THEN '/x/p/s/subagents/agent-' || n || '.jsonl'
   WHEN 3 THEN '/x/p/agent-' || n || '.jsonl' WHEN 4 THEN '/x/p/' || n || '.txt' ELSE '/x/p/' || n || '.jsonl' END AS path FROM ev)"""
-_add("s05_prune_tree", lambda s, d: S.prune_tree(_tree(s, d), ["node_modules", ".git"]).select("path"), f"WITH {_EV}, {_PATH} SELECT path FROM tree WHERE k % 6 IN (2, 3, 5)")
-_add("s06_o08_bounded_listing", lambda s, d: S.split_sessions(S.prune_tree(_tree(s, d), []), 100).select("path", "is_subagent"), f"""WITH {_EV}, {_PATH}
+_add("s05_prune_tree", lambda s, d: S.prune_tree(_tree(s, d), ["node_modules", ".git"], "/x").select("path"), f"WITH {_EV}, {_PATH} SELECT path FROM tree WHERE k % 6 IN (2, 3, 5)")
+_add("s06_o08_bounded_listing", lambda s, d: S.split_sessions(S.prune_tree(_tree(s, d), [], "/x"), 100).select("path", "is_subagent"), f"""WITH {_EV}, {_PATH}
 SELECT path, CAST(k % 6 IN (2, 3) AS INT) AS is_subagent FROM tree WHERE k % 6 NOT IN (1, 4) ORDER BY path LIMIT 100""")
 _add("s16_sample_paths", lambda s, d: S.sample_paths(_tree(s, d), 100, 20260821).select("path", "source_tree"), f"""WITH {_EV}, {_PATH}
 SELECT path, CASE WHEN u % 2 = 0 THEN 'archive' ELSE 'live' END AS source_tree FROM tree QUALIFY row_number() OVER (PARTITION BY u % 2 ORDER BY sha256('20260821:' || path)) <= 100""")
@@ -178,7 +178,9 @@ _add("f28_unencodable", lambda s, d: _surrogates(s, d), f"""WITH {_EV} SELECT n
 
 
 def _surrogates(s: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit('{"type":"user","message":{"content":"'), F.repeat(F.lit("a\\ud83d "), (F.col("k") % 4).cast("int")), F.lit('"}}'))
+    raw = F.concat(F.lit('{"type":"user","message":{"content":"'), F.repeat(F.lit("a\\ud83d "), (F.col("k") % 4).cast("int")),
+        # A legal pair and an escaped backslash count as nothing.
+        F.repeat(F.lit("b\\ud83d\\ude00 c\\\\ud83d "), (F.col("k") % 3).cast("int")), F.lit('"}}'))
     lines = X.shaped_events(s, d).where("event_type = 'view'").select(F.col("event_id").alias("path"), F.lit(1).cast("bigint").alias("line_no"), raw.alias("raw"))
     return T.conversation_entries(S.parse_lines(lines)).select(F.col("path").alias("event_id"), F.col("unencodable").cast("bigint").alias("unencodable"))
 
@@ -351,11 +353,14 @@ def _t05(s: SparkSession, d: str) -> DataFrame:
     root = new_run_dir(s, "t05")
     day = lambda c: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int")), "yyyy-MM-dd")
     i = F.col("doc_id")
-    rows = _stream(s, d, "documents").select(
+    # Three files, so at least three batches.
+    X.table(s, d, "documents").repartition(3, "doc_id").write.parquet(f"{root}/in")
+    arriving = s.readStream.schema(X.table(s, d, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    rows = arriving.select(
         i.alias("id"), F.sha2("text", 256).alias("hash"), F.concat_ws("-", "source", "lang").alias("session_uuid"),
         F.when(i % 13 != 0, day(i * 37 % 200)).alias("last_ts"), F.lit("2024-03-01").alias("captured_at"))
-    J.maintain_heads(rows, f"{root}/cp", f"{root}/heads")
-    return J.latest_heads(s, f"{root}/heads", 0).select("id", "session_uuid", "hash", "n_versions")
+    last = J.maintain_heads(rows, f"{root}/cp", f"{root}/heads")
+    return J.latest_heads(s, f"{root}/heads", last).select("id", "session_uuid", "hash", "n_versions")
 
 
 _add("t05_stream_heads", _t05, """SELECT doc_id AS id, source || '-' || lang AS session_uuid, sha256(text) AS hash, count(*) OVER (PARTITION BY source, lang) AS n_versions FROM documents
@@ -450,7 +455,7 @@ _add("f18_prompt_class", _classes, f"""WITH {_EV}
 SELECT n AS event_id, CASE WHEN k % 11 = 5 THEN NULL WHEN k % 5 = 0 THEN 'task_notification' WHEN k % 5 = 1 THEN 'stop_hook' WHEN k % 5 = 2 OR k % 7 = 3 THEN 'machinery' ELSE 'prompt' END AS class FROM ev""")
 _add("f27_f40_titles", lambda s, d: X.shaped_events(s, d).select(
         "event_id", T.title(F.when(F.col("k") % 5 == 0, F.lit("own")), F.when(F.col("k") % 3 == 0, F.lit("made")), F.when(F.col("k") % 2 == 0, F.lit("")).otherwise(F.lit("slug")),
-        F.when(F.col("k") % 4 == 0, F.lit(" line one \nline two")).otherwise(F.lit("(no summary)"))).alias("title")), f"""WITH {_EV}
+        F.when(F.col("k") % 4 == 0, F.lit("<system-reminder>not\nthis</system-reminder>\n line one \nline two")).otherwise(F.lit("(no summary)"))).alias("title")), f"""WITH {_EV}
 SELECT n AS event_id, CASE WHEN k % 5 = 0 THEN 'own' WHEN k % 3 = 0 THEN 'made' WHEN k % 2 = 1 THEN 'slug' WHEN k % 4 = 0 THEN 'line one' ELSE 'session' END AS title FROM ev""")
 
 # ---- appended tables -------------------------------------------------------------------------------

@@ -194,7 +194,8 @@ _EMAIL = R.EMAIL
 
 
 def _patterns() -> list[R.Rule]:
-    return R.redaction_patterns(["[0-9]{3}-[0-9]{4}", "x*", "("], home="/home/ann", username="the", hostname="erth")
+    # The second rule can match nothing at all; the word edge matches nothing ever; the last does not compile.
+    return R.redaction_patterns(["[0-9]{3}-[0-9]{4}", "x*", r"\\b", "("], home="/home/ann", username="the", hostname="erth")
 
 
 def _redacted(s: SparkSession, d: str) -> DataFrame:
@@ -202,14 +203,15 @@ def _redacted(s: SparkSession, d: str) -> DataFrame:
 
 
 _RED = f"""r1 AS (SELECT doc_id, regexp_replace(text, '[0-9]{{3}}-[0-9]{{4}}', '[REDACTED]', 'g') AS a, len(regexp_extract_all(text, '[0-9]{{3}}-[0-9]{{4}}')) AS n1, text FROM documents),
-r2 AS (SELECT *, regexp_replace(a, '{_EMAIL}', '[REDACTED]', 'g') AS b, len(regexp_extract_all(a, '{_EMAIL}')) AS n2 FROM r1),
+rx AS (SELECT *, regexp_replace(a, 'x+', '[REDACTED]', 'g') AS ax, len(regexp_extract_all(a, 'x+')) AS nx FROM r1),
+r2 AS (SELECT *, regexp_replace(ax, '{_EMAIL}', '[REDACTED]', 'g') AS b, len(regexp_extract_all(ax, '{_EMAIL}')) AS n2 FROM rx),
 r3 AS (SELECT *, replace(b, '/home/ann', '[REDACTED]') AS c FROM r2),
 r4 AS (SELECT *, regexp_replace(c, '\\bthe\\b', '[REDACTED]', 'g') AS d, len(regexp_extract_all(c, '\\bthe\\b')) AS n4 FROM r3),
 r5 AS (SELECT *, regexp_replace(d, '\\berth\\b', '[REDACTED]', 'g') AS e, len(regexp_extract_all(d, '\\berth\\b')) AS n5 FROM r4)"""
 _plain("f35_redact_text", lambda s, d: _redacted(s, d).select("doc_id", F.sha2("text", 256).alias("redacted_hash"), F.coalesce(F.try_element_at("hits", F.lit("email")), F.lit(0)).alias("emails")),
        f"WITH {_RED} SELECT doc_id, sha256(e) AS redacted_hash, n2 AS emails FROM r5")
 _plain("k10_redaction_report", lambda s, d: R.redaction_report(_redacted(s, d)), f"""WITH {_RED}, u AS (
-  SELECT '[0-9]{{3}}-[0-9]{{4}}' AS pattern, n1 AS n FROM r5 UNION ALL SELECT 'email', n2 FROM r5 UNION ALL SELECT 'username', n4 FROM r5 UNION ALL SELECT 'hostname', n5 FROM r5)
+  SELECT '[0-9]{{3}}-[0-9]{{4}}' AS pattern, n1 AS n FROM r5 UNION ALL SELECT 'x*', nx FROM r5 UNION ALL SELECT 'email', n2 FROM r5 UNION ALL SELECT 'username', n4 FROM r5 UNION ALL SELECT 'hostname', n5 FROM r5)
 SELECT pattern, CAST(sum(n) AS BIGINT) AS hits, count(*) AS rows FROM u WHERE n > 0 GROUP BY 1""")
 _GEN = R.GENERIC_TOKEN
 

@@ -146,13 +146,32 @@ def discover_live(files: DataFrame) -> DataFrame:
     return _describe(files, shape, "live", parent, container)
 
 
-def prune_tree(files: DataFrame, skip_dirs: list[str], skip_memory: bool = True) -> DataFrame:
-    """Files of a foreign tree, without those under a skipped directory at any depth."""
-    parts = F.split(F.col("path"), "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
+def _pruned_at(skip_dirs: list[str], root: str, skip_memory: bool) -> Column:
+    """The branch of a file that the walk does not enter, NULL for a file it reaches.
+
+    Only folders below the root count, so the root itself may have any name.
+    A ``memory`` folder is pruned directly under a project, not deeper.
+    """
+    below = F.split(F.substr(F.col("path"), F.lit(len(root.rstrip("/")) + 2)), "/")
+    folders = F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0)))
     skipped = F.array(*[F.lit(d) for d in skip_dirs]) if skip_dirs else F.array().cast("array<string>")
-    kept = files.where(~F.arrays_overlap(folders, skipped) & F.col("path").endswith(".jsonl"))
-    return kept.where(~F.col("path").rlike("/memory/")) if skip_memory else kept
+    memory = F.lit(skip_memory) & (F.get(folders, F.lit(1)) == "memory")
+    depths = F.sequence(F.lit(1), F.size(folders))
+    hit = F.get(F.filter(depths, lambda i: F.array_contains(skipped, F.get(folders, i - 1)) | ((i == 2) & memory)), F.lit(0))
+    return F.when(F.size(folders) > 0, F.when(hit.isNotNull(), F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(F.slice(folders, 1, hit), "/"))))
+
+
+def prune_tree(files: DataFrame, skip_dirs: list[str], root: str, skip_memory: bool = True) -> DataFrame:
+    """Transcripts below ``root``, without those in a skipped directory at any depth or in a project's memory."""
+    inside = files.where(F.col("path").startswith(root.rstrip("/") + "/") & F.col("path").endswith(".jsonl"))
+    return inside.where(_pruned_at(skip_dirs, root, skip_memory).isNull())
+
+
+def pruned_branches(files: DataFrame, skip_dirs: list[str], root: str, skip_memory: bool = True) -> DataFrame:
+    """Each branch that the walk leaves out, and how many listed files it holds."""
+    inside = files.where(F.col("path").startswith(root.rstrip("/") + "/"))
+    branch = _pruned_at(skip_dirs, root, skip_memory).alias("branch")
+    return inside.select(branch).where("branch is not null").groupBy("branch").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def split_sessions(files: DataFrame, limit: int | None = None) -> DataFrame:

@@ -124,21 +124,27 @@ def daily_counts(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> Dat
     )
 
 
-def maintain_heads(stream: DataFrame, checkpoint: str, path: str) -> None:
-    """Keep the head of every version chain as versions arrive in any order.
+def maintain_heads(stream: DataFrame, checkpoint: str, path: str) -> int:
+    """Keep the head of every version chain as versions arrive in any order; the last batch's number.
 
     Payload time decides, not arrival. Each batch reads the table the batch
     before it wrote and writes the next one beside it, so a retried batch
-    starts from the same input.
+    starts from the same input. A head carries how many versions its chain has
+    had, and a batch adds its own; an id repeated inside a batch counts once.
+    The returned number is that of the newest table, -1 if no batch came.
     """
+    last = [-1]
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
+        rows = batch.dropDuplicates(["id"]).withColumn("_n", F.lit(1).cast("bigint"))
         if batch_id > 0:
             held = batch.sparkSession.read.parquet(f"{path}/v{batch_id - 1}")
-            rows = batch.unionByName(held.drop("n_versions"))
-        heads(rows).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+            rows = rows.unionByName(held.withColumnRenamed("n_versions", "_n"))
+        heads(rows, weight="_n").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        last[0] = batch_id
 
     run_to_end(stream, checkpoint, each=merge)
+    return last[0]
 
 
 def latest_heads(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
