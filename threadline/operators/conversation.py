@@ -33,7 +33,8 @@ NOTIFICATION = r"(?s)<task-notification>(.*?)</task-notification>"
 STOP_HOOK = "Stop hook feedback:"
 COMMIT = r"\[[\w\-/]+ ([a-f0-9]{7,})\] (.+?)(?:\n|$)"
 GITHUB_REPO = r"github\.com/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)/pull/new/"
-FILE_TOOLS = ["Write", "Edit", "MultiEdit", "NotebookEdit"]
+# Tools that change files.
+FILE_TOOLS = ["Edit", "Write", "NotebookEdit", "MultiEdit"]
 SUMMARY_LENGTH = 200
 CAPTION_LENGTH = 72
 BLOCK_BITS = 20

@@ -21,13 +21,14 @@ ATTRIBUTION_KINDS = {
 # Text that marks an interrupted request.
 INTERRUPT_MARKERS = ["[Request interrupted by user", "[Request interrupted by"]
 
-# Fields read as VARIANT so that their JSON type can still be told.
-_TEXTS = """
-type timestamp sessionId cwd gitBranch slug version entrypoint userType agentId agentName effort permissionMode
-promptSource promptId apiRefusalCategory aiTitle customTitle subtype durationMs
-isSidechain interruptedByShutdown isApiErrorMessage isMeta
-""".split() + list(ATTRIBUTION_KINDS)
-_COUNTERS = "input_tokens output_tokens cache_creation_input_tokens cache_read_input_tokens".split()
+# Fields read as VARIANT so that their JSON type can still be told, and token counters.
+_TEXTS = [
+    "type", "timestamp", "sessionId", "cwd", "gitBranch", "slug", "version", "entrypoint", "userType", "agentId",
+    "agentName", "effort", "permissionMode", "promptSource", "promptId", "apiRefusalCategory", "aiTitle",
+    "customTitle", "subtype", "durationMs", "isSidechain", "interruptedByShutdown", "isApiErrorMessage", "isMeta",
+    *ATTRIBUTION_KINDS,
+]
+_COUNTERS = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
 ENTRY_SCHEMA = (
     "array<struct<" + ", ".join(f"{f}: variant" for f in _TEXTS)
     + ", message: struct<model: variant, stop_reason: variant, content: variant, stop_details: struct<category: variant>, usage: struct<"

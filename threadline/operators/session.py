@@ -26,20 +26,22 @@ FREQUENCY_MAPS = {
     "refusal_categories_json": "refusal",
 }
 
-SESSION_COLUMNS = """
-key session_uuid source_tree source_path container_name size_bytes line_count is_subagent
-parent_session_uuid agent_id agent_name cwd project_label repo_root is_worktree worktree_name
-git_branch first_ts last_ts wall_seconds active_seconds engaged_seconds idle_seconds local_date
-local_hour local_weekday tz_offset n_user_prompts n_prompt_ids n_assistant_turns n_tool_uses
-n_tool_results n_thinking_blocks n_attachments n_turn_duration_events tok_input tok_output
-tok_cache_write_5m tok_cache_write_1h tok_cache_write tok_cache_write_declared tok_cache_read
-tok_thinking tok_billable_total tok_context_total cost_input_usd cost_output_usd
-cost_cache_write_usd cost_cache_read_usd cost_usd primary_model models_json cc_versions_json
-effort_json service_tiers_json speeds_json permission_modes_json prompt_sources_json
-entry_types_json entrypoint user_type is_sidechain cc_version is_real has_usage n_api_errors
-n_interrupts n_refusals refusal_categories_json interrupted_by_shutdown n_malformed_lines
-web_search_requests web_fetch_requests ai_title custom_title slug_title first_prompt_preview
-""".split()
+# The published columns of a session, in their order.
+SESSION_COLUMNS = [
+    "key", "session_uuid", "source_tree", "source_path", "container_name", "size_bytes", "line_count", "is_subagent",
+    "parent_session_uuid", "agent_id", "agent_name", "cwd", "project_label", "repo_root", "is_worktree",
+    "worktree_name", "git_branch", "first_ts", "last_ts", "wall_seconds", "active_seconds", "engaged_seconds",
+    "idle_seconds", "local_date", "local_hour", "local_weekday", "tz_offset", "n_user_prompts", "n_prompt_ids",
+    "n_assistant_turns", "n_tool_uses", "n_tool_results", "n_thinking_blocks", "n_attachments",
+    "n_turn_duration_events", "tok_input", "tok_output", "tok_cache_write_5m", "tok_cache_write_1h",
+    "tok_cache_write", "tok_cache_write_declared", "tok_cache_read", "tok_thinking", "tok_billable_total",
+    "tok_context_total", "cost_input_usd", "cost_output_usd", "cost_cache_write_usd", "cost_cache_read_usd",
+    "cost_usd", "primary_model", "models_json", "cc_versions_json", "effort_json", "service_tiers_json",
+    "speeds_json", "permission_modes_json", "prompt_sources_json", "entry_types_json", "entrypoint", "user_type",
+    "is_sidechain", "cc_version", "is_real", "has_usage", "n_api_errors", "n_interrupts", "n_refusals",
+    "refusal_categories_json", "interrupted_by_shutdown", "n_malformed_lines", "web_search_requests",
+    "web_fetch_requests", "ai_title", "custom_title", "slug_title", "first_prompt_preview",
+]
 
 
 def first_value(value: Column, order: str = "line_no") -> Column:
