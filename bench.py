@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -39,6 +40,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # One machine, so any folder is shared.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,7 +63,9 @@ def main() -> None:
     for name in HEADLINE:
         sink(queries[name](spark, sf_dir))
         times[name] = timed(lambda: sink(queries[name](spark, sf_dir)))
-    transcripts = facts_for(spark, sf_dir).session.count()
+    facts = facts_for(spark, sf_dir)
+    transcripts, lines = facts.session.count(), facts.entry.count()
+    size_mb = facts.listing.agg({"size_bytes": "sum"}).first()[0] / 1e6
     print(
         json.dumps(
             {
@@ -71,6 +76,8 @@ def main() -> None:
                 "sf": sf_dir.rsplit("sf", 1)[-1],
                 "transcripts": transcripts,
                 "transcripts_per_sec": round(transcripts / times["etl_build_facts"], 1),
+                "lines_per_sec": round(lines / times["etl_build_facts"], 1),
+                "mb_per_sec": round(size_mb / times["etl_build_facts"], 3),
                 "cpus": int(cpus),
             }
         )
