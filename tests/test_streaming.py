@@ -19,8 +19,8 @@ def batches(spark, tmp_path, frames, schema):
 def test_repeats_extend_the_window_across_batches(spark, tmp_path):
     at = lambda s: BASE + dt.timedelta(seconds=s)
     stream = batches(spark, tmp_path, [[(1, "h", at(0)), (2, "h", at(8))], [(3, "h", at(16)), (4, "h", at(40)), (5, "g", at(40))]], "id bigint, hash string, at timestamp")
-    J.run_to_end(J.event_actions(stream), str(tmp_path / "cp"), str(tmp_path / "out"))
-    got = {r.id: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    J.event_actions(stream, str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = {r.id: r.action for r in spark.read.parquet(str(tmp_path / "out" / "actions")).collect()}
     assert got == {1: "stored", 2: "duplicate-invocation", 3: "duplicate-invocation", 4: "skipped_unchanged", 5: "stored"}
 
 

@@ -121,7 +121,7 @@ def facets(entries: DataFrame) -> DataFrame:
 def attribution(facet_counts: DataFrame) -> DataFrame:
     return facet_counts.where(F.col("kind").startswith("attr:")).select(
         F.col("key").alias("session_key"),
-        F.substring("kind", 6, 40).alias("kind"),
+        F.regexp_replace("kind", "^attr:", "").alias("kind"),
         "name",
         F.col("n").alias("count"),
     )

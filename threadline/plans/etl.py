@@ -15,6 +15,7 @@ from threadline.operators.entries import extract_entries, priced_entries
 from threadline.operators.intervals import overlap_by_day, session_spans
 from threadline.runtime import new_run_dir, stage
 from threadline.sources import transcripts as T
+from threadline.streaming.jobs import changed_files
 
 
 #: Winning files that may be broadcast; at some 200 bytes each that is at most 50 MB.
@@ -59,30 +60,50 @@ def entries_of(lines: DataFrame, winners: DataFrame, prices: PriceList | None =
 def build_facts(
     spark: SparkSession, lines: DataFrame, listing: DataFrame, zone: str,
     prices: PriceList | None = None, line_chunk: int = S.LINE_CHUNK,
-    idle_gap: int = S.IDLE_GAP_SECONDS,
+    idle_gap: int = S.IDLE_GAP_SECONDS, previous: Facts | None = None, fingerprint: str = "1",
 ) -> Facts:
-    """Parse once into a staged entry table, then derive every fact table from it."""
+    """Parse once into a staged entry table, then derive every fact table from it.
+
+    With the facts of the last run as ``previous``, only files that are new, or
+    of another size or time (``modified``), are parsed and folded; the rows of
+    all others are carried over, and those of vanished files go. ``fingerprint``
+    names the rules of a build (zone, prices, idle gap): facts made under
+    another one are not used. A file without a known time counts as changed.
+    ``lines`` need to hold no more than the files to parse.
+    """
     root = new_run_dir(spark, "facts")
-    found = discover(listing)
-    winners = stage(keep_largest(found), f"{root}/listing")
-    entry = stage(entries_of(lines, winners, prices), f"{root}/entry")
+    if "modified" not in listing.columns:
+        listing = listing.withColumn("modified", F.lit(None).cast("timestamp"))
+    winners = stage(keep_largest(discover(listing)).withColumn("fingerprint", F.lit(fingerprint)), f"{root}/listing")
+    fresh = winners if previous is None else stage(changed_files(winners, previous.listing, fingerprint), f"{root}/changed")
+    kept = None if previous is None else winners.join(fresh.select("key"), "key", "left_anti").select("key")
+
+    def whole(name: str, rows: DataFrame, key: str = "session_key") -> DataFrame:
+        """The new rows of a table and those of the unchanged files, as one stored table."""
+        if kept is None:
+            return stage(rows, f"{root}/{name}")
+        old = getattr(previous, name).join(kept.withColumnRenamed("key", key), key, "left_semi")
+        return stage(rows.unionByName(old), f"{root}/{name}")
+
+    entry = stage(entries_of(lines, fresh, prices), f"{root}/entry_fresh" if kept is not None else f"{root}/entry")
 
     # Everything below reads only the staged entries; independent writes are
     # submitted together so that small jobs fill each other's gaps.
     def fold_sessions() -> tuple[DataFrame, DataFrame, DataFrame]:
         counts = stage(S.facets(entry), f"{root}/facet")
-        table = stage(S.sessions(entry, counts, winners, zone, idle_gap), f"{root}/session")
+        table = whole("session", S.sessions(entry, counts, fresh, zone, idle_gap), "key")
         overlap = stage(overlap_by_day(session_spans(table), zone), f"{root}/overlap_day")
         return counts, table, overlap
 
-    with ThreadPoolExecutor(3) as pool:
+    with ThreadPoolExecutor(4) as pool:
         folded = pool.submit(fold_sessions)
-        turns = pool.submit(lambda: stage(S.turns(entry, line_chunk), f"{root}/turn"))
-        calls = pool.submit(lambda: stage(S.tool_calls(entry), f"{root}/tool_call"))
+        turns = pool.submit(lambda: whole("turn", S.turns(entry, line_chunk)))
+        calls = pool.submit(lambda: whole("tool_call", S.tool_calls(entry)))
+        entries = entry if kept is None else pool.submit(lambda: whole("entry", entry, "key")).result()
         facet_counts, session, overlap = folded.result()
         turn, tool_call = turns.result(), calls.result()
-    attribution = stage(S.attribution(facet_counts), f"{root}/attribution")
+    attribution = whole("attribution", S.attribution(facet_counts))
     meta = spark.range(1).select(
         F.lit(zone).alias("local_timezone"), F.lit(PRICES_READ_ON).alias("prices_read_on")
     )
-    return Facts(entry, session, turn, tool_call, attribution, overlap, meta, winners, root)
+    return Facts(entries, session, turn, tool_call, attribution, overlap, meta, winners, root)

@@ -292,15 +292,32 @@ _add("k10_share", _shared, f"SELECT doc_id, sha256(regexp_replace(text, '{R.EMAI
 # ---- streams --------------------------------------------------------------------------------
 
 
-def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.readStream.schema(X.table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def _arriving(s: SparkSession, d: str, label: str, run, order: Column | None = None, parts: int = 3) -> str:
+    """Run a stream job ``parts`` times on one checkpoint; before each run the next part of the events arrives."""
+    root = new_run_dir(s, label)
+    rows = X.table(s, d, "events")
+    order = F.unix_micros(F.col("ts").cast("timestamp")) if order is None else order
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    share = F.least(F.floor((order - first) * parts / max(last - first, 1)), F.lit(parts - 1)) if first is not None else F.lit(0)
+    for part in range(parts):
+        rows.where(share == part).write.parquet(f"{root}/in/{part}")
+        arrived = s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        run(arrived.withColumn("ts", F.col("ts").cast("timestamp")), root)
+    return root
+
+
+def _appended_stream(s: SparkSession, d: str, label: str, frame) -> DataFrame:
+    root = _arriving(s, d, label, lambda rows, at: J.run_to_end(frame(rows), f"{at}/cp", f"{at}/out"))
+    return s.read.parquet(f"{root}/out")
 
 
 def _t01(s: SparkSession, d: str) -> DataFrame:
-    root = new_run_dir(s, "t01")
-    rows = _stream(s, d, "events").select(
-        F.col("event_id").alias("line_no"), F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("raw"))
-    J.ingest(rows, f"{root}/cp", f"{root}/out")
+    def run(events: DataFrame, root: str) -> None:
+        rows = events.select(
+            F.col("event_id").alias("line_no"), F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("raw"))
+        J.ingest(rows, f"{root}/cp", f"{root}/out")
+
+    root = _arriving(s, d, "t01", run)
     return s.read.parquet(f"{root}/out").groupBy("is_bad").agg(F.count(F.lit(1)).alias("entries"))
 
 
@@ -308,11 +325,12 @@ _add("t01_stream_ingest", _t01, "SELECT event_type = 'error' AS is_bad, count(*)
 
 
 def _t02(s: SparkSession, d: str) -> DataFrame:
-    root = new_run_dir(s, "t02")
-    rows = _stream(s, d, "events").select(
-        F.col("event_id").alias("id"), F.sha2(F.concat_ws("-", "user_id", "event_type"), 256).alias("hash"), F.col("ts").cast("timestamp").alias("at"))
-    J.run_to_end(J.event_actions(rows, 43200), f"{root}/cp", f"{root}/out")
-    return s.read.parquet(f"{root}/out")
+    def run(events: DataFrame, root: str) -> None:
+        rows = events.select(F.col("event_id").alias("id"), F.sha2(F.concat_ws("-", "user_id", "event_type"), 256).alias("hash"), F.col("ts").alias("at"))
+        J.event_actions(rows, f"{root}/cp", root, 43200)
+
+    root = _arriving(s, d, "t02", run, F.col("event_id"))
+    return s.read.parquet(f"{root}/actions").select("id", "hash", "action")
 
 
 _add("t02_stream_actions", _t02, """SELECT event_id AS id, sha256(user_id || '-' || event_type) AS hash,
@@ -321,32 +339,29 @@ FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)""")
 
 
 def _t03(s: SparkSession, d: str) -> DataFrame:
-    root = new_run_dir(s, "t03")
-    at = F.col("ts").cast("timestamp")
-    started = _stream(s, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("session"), at.alias("started_at"))
-    finished = _stream(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("session"), at.alias("finished_at"))
-    J.run_to_end(J.unfinished(started, finished, "6 hours"), f"{root}/cp", f"{root}/out")
-    return s.read.parquet(f"{root}/out")
-
+    def frame(events: DataFrame) -> DataFrame:
+        started = events.where("event_type = 'signup'").select(F.col("user_id").alias("session"), F.col("ts").alias("started_at"))
+        finished = events.where("event_type = 'purchase'").select(F.col("user_id").alias("session"), F.col("ts").alias("finished_at"))
+        return J.unfinished(started, finished, "6 hours")
 
-_add("t03_stream_unfinished", _t03, None)
+    return _appended_stream(s, d, "t03", frame).select("session", F.unix_micros("started_at").alias("started_us"))
 
 
-def _complete(s: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    root = new_run_dir(s, label)
-    J.run_to_end(frame, f"{root}/cp", each=lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
-    return s.read.parquet(f"{root}/out")
+# A start is judged once both streams have passed its grace.
+_add("t03_stream_unfinished", _t03, """WITH wm AS (SELECT least(max(ts) FILTER (event_type = 'signup'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 1 MINUTE AS at FROM events)
+SELECT user_id AS session, epoch_us(ts) AS started_us FROM events s, wm WHERE event_type = 'signup' AND ts + INTERVAL 6 HOUR <= wm.at
+AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'purchase' AND f.user_id = s.user_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 6 HOUR)""")
 
 
 def _t04(s: SparkSession, d: str) -> DataFrame:
-    rows = _stream(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = _complete(s, J.activity_sessions(rows, "user_id", gap=f"{IDLE_GAP} seconds"), "t04")
+    out = _appended_stream(s, d, "t04", lambda e: J.activity_sessions(e.select("user_id", "ts"), "user_id", gap=f"{IDLE_GAP} seconds"))
     return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "events", "active_seconds")
 
 
 _add("t04_stream_sessions", _t04, f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL {IDLE_GAP} SECOND THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 h AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
-SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS active_seconds FROM h GROUP BY user_id, i""")
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS active_seconds FROM h GROUP BY user_id, i
+HAVING max(ts) + INTERVAL {IDLE_GAP} SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 
 
 def _t05(s: SparkSession, d: str) -> DataFrame:
@@ -365,8 +380,9 @@ def _t05(s: SparkSession, d: str) -> DataFrame:
 
 _add("t05_stream_heads", _t05, """SELECT doc_id AS id, source || '-' || lang AS session_uuid, sha256(text) AS hash, count(*) OVER (PARTITION BY source, lang) AS n_versions FROM documents
 QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY coalesce(CASE WHEN doc_id % 13 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id * 37 % 200 AS INT), '%Y-%m-%d') END, '2024-03-01') DESC, doc_id DESC) = 1""")
-_add("t06_stream_daily", lambda s, d: _complete(s, J.daily_counts(_stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))), "t06"),
-     "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
+_add("t06_stream_daily", lambda s, d: _appended_stream(s, d, "t06", lambda e: J.daily_counts(e.select("ts"))),
+     """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1
+HAVING CAST(max(ts) AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 
 # ---- single aspects of the session fold ---------------------------------------------------------
 

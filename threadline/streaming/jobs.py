@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from threadline.operators.catalog import heads
+from threadline.operators.catalog import ID_CHUNK, heads
+from threadline.operators.ordered import previous_row
 from threadline.sources.transcripts import parse_lines
 
 
@@ -27,15 +26,15 @@ def changed_files(listing: DataFrame, seen: DataFrame, fingerprint: str) -> Data
     this anti join on listing metadata covers that side.
     """
     keyed = listing.withColumn("fingerprint", F.lit(fingerprint))
+    seen = seen.select("path", "size_bytes", "modified", "fingerprint")
     return keyed.join(seen, ["path", "size_bytes", "modified", "fingerprint"], "left_anti")
 
 
 def run_to_end(
-    stream: DataFrame, checkpoint: str, path: str | None = None, each: Callable[[DataFrame, int], None] | None = None,
-    mode: str = "append",
+    stream: DataFrame, checkpoint: str, path: str | None = None, each: Callable[[DataFrame, int], None] | None = None
 ) -> None:
     """Process what is there and stop: into Parquet at ``path``, or through ``each``."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query: StreamingQuery
     if each is not None:
         query = writer.foreachBatch(each).start()
@@ -63,29 +62,41 @@ def drop_repeats(stream: DataFrame, ts: str = "at", key: str = "hash", window: s
     return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
-def event_actions(stream: DataFrame, window_seconds: int = 10) -> DataFrame:
+def event_actions(stream: DataFrame, checkpoint: str, path: str, window_seconds: int = 10, chunk: int = ID_CHUNK) -> None:
     """The exact rule: an event is a repeat of the LATEST event of its hash, so repeats extend the window.
 
-    State per hash is one timestamp. Input columns: ``hash, id, at``.
+    Input columns: ``hash, id, at``; ids grow from batch to batch. ``path/actions``
+    gets ``id, hash, action`` and ``path/seen`` the last event of every hash of a
+    batch, one folder per batch. That log is the catalogue of stored hashes: a
+    batch looks its own hashes up in the earlier folders, so nothing is kept in
+    operator state and a retried batch overwrites its own folders only. A hash
+    with most events of a batch is cut into chunks of ids.
     """
-    limit = pd.Timedelta(seconds=window_seconds)
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("id", kind="stable")
-        actions = []
-        for at in rows["at"]:
-            if last is None:
-                actions.append("stored")
-            else:
-                actions.append("duplicate-invocation" if at - last <= limit else "skipped_unchanged")
-            last = at
-        state.update((int(last.value // 1000),))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "hash": key[0], "action": actions})
-
-    return stream.groupBy("hash").applyInPandasWithState(
-        decide, "id bigint, hash string, action string", "last_us bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    columns = "hash string, id bigint, at timestamp"
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("id", "hash", "at")
+        last = rows.groupBy("hash").agg(F.max_by(F.struct("id", "at"), "id").alias("e")).select("hash", "e.id", "e.at")
+        spark = batch.sparkSession
+        if batch_id > 0:
+            seen = spark.read.schema(f"{columns}, batch bigint").parquet(f"{path}/seen").where(F.col("batch") < batch_id)
+        else:
+            seen = spark.createDataFrame([], f"{columns}, batch bigint")
+        held = seen.join(rows.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
+            F.max_by("at", F.struct("batch", "id")).alias("held_at")
+        )
+        known = previous_row(rows, ["hash"], "id", ["at"], chunk).join(held, "hash", "left")
+        before = F.coalesce("prev_at", "held_at")
+        gap = F.unix_micros("at") - F.unix_micros(before)
+        action = (
+            F.when(before.isNull(), "stored")
+            .when(gap <= window_seconds * 1_000_000, "duplicate-invocation")
+            .otherwise("skipped_unchanged")
+        )
+        known.select("id", "hash", action.alias("action")).write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
+        last.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+
+    run_to_end(stream, checkpoint, each=decide)
 
 
 def unfinished(started: DataFrame, finished: DataFrame, grace: str = "5 minutes") -> DataFrame:
@@ -108,7 +119,8 @@ def unfinished(started: DataFrame, finished: DataFrame, grace: str = "5 minutes"
 def activity_sessions(stream: DataFrame, key: str, ts: str = "ts", gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of activity per key closed by ``gap`` of silence: start, last event, active seconds.
 
-    Active time is last minus first event, without the trailing gap of the
+    A run is emitted once the watermark has passed its silence, and its state
+    goes. Active time is last minus first event, without the trailing gap of the
     window. A silence of exactly ``gap`` splits here and does not in the batch figure.
     """
     runs = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(
@@ -119,6 +131,7 @@ def activity_sessions(stream: DataFrame, key: str, ts: str = "ts", gap: str = "5
 
 
 def daily_counts(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Events per UTC day, each day once the watermark has passed its end."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("events")).select(
         F.date_format("window.start", "yyyy-MM-dd").alias("day"), "events"
     )
