@@ -24,13 +24,13 @@ def project_label(path: Column) -> Column:
     is_wsl = F.slice(lowered, 1, 3) == F.array(F.lit("mnt"), F.lit("c"), F.lit("users"))
     is_home = F.coalesce(F.try_element_at(lowered, F.lit(1)).isin(HOME_DIRS), F.lit(False))
     tail = (
-        F.when(is_wsl, F.slice(parts, 4, 1 << 20))
-        .when(is_home, F.slice(parts, 2, 1 << 20))
+        F.when(is_wsl, F.slice(parts, 4, F.size(parts)))
+        .when(is_home, F.slice(parts, 2, F.size(parts)))
         .otherwise(parts)
     )
     second = F.lower(F.try_element_at(tail, F.lit(2)))
     # The owner's own folder goes too when a container folder follows it.
-    tail = F.when(F.coalesce(second.isin(SKIP_DIRS), F.lit(False)), F.slice(tail, 2, 1 << 20)).otherwise(tail)
+    tail = F.when(F.coalesce(second.isin(SKIP_DIRS), F.lit(False)), F.slice(tail, 2, F.size(tail))).otherwise(tail)
     kept = F.filter(tail, lambda s: ~F.lower(s).isin(SKIP_DIRS))
     return (
         F.when(F.size(kept) > 0, F.array_join(kept, "-"))
@@ -65,7 +65,7 @@ def worktree_name(path: Column) -> Column:
     parts = path_parts(path)
     segment = F.try_element_at(parts, at)
     following = F.coalesce(F.try_element_at(parts, at + 1), segment)
-    suffix = F.nullif(F.substring(segment, len(WORKTREE_PREFIX) + 1, 1 << 20), F.lit(""))
+    suffix = F.nullif(F.substr(segment, F.lit(len(WORKTREE_PREFIX) + 1)), F.lit(""))
     return F.when(
         at > 0,
         F.when(segment.isin(WORKTREE_DIRS), following).otherwise(F.coalesce(suffix, segment)),

@@ -25,6 +25,16 @@ def dictionary(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return position(first, ["_at", "value"], "id").select("value", F.col("id").cast("bigint").alias("id"))
 
 
+def dictionaries(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """The dictionaries of several columns in one pass: ``column, value, id``."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit("")).alias("value")) for c in columns]))
+    seen = df.select(F.struct(*order).alias("_at"), cells.alias("_c")).groupBy("_c.column", "_c.value").agg(F.min("_at").alias("_at"))
+    placed = position(seen, ["column", "_at", "value"], "_id")
+    # One row per column.
+    begins = placed.groupBy("column").agg(F.min("_id").alias("_begin"))
+    return placed.join(F.broadcast(begins), "column").select("column", "value", (F.col("_id") - F.col("_begin")).cast("bigint").alias("id"))
+
+
 def _encode(df: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
     keys = ids.select(F.col("value").alias("_v"), F.col("id").alias(out))
     return df.join(keys, F.coalesce(F.col(column), F.lit("")) == F.col("_v"), "left").drop("_v")
@@ -45,10 +55,10 @@ FIRST_SEEN = ["local_date", "local_hour", "key"]
 def cube_sessions(session: DataFrame, span: Span = Span()) -> DataFrame:
     """One encoded row per real session, in export order ``row_id``."""
     rows = _ordered_sessions(session, span)
-    for column, out in (
-        ("project_label", "project"), ("repo_root", "repo"), ("cc_version", "version"), ("primary_model", "model"),
-    ):
-        rows = _encode(rows, column, dictionary(real_sessions(session, span), column, FIRST_SEEN), f"{out}_id")
+    coded = {"project_label": "project", "repo_root": "repo", "cc_version": "version", "primary_model": "model"}
+    ids = dictionaries(real_sessions(session, span), list(coded), FIRST_SEEN)
+    for column, out in coded.items():
+        rows = _encode(rows, column, ids.where(F.col("column") == column), f"{out}_id")
     return rows.select(
         "row_id", "local_date", "local_hour", "local_weekday", "project_id", "repo_id",
         F.col("is_worktree").alias("worktree"),
@@ -111,8 +121,9 @@ def wall_sessions(session: DataFrame, span: Span = Span()) -> DataFrame:
     rows = real_sessions(session, span).where("local_date is not null")
     begin, end = times.parse_instant(F.col("first_ts")), times.parse_instant(F.col("last_ts"))
     order = ["local_date", "first_ts", "key"]
-    coded = _encode(rows, "project_label", dictionary(rows, "project_label", order), "project_id")
-    coded = _encode(coded, "primary_model", dictionary(rows, "primary_model", order), "model_id")
+    ids = dictionaries(rows, ["project_label", "primary_model"], order)
+    coded = _encode(rows, "project_label", ids.where("column = 'project_label'"), "project_id")
+    coded = _encode(coded, "primary_model", ids.where("column = 'primary_model'"), "model_id")
     return coded.join(wall_days(session, span), "local_date").select(
         "key",
         "day_id",
@@ -196,17 +207,32 @@ def weekly_concurrency(overlap_day: DataFrame, span: Span = Span()) -> DataFrame
 
 
 def session_length(session: DataFrame, span: Span = Span()) -> DataFrame:
-    """Exact median and mean engaged length of the operator's own sessions."""
-    own = real_sessions(session, span).where("is_subagent = 0")
-    return own.agg(
+    """Exact median and mean engaged length of the operator's own sessions.
+
+    The median is the mean of the one or two middle ranks of a distributed sort.
+    """
+    own = real_sessions(session, span).where("is_subagent = 0").select("key", "engaged_seconds")
+    totals = own.agg(
         F.count(F.lit(1)).alias("sessions"),
-        F.round(F.expr("percentile(engaged_seconds, 0.5)"), 2).alias("median_seconds"),
         F.round(F.sum(F.col("engaged_seconds").cast("decimal(20,3)")).cast("double") / F.count(F.lit(1)), 2).alias("mean_seconds"),
     )
+    last = F.col("sessions") - 1
+    middle = totals.select("*", F.explode(F.array(F.floor(last / 2), F.ceil(last / 2))).alias("_rank"))
+    ranked = position(own, ["engaged_seconds", "key"], "_rank").select("_rank", "engaged_seconds")
+    met = middle.join(ranked, "_rank", "left")
+    return met.groupBy("sessions", "mean_seconds").agg(F.round(F.avg("engaged_seconds"), 2).alias("median_seconds")).select(
+        "sessions", "median_seconds", "mean_seconds"
+    )
 
 
-def missing_days(session: DataFrame, span: Span = Span()) -> DataFrame:
-    """Days between the first and the last session on which none started."""
+def missing_days(session: DataFrame, span: Span = Span(), by: str | None = None) -> DataFrame:
+    """Days between the first and the last session on which none started, over all or for each value of ``by``."""
+    if by is not None:
+        own = real_sessions(session, span).where(F.col(by).isNotNull() & F.col("local_date").isNotNull()).select(by, "local_date").distinct()
+        day = F.to_date("local_date")
+        ends = own.groupBy(by).agg(F.sequence(F.min(day), F.max(day)).alias("_days"))
+        every = ends.select(by, F.explode("_days").alias("_d")).select(by, F.date_format("_d", "yyyy-MM-dd").alias("local_date"))
+        return every.join(own, [by, "local_date"], "left_anti")
     active = real_sessions(session, span).where("local_date is not null").select("local_date").distinct()
     return calendar(active, "local_date").join(active, "local_date", "left_anti")
 

@@ -190,24 +190,23 @@ def redundancy(reviewed: DataFrame, patterns: list[str]) -> DataFrame:
     )
     # Distinct match sets are at most the subsets of a short pattern list.
     sets = rows.distinct()
-    spare = (
-        sets.select(F.explode("m").alias("pattern"), (F.size("m") == 1).alias("sole"))
-        .groupBy("pattern")
-        .agg(F.max("sole").alias("sole"))
-        .where(~F.col("sole"))
-        .agg(F.coalesce(F.collect_set("pattern"), F.array().cast("array<string>")).alias("z"))
+    listed = sets.select("m", F.explode("m").alias("pattern"))
+    spare = listed.groupBy("pattern").agg(F.max(F.size("m") == 1).alias("sole")).where(~F.col("sole")).select("pattern")
+    held = listed.join(spare.withColumn("_spare", F.lit(True)), "pattern", "left").groupBy("m")
+    groups = held.agg(F.bool_and(F.coalesce("_spare", F.lit(False))).alias("all_spare")).where("all_spare").select(F.col("m").alias("grp"))
+    member = groups.select("grp", F.explode("grp").alias("pattern"))
+    # A group that holds all of a smaller one is not minimal.
+    inner = member.select(F.col("grp").alias("part"), "pattern").where(F.size("part") > 0)
+    larger = (
+        member.join(inner, "pattern")
+        .where(F.size("part") < F.size("grp"))
+        .groupBy("grp", "part")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") == F.size("part"))
+        .select("grp")
+        .distinct()
     )
-    groups = sets.join(spare).where(F.size(F.array_except("m", "z")) == 0).select(F.col("m").alias("grp"))
-    gathered = groups.agg(F.collect_set("grp").alias("all_groups"))
-    minimal = groups.join(gathered).where(
-        ~F.exists(
-            "all_groups",
-            lambda g: (F.size(g) < F.size("grp")) & (F.size(F.array_except(g, F.col("grp"))) == 0),
-        )
-    ).select("grp")
-    member = minimal.select(F.explode("grp").alias("pattern"), "grp")
-    spare_rows = spare.select(F.explode("z").alias("pattern"))
-    joined = spare_rows.join(member, "pattern", "left")
+    joined = spare.join(member.join(larger, "grp", "left_anti"), "pattern", "left")
     return joined.select(
         "pattern",
         F.when(F.col("grp").isNull(), "alone").otherwise("group").alias("verdict"),

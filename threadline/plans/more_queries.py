@@ -23,7 +23,7 @@ from threadline.plans.catalog_queries import _LOG
 
 from threadline.plans.oracle_base import FACTS_CTE, IDLE_GAP, over_facts
 from threadline.plans.talk_queries import _TALK, talk_for
-from threadline.runtime import new_run_dir, prepare
+from threadline.runtime import new_run_dir, prepare, stage
 from threadline.sources import logs as L
 from threadline.sources import transcripts as S
 from threadline.streaming import jobs as J
@@ -111,7 +111,15 @@ def _project_docs(s: SparkSession, d: str) -> DataFrame:
 
 _add("s14_project_sidecars", lambda s, d: L.project_sidecars(_project_docs(s, d)), """
 SELECT '/arch/' || n_name AS folder, n_name AS label, unnest(['/home/' || n_name, '/srv']) AS alias FROM nation WHERE n_nationkey % 5 <> 4""")
-_add("k11_split_history", lambda s, d: L.history_rows(Z.history_lines(s, d)).select("session_uuid", "line_no"), f"WITH {_LOG} SELECT session_uuid, n AS line_no FROM hist")
+
+
+def _split_history(s: SparkSession, d: str) -> DataFrame:
+    root = new_run_dir(s, "history")
+    sinks.split_history(L.history_rows(Z.history_lines(s, d)), root)
+    return s.read.parquet(root).select("session_uuid", "line_no")
+
+
+_add("k11_split_history", _split_history, f"WITH {_LOG} SELECT session_uuid, n AS line_no FROM hist")
 
 # ---- longest prefix --------------------------------------------------------------
 
@@ -249,11 +257,56 @@ def _exported(s: SparkSession, d: str) -> DataFrame:
 
 _add("k02_o10_csv_export", _exported, over_facts("""SELECT local_date, count(*) AS sessions, round(CAST(sum(CAST(engaged_seconds AS DECIMAL(20,3))) AS DOUBLE) / 3600.0, 2) AS engaged_hours
 FROM session WHERE is_real = 1 AND is_subagent = 0 AND local_date IS NOT NULL GROUP BY 1"""))
-_add("k06_build_report", lambda s, d: sinks.build_report(Q.facts_for(s, d)).where("item like 'rows:%' or item like 'unpriced:%'"), over_facts("""
+_add("k06_build_report", lambda s, d: sinks.build_report(Q.facts_for(s, d)), over_facts("""
 SELECT 'rows:session' AS item, CAST(count(*) AS VARCHAR) AS value FROM session UNION ALL SELECT 'rows:turn', CAST(count(*) AS VARCHAR) FROM turn
 UNION ALL SELECT 'rows:tool_call', CAST(count(*) AS VARCHAR) FROM tool_call UNION ALL SELECT 'rows:attribution', CAST(count(*) AS VARCHAR) FROM attribution
 UNION ALL SELECT 'rows:overlap_day', CAST(count(*) AS VARCHAR) FROM overlap_day
-UNION ALL SELECT 'unpriced:' || model, CAST(count(*) AS VARCHAR) FROM e4 WHERE unpriced GROUP BY model""", overlap=True))
+UNION ALL SELECT 'unpriced:' || model, CAST(count(*) AS VARCHAR) FROM e4 WHERE unpriced GROUP BY model
+UNION ALL SELECT 'check:' || check_name, CAST(CAST(value AS DOUBLE) AS VARCHAR) FROM (""" + Q.ORACLE["a94_self_checks"] + ")", overlap=True))
+
+
+def _sink_rows(s: SparkSession, parts: dict[str, DataFrame], label: str) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias(label), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _all_exports(s: SparkSession, d: str) -> DataFrame:
+    """The nine exports, read back: position, rows, and whether the first column came back in its order."""
+    root = new_run_dir(s, "exports")
+    names = sinks.export_views(Q.facts_for(s, d), root)
+    back = {n: s.read.option("header", "true").option("multiLine", "true").csv(f"{root}/{n}") for n in names}
+    notes = s.read.text([f"{root}/{n}_note" for n in names]).select(F.col("value").alias("note")).distinct()
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("export")).alias("place")
+    rows = _sink_rows(s, back, "export").select("export", place, "rows")
+    return rows.join(notes.withColumn("_one", F.lit(1)), F.col("_one") == 1).drop("_one")
+
+
+_EXPORTS = {"sessions": "SELECT 1 FROM session", "turns": "SELECT 1 FROM turn", "projects": Q.ORACLE["a20_v_project"], "daily": Q.ORACLE["a21_v_daily"],
+            "hourly": Q.ORACLE["a22_v_hourly"], "models": Q.ORACLE["a23_v_model"], "tools": Q.ORACLE["a24_v_tool"], "attribution": Q.ORACLE["a25_v_attribution"],
+            "overlap": "SELECT 1 FROM overlap_day"}
+_add("k02_all_exports", _all_exports, over_facts(" UNION ALL ".join(
+    f"SELECT '{name}' AS export, CAST({i + 1} AS BIGINT) AS place, (SELECT count(*) FROM ({sql})) AS rows, '{sinks.COST_NOTE}' AS note"
+    for i, (name, sql) in enumerate(_EXPORTS.items())), overlap=True))
+
+
+def _cubes_written(s: SparkSession, d: str) -> DataFrame:
+    """Dashboard cube and day wall, written part by part and read back."""
+    f, root = Q.facts_for(s, d), new_run_dir(s, "cube")
+    parts = {
+        "sessions": D.cube_sessions(f.session, Q.SPAN), "models": D.cube_models(f.turn, f.session, Q.SPAN), "tools": D.cube_tools(f.tool_call, f.session, Q.SPAN),
+        "attribution": D.cube_attribution(f.attribution, f.session, Q.SPAN), "wall_days": D.wall_days(f.session, Q.SPAN), "wall_sessions": D.wall_sessions(f.session, Q.SPAN),
+    }
+    sinks.write_cube(parts, root)
+    return _sink_rows(s, {n: s.read.schema(df.schema).json(f"{root}/{n}") for n, df in parts.items()}, "part")
+
+
+_CUBE_TWINS = {"sessions": "a63_k03_cube_sessions", "models": "a60_cube_models", "tools": "a61_cube_tools", "attribution": "a62_cube_attribution",
+               "wall_days": "a64_calendar", "wall_sessions": "k04_wall_sessions"}
+_add("k03_k04_written_cubes", _cubes_written, " UNION ALL ".join(
+    f"SELECT '{part}' AS part, (SELECT count(*) FROM ({Q.ORACLE[name]})) AS rows" for part, name in _CUBE_TWINS.items()))
 
 
 def _header(s: SparkSession, d: str) -> DataFrame:
@@ -280,9 +333,10 @@ SELECT row_number() OVER (ORDER BY substr(w, 1, 10), w, path) AS id, path, sha25
 
 
 def _shared(s: SparkSession, d: str) -> DataFrame:
-    docs = R.redact_text(X.table(s, d, "documents").select("doc_id", "text"), "text", R.redaction_patterns())
-    findings = R.secret_findings(docs, "doc_id", "text")
     root = new_run_dir(s, "share")
+    # Redacted and scanned once; the gate, the corpus and the reports read the stored results.
+    docs = stage(R.redact_text(X.table(s, d, "documents").select("doc_id", "text"), "text", R.redaction_patterns()), f"{root}/redacted")
+    findings = stage(R.secret_findings(docs, "doc_id", "text"), f"{root}/found")
     sinks.share(docs, findings, R.redaction_report(docs), root, allow_findings=True)
     return s.read.parquet(f"{root}/corpus").select("doc_id", F.sha2("text", 256).alias("redacted_hash"))
 

@@ -26,10 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input of few splits; a large input already has enough and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key, so that the generated lines, far wider than the rows, are made on every core."""
+    return df.repartition(*keys)
 
 
 def _pick(index: Column, values: list) -> Column:
@@ -44,7 +43,7 @@ def shaped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     block = F.floor(F.unix_micros(ts) / F.lit(BLOCK_SECONDS * 1_000_000))
     user = F.col("user_id")
-    return spread(table(spark, sf_dir, "events")).select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         "event_type",
         user.alias("u"),

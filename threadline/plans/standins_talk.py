@@ -21,7 +21,7 @@ def _t(s: str) -> Column:
 def talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, line_no, raw``; row ``turn`` of a conversation fills lines ``4 turn`` and ``4 turn + 1``."""
     c, t, text = F.col("conv_id"), F.col("turn"), F.col("text")
-    rows = spread(table(spark, sf_dir, "conversations")).withColumn(
+    rows = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumn(
         "stamp",
         F.when(
             ~((t == 3) & (c % 5 == 0)),

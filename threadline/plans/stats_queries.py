@@ -91,8 +91,8 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(f.entry.groupBy("key").agg(F.count(F.lit(1)).alias("entries")), "key")
 
 
-QUERIES["s15_incremental_build"] = _incremental
-ORACLE["s15_incremental_build"] = over_facts("""
+QUERIES["s01_incremental_build"] = _incremental
+ORACLE["s01_incremental_build"] = over_facts("""
 SELECT key, line_count, first_ts, last_ts, tok_billable_total, cost_usd, engaged_seconds, primary_model, models_json,
   (SELECT count(*) FROM turn t WHERE t.session_key = s.key) AS turns, (SELECT count(*) FROM tool_call t WHERE t.session_key = s.key) AS calls,
   (SELECT count(*) FROM attribution t WHERE t.session_key = s.key) AS uses, line_count AS entries
@@ -390,7 +390,41 @@ FROM (SELECT count(DISTINCT project_label) AS n FROM session WHERE {REAL} GROUP
 _add("a55_offsets", lambda f: K.offsets(f.session, _SCOPE), over_facts(f"""
 SELECT tz_offset, count(*) FILTER ({IN_SPAN}) AS sessions, count(*) FILTER (tz_offset = '+1100') AS dst_sessions_all
 FROM session WHERE is_real = 1 AND tz_offset IS NOT NULL GROUP BY 1"""))
-_add("a58_k05_card", lambda f: K.card(f.session, f.turn, f.tool_call, f.overlap_day, X.ZONE, _SCOPE), None)
+
+
+def _card(f: etl.Facts) -> DataFrame:
+    """The card's text rows, numbers as numbers."""
+    number = F.col("value").try_cast("double")
+    rows = K.card(f.session, f.turn, f.tool_call, f.overlap_day, X.ZONE, _SCOPE).where("value is not null")
+    return rows.select("fact", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+_CARD_PARTS = {
+    "core": _core_sql(IN_SPAN),
+    "ratio": """SELECT round(100.0 * (files_total - sessions_real) / files_total, 1) AS shell_pct, round(CAST(files_total AS DOUBLE) / sessions_real, 1) AS inflate,
+  CAST(round(CAST(tok_cr AS DOUBLE) / tok_out) AS BIGINT) AS cr_ratio FROM core""",
+    "hour": _hours_sql("overlap_day"),
+    "month": f"""SELECT substr(min(local_date), 1, 7) AS first_month, min(local_date) AS first_day,
+  count(DISTINCT local_date) FILTER (substr(local_date, 1, 7) = (SELECT substr(min(local_date), 1, 7) FROM session WHERE {REAL})) AS first_month_days,
+  substr(max(local_date), 1, 7) AS last_month, max(local_date) AS last_day,
+  count(DISTINCT local_date) FILTER (substr(local_date, 1, 7) = (SELECT substr(max(local_date), 1, 7) FROM session WHERE {REAL})) AS last_month_days,
+  min(local_date) FILTER (tok_thinking > 0) AS thinking_from, '2.1.228' AS thinking_version FROM session WHERE {REAL}""",
+    "busy": f"""SELECT b.local_date AS busiest_day, b.n AS busiest_n, b.h AS busiest_engaged, o.elapsed_hours AS busiest_elapsed,
+  p.max_concurrent AS peak_concurrent, p.local_date AS peak_concurrent_day
+FROM (SELECT local_date, count(*) AS n, {hours('engaged_seconds', 1)} AS h FROM session WHERE {REAL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) b
+LEFT JOIN overlap_day o ON o.local_date = b.local_date
+CROSS JOIN (SELECT * FROM overlap_day WHERE {IN_SPAN} ORDER BY max_concurrent DESC, local_date LIMIT 1) p""",
+    "spread": f"""SELECT count(*) AS multi_label_repos, {total('n - 1')} AS extra_labels,
+  (SELECT count(DISTINCT project_label) FROM session WHERE {REAL} AND is_worktree = 1) AS worktree_labels
+FROM (SELECT count(DISTINCT project_label) AS n FROM session WHERE {REAL} GROUP BY repo_root HAVING count(DISTINCT project_label) > 1)""",
+    "dst": f"""SELECT count(*) FILTER (tz_offset = '+1100' AND {IN_SPAN}) AS dst_sessions, count(*) FILTER (tz_offset = '+1100') AS dst_sessions_all
+FROM session WHERE is_real = 1""",
+    "child": f"""SELECT (SELECT count(*) FROM turn WHERE {CHILD}) AS turn_rows, (SELECT count(*) FROM tool_call WHERE {CHILD}) AS tool_rows""",
+}
+_add("a58_k05_card", _card, over_facts("""
+SELECT fact, try_cast(value AS DOUBLE) AS number, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS text FROM (
+""" + " UNION ALL ".join(f"SELECT fact, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {n}) ON COLUMNS(*) INTO NAME fact VALUE value)" for n in _CARD_PARTS)
++ ")", ", ".join(f"{n} AS ({sql})" for n, sql in _CARD_PARTS.items()), overlap=True))
 
 # ---- cubes and panels -------------------------------------------------------
 _IDS = lambda c, order: f"""(SELECT v, row_number() OVER (ORDER BY o, v) - 1 AS id FROM (
@@ -456,10 +490,11 @@ SELECT week, summed_hours, elapsed_hours, max_concurrent, round(summed_hours / e
 _add("a68_session_length", lambda f: C.session_length(f.session), over_facts("""
 SELECT count(*) AS sessions, round(quantile_cont(engaged_seconds, 0.5), 2) AS median_seconds,
   round(CAST(sum(CAST(engaged_seconds AS DECIMAL(20,3))) AS DOUBLE) / count(*), 2) AS mean_seconds FROM session WHERE is_real = 1 AND is_subagent = 0"""))
-_add("a69_missing_days", lambda f: C.missing_days(f.session.where("project_label = 'lib1'")), over_facts("""
-SELECT strftime(d, '%Y-%m-%d') AS local_date FROM (SELECT unnest(generate_series(min(CAST(local_date AS DATE)), max(CAST(local_date AS DATE)), INTERVAL 1 DAY)) AS d
-  FROM session WHERE is_real = 1 AND project_label = 'lib1')
-WHERE strftime(d, '%Y-%m-%d') NOT IN (SELECT local_date FROM session WHERE is_real = 1 AND project_label = 'lib1' AND local_date IS NOT NULL)"""))
+_add("a69_missing_days", lambda f: C.missing_days(f.session, by="project_label"), over_facts("""
+SELECT project_label, strftime(d, '%Y-%m-%d') AS local_date FROM (
+  SELECT project_label, unnest(generate_series(min(CAST(local_date AS DATE)), max(CAST(local_date AS DATE)), INTERVAL 1 DAY)) AS d
+  FROM session WHERE is_real = 1 AND project_label IS NOT NULL AND local_date IS NOT NULL GROUP BY 1) x
+WHERE NOT EXISTS (SELECT 1 FROM session s WHERE is_real = 1 AND s.project_label = x.project_label AND s.local_date = strftime(x.d, '%Y-%m-%d'))"""))
 _add("a70_engaged_by_day", lambda f: C.engaged_by_day(f.session, SPAN), over_facts(f"""
 SELECT local_date, count(*) AS sessions, {hours('engaged_seconds')} AS engaged_hours FROM session WHERE {REAL} AND is_subagent = 0 GROUP BY 1"""))
 _add("p11_population", lambda f: C.population(f.session, SPAN), over_facts(f"""
