@@ -228,13 +228,14 @@ def _assistant_block(b: Column) -> Column:
     )
 
 
-def _user_block(b: Column) -> Column:
+def _user_block(b: Column, outcome: Column | None = None) -> Column:
+    """A block of a user message; a tool result carries the entry's structured ``outcome``."""
     t = V.text(b, "$.type")
     said = strip(V.text(b, "$.text"))
     result = F.coalesce(V.union_text(b, "$.content"), content_text(F.lit(None).cast("string"), V.items(b, "$.content")))
     name = F.concat(F.lit("block:"), F.coalesce(F.nullif(t, F.lit("")), F.lit("(untyped)")))
     return (
-        F.when(t == "tool_result", _block(F.lit("tool_result"), result))
+        F.when(t == "tool_result", _block(F.lit("tool_result"), result, payload=outcome))
         .when((t == "text") & (said != ""), _block(F.lit("assistant_text"), said))
         .when(t == "text", F.lit(None))
         .when(t.isin(MEDIA_BLOCKS), _block(F.lit("attachment"), media_marker(b)))
@@ -324,9 +325,12 @@ def _system(v: Column) -> Column:
 def _agent_result(v: Column) -> Column:
     agent = F.coalesce(V.present(v, "$.agentId"), F.lit("sub-agent"))
     plain = V.text(v, "$.result")
-    has_fields = V.fields(v, "$.result").isNotNull()
+    fields = V.fields(v, "$.result")
+    # The summary is the block's text; whatever else the agent returned travels beside it.
+    rest = F.map_filter(fields, lambda k, _: k != "summary")
+    has_fields = fields.isNotNull()
     return (
-        F.when(has_fields, F.array(_block(F.lit("agent_result"), F.coalesce(V.present(v, "$.result.summary"), F.lit("")), payload=V.get(v, "$.result"))))
+        F.when(has_fields, F.array(_block(F.lit("agent_result"), F.coalesce(V.present(v, "$.result.summary"), F.lit("")), payload=F.when(F.size(rest) > 0, F.to_variant_object(rest)))))
         .when(plain.isNotNull(), _named("agent_result", strip(plain)))
         .otherwise(_named("machinery", F.concat(F.lit("sub-agent result: "), agent, F.lit(" (empty)"))))
     )
@@ -377,7 +381,7 @@ def model_entries(entries: DataFrame) -> DataFrame:
         .when((etype == "assistant") & text.isNotNull(), F.when(said != "", _named("assistant_text", said)))
         .when(etype == "assistant", _listed(items, _assistant_block))
         .when(F.col("is_compact"), _named("continuation", content_text(text, items)))
-        .when(items.isNotNull(), _listed(items, _user_block))
+        .when(items.isNotNull(), _listed(items, lambda b: _user_block(b, F.when(V.fields(v, "$.toolUseResult").isNotNull(), V.get(v, "$.toolUseResult")))))
         .when(F.col("class") == "task_notification", _named("task_notification", notice))
         .when(F.col("class") == "stop_hook", _named("stop_hook", visible))
         .when(F.col("class") == "machinery", meta_blocks)
@@ -628,6 +632,13 @@ def tool_text(tool: Column, payload: Column) -> Column:
     return F.concat(F.coalesce(tool, F.lit("tool")), F.coalesce(F.concat(F.lit(": "), body), F.lit("")))
 
 
+def structured_result(payload: Column, cap: int = 0) -> Column:
+    """Output streams and interruption of a structured tool result; NULL when it has none of them."""
+    stream = lambda name: F.concat(F.lit(f"{name}:\n"), F.nullif(truncated(V.text(payload, f"$.{name}"), cap)["kept"], F.lit("")))
+    parts = F.concat_ws("\n", stream("stdout"), stream("stderr"), F.when(V.is_true(payload, "$.interrupted"), F.lit("(interrupted)")))
+    return F.nullif(parts, F.lit(""))
+
+
 def block_line(prose_only: bool, cap: int) -> Column:
     """Text of one block in the transcript; NULL leaves it out."""
     kind, text = F.col("kind"), F.col("text")
@@ -642,7 +653,8 @@ def block_line(prose_only: bool, cap: int) -> Column:
     return (
         shown
         .when(kind == "tool_use", F.concat(F.lit("> "), tool_text(F.col("tool_name"), F.col("payload"))))
-        .when(kind == "tool_result", F.concat(F.lit("< "), result))
+        .when(kind == "tool_result", F.concat(F.lit("< "), F.coalesce(structured_result(F.col("payload"), cap), result)))
+        .when(kind == "agent_result", F.concat_ws("\n", F.concat(F.lit("(agent_result) "), text), F.to_json("payload")))
         .when(kind == "thinking_withheld", F.lit(None))
         .otherwise(F.concat(F.lit("("), kind, F.lit(") "), text))
     )

@@ -215,11 +215,12 @@ SELECT p.project_id, CASE WHEN p.project_id = 2 THEN 'two' ELSE p.source END AS
   (SELECT count(*) FROM al WHERE al.project_id = p.project_id) AS aliases, (SELECT min(path) FROM al WHERE al.project_id = p.project_id) AS first_path
 FROM (SELECT DISTINCT project_id, source FROM pay) p""")
 _add("j20_directory_labels", lambda s, d: C.directory_labels(
-        Z.keyed_events(s, d).where("k < 2").select(F.col("u").alias("directory"), F.col("et").alias("label")),
-        Z.keyed_events(s, d).where("u % 3 <> 0").select(F.col("u").alias("directory"), F.col("et").alias("label"))), """
+        # A quarter of the directories is known under another name to the first source only.
+        Z.keyed_events(s, d).select(F.when(F.col("u") % 4 == 0, -F.col("u")).otherwise(F.col("u")).alias("directory"), F.col("et").alias("label")),
+        Z.keyed_events(s, d).select(F.col("u").alias("directory"), F.concat(F.lit("far "), F.col("et")).alias("label"))), """
 WITH ev AS (SELECT user_id AS u, event_type AS et, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events),
-a AS (SELECT u, arg_min(et, (-n, et)) AS l FROM (SELECT u, et, count(*) AS n FROM ev WHERE k < 2 GROUP BY ALL) GROUP BY u),
-b AS (SELECT u, arg_min(et, (-n, et)) AS l FROM (SELECT u, et, count(*) AS n FROM ev WHERE u % 3 <> 0 GROUP BY ALL) GROUP BY u)
+a AS (SELECT u, arg_min(et, (-n, et)) AS l FROM (SELECT CASE WHEN u % 4 = 0 THEN -u ELSE u END AS u, et, count(*) AS n FROM ev GROUP BY ALL) GROUP BY u),
+b AS (SELECT u, arg_min(et, (-n, et)) AS l FROM (SELECT u, 'far ' || et AS et, count(*) AS n FROM ev GROUP BY ALL) GROUP BY u)
 SELECT coalesce(a.u, b.u) AS directory, coalesce(a.l, b.l) AS label FROM a FULL OUTER JOIN b ON a.u = b.u""")
 _facts("p13_classify_payloads", lambda f: C.classify_payloads(f.entry).join(f.listing.select("path", "key"), "path").select("key", "talk", "agent_talk", "kind"), over_facts("""
 SELECT key, count(*) FILTER (etype IN ('user', 'assistant')) AS talk, count(*) FILTER (etype IN ('user', 'assistant') AND sub) AS agent_talk,

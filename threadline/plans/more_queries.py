@@ -182,14 +182,14 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s < 0 THEN NULL WHEN s < 6
 _add("f23_f31_one_line", lambda s, d: X.table(s, d, "documents").select("doc_id", F.sha2(T.one_line(F.col("text"), 80), 256).alias("line_hash"), T.looks_failed(F.col("text")).alias("failed")), r"""
 WITH x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, lower(substr(ltrim(text, ' ' || chr(10) || chr(9) || chr(13)), 1, 200)) AS h FROM documents)
 SELECT doc_id, sha256(CASE WHEN length(t) <= 80 THEN t ELSE substr(t, 1, 77) || '...' END) AS line_hash, starts_with(h, 'error') OR starts_with(h, 'traceback') OR contains(h, '<tool_use_error>') AS failed FROM x""")
-_add("f28_unencodable", lambda s, d: _surrogates(s, d), f"""WITH {_EV} SELECT n AS event_id, CAST(k % 4 AS BIGINT) AS unencodable FROM ev WHERE et = 'view'""")
+_add("f28_unencodable", lambda s, d: _surrogates(s, d), f"""WITH {_EV} SELECT n AS event_id, CAST(k % 4 AS BIGINT) AS unencodable FROM ev""")
 
 
 def _surrogates(s: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit('{"type":"user","message":{"content":"'), F.repeat(F.lit("a\\ud83d "), (F.col("k") % 4).cast("int")),
         # A legal pair and an escaped backslash count as nothing.
         F.repeat(F.lit("b\\ud83d\\ude00 c\\\\ud83d "), (F.col("k") % 3).cast("int")), F.lit('"}}'))
-    lines = X.shaped_events(s, d).where("event_type = 'view'").select(F.col("event_id").alias("path"), F.lit(1).cast("bigint").alias("line_no"), raw.alias("raw"))
+    lines = X.shaped_events(s, d).select(F.col("event_id").alias("path"), F.lit(1).cast("bigint").alias("line_no"), raw.alias("raw"))
     return T.conversation_entries(S.parse_lines(lines)).select(F.col("path").alias("event_id"), F.col("unencodable").cast("bigint").alias("unencodable"))
 
 
@@ -197,13 +197,13 @@ def _surrogates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _event_blocks(s: SparkSession, d: str) -> DataFrame:
-    entries = T.conversation_entries(S.parse_lines(X.transcript_lines(s, d).where("path like '/archive/%' or cast(regexp_extract(path, 's(\\\\d+)-\\\\d+\\\\.jsonl$', 1) as int) % 2 = 1")))
+    entries = T.conversation_entries(S.parse_lines(X.transcript_lines(s, d)))
     rows = T.model_entries(entries).select("etype", F.explode("blocks").alias("b"), "is_sidechain")
     return rows.groupBy("etype", "is_sidechain", F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("blocks"), F.count("b.unknown").alias("unknown"))
 
 
 _add("f22_f24_event_blocks", _event_blocks, f"""WITH {FACTS_CTE},
-r AS (SELECT etype, sub, et, k FROM e4 WHERE ok),
+r AS (SELECT etype, sub, et, k FROM e4 WHERE ok UNION ALL SELECT etype, sub, et, k FROM e4 WHERE ok AND u % 6 = 0 AND k < 80),
 x AS (
   SELECT etype, sub, 'subagent' AS kind, 1 AS n FROM r WHERE sub AND et = 'view' UNION ALL
   SELECT etype, sub, 'subagent', 1 + CAST(k % 10 = 4 AS INT) + CAST(k % 5 = 0 AS INT) FROM r WHERE sub AND et = 'error' UNION ALL

@@ -75,6 +75,13 @@ def talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             _t("user").alias("type"), *head,
             F.struct(_t("user").alias("role"), F.array(F.struct(_t("tool_result").alias("type"), out.alias("content"))).alias("content")).alias("message"),
+            F.when(
+                (c % 8).isin(1, 3),
+                F.struct(
+                    F.concat(_t("out "), t).alias("stdout"), F.when(c % 8 == 3, _t("warn")).alias("stderr"),
+                    F.when(c % 8 == 3, F.lit(True)).alias("interrupted"), _t("x").alias("other"),
+                ),
+            ).alias("toolUseResult"),
         )
     )
     system = F.to_json(

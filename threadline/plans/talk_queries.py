@@ -166,7 +166,8 @@ SELECT path, (turn_line << 20) - 1 AS seq, CASE WHEN synthetic THEN '## (before
 FROM tt JOIN (SELECT path, CAST(turn AS BIGINT) AS turn, min(line_no) AS turn_line FROM num GROUP BY 1, 2) USING (path, turn)
 UNION ALL SELECT path, (line_no << 20) + bno, CASE kind WHEN 'assistant_text' THEN text
   WHEN 'tool_use' THEN '> ' || CASE tool WHEN 'Bash' THEN 'Bash: ls ' || (line_no // 4) WHEN 'Edit' THEN 'Edit: ' ELSE 'Write: {{"file_path":"' || fp || '"}}' END
-  WHEN 'tool_result' THEN '< ' || {_CUT} || CASE WHEN length(text) > 120 THEN chr(10) || '[' || (length(text) - length({_CUT})) || ' characters omitted]' ELSE '' END
+  WHEN 'tool_result' THEN '< ' || CASE CAST(regexp_extract(path, '([0-9]+)[.]jsonl$', 1) AS BIGINT) % 8 WHEN 1 THEN 'stdout:' || chr(10) || 'out ' || (line_no // 4)
+    WHEN 3 THEN 'stdout:' || chr(10) || 'out ' || (line_no // 4) || chr(10) || 'stderr:' || chr(10) || 'warn' || chr(10) || '(interrupted)' ELSE {_CUT} || CASE WHEN length(text) > 120 THEN chr(10) || '[' || (length(text) - length({_CUT})) || ' characters omitted]' ELSE '' END END
   ELSE '(' || kind || ') ' || text END AS piece FROM blk WHERE kind <> 'thinking_withheld'"""))
 _add("k08_prose_only", lambda k: T.transcript_documents(k.turns, k.blocks, True).select("path", "piece"), _sql("""
 SELECT path, CASE WHEN synthetic THEN '## (before the first prompt)' ELSE '## ' || turn || chr(10) || prompt END AS piece FROM tt
@@ -230,7 +231,7 @@ _plain("f36_secret_findings", lambda s, d: R.secret_findings(X.table(s, d, "docu
 
 def _entry_lines(s: SparkSession, d: str) -> DataFrame:
     """Event transcripts with an address hidden behind a JSON escape."""
-    rows = X.shaped_events(s, d).where("event_type = 'view'")
+    rows = X.shaped_events(s, d)
     raw = F.concat(
         F.lit('{"type":"user","who":"ann\\u0040example.org","n":{"list":["mail ann@example.org","k'), F.col("k"), F.lit('"]},"ann@example.org":1}')
     )
@@ -240,7 +241,7 @@ def _entry_lines(s: SparkSession, d: str) -> DataFrame:
 _plain("f35_redact_entries", lambda s, d: R.redact_entries(_entry_lines(s, d), R.redaction_patterns()).select("event_id", F.col("hits")["email"].alias("emails"), "raw"), """
 SELECT event_id, CASE WHEN k % 10 = 9 THEN 1 ELSE 2 END AS emails,
   CASE WHEN k % 10 = 9 THEN 'not json [REDACTED]' ELSE '{"type": "user", "who": "[REDACTED]", "n": {"list": ["mail [REDACTED]", "k' || k || '"]}, "ann@example.org": 1}' END AS raw
-FROM (SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_type = 'view')""")
+FROM (SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events)""")
 
 
 def _pathed(s: SparkSession, d: str) -> DataFrame:
