@@ -167,3 +167,10 @@ def test_paths_keep_to_name_boundaries(spark):
     texts = ["/r/widget/x", "/r/widget-two", "/r/widget.bak", '{"/r/widget": "-r-widget"}', "x/r/widget"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(R.rewrite_paths(F.col("t"), forms)).collect()] == ["/r/gadget/x", "/r/widget-two", "/r/widget.bak", '{"/r/gadget": "-r-gadget"}', "x/r/widget"]
+
+
+def test_rules_that_can_be_empty_on_any_text(spark):
+    rows = [("xx a x",), ("﷐xx",), ("",), (None,), ("y" * 200_000,)]
+    got = R.redact_text(spark.createDataFrame(rows, "t string"), "t", R.redaction_patterns(["x*", "q??"])).collect()
+    assert [r.t for r in got[:4]] == ["[REDACTED] a [REDACTED]", "﷐[REDACTED]", "", None]
+    assert got[0].hits["x*"] == 2 and got[1].hits["x*"] == 1 and len(got[4].t) == 200_000

@@ -112,3 +112,23 @@ def test_a_listing_too_large_to_broadcast_gives_the_same_entries(spark, sf_dir,
     monkeypatch.setattr(etl, "BROADCAST_FILES", 0)
     many = entries()
     assert sorted(map(str, many.select(few.columns).collect())) == small
+
+
+def test_an_incremental_build_parses_changed_files_only(spark):
+    from threadline.plans.etl import build_facts
+
+    line = lambda n: '{"type":"assistant","timestamp":"2026-06-01T00:00:0%dZ","message":{"role":"assistant","model":"m","usage":{"input_tokens":%d}}}' % (n, n)
+    lines = lambda rows: spark.createDataFrame(rows, "path string, line_no bigint, raw string")
+    listing = lambda rows: spark.createDataFrame(rows, "path string, size_bytes bigint, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    old = build_facts(
+        spark, lines([("/live/p/a.jsonl", 1, line(1)), ("/live/p/b.jsonl", 1, line(1)), ("/live/p/gone.jsonl", 1, line(1))]),
+        listing([("/live/p/a.jsonl", 9, "2026-06-01"), ("/live/p/b.jsonl", 9, "2026-06-01"), ("/live/p/gone.jsonl", 9, "2026-06-01")]), "UTC",
+    )
+    # The lines of the unchanged file are not even given.
+    grown = lines([("/live/p/b.jsonl", 1, line(1)), ("/live/p/b.jsonl", 2, line(2)), ("/live/p/c.jsonl", 1, line(3))])
+    now = listing([("/live/p/a.jsonl", 9, "2026-06-01"), ("/live/p/b.jsonl", 18, "2026-06-02"), ("/live/p/c.jsonl", 9, "2026-06-02")])
+    new = build_facts(spark, grown, now, "UTC", previous=old)
+    assert {(r.key, r.line_count, r.tok_input) for r in new.session.collect()} == {("a", 1, 1), ("b", 2, 3), ("c", 1, 3)}
+    assert (new.turn.count(), new.entry.count()) == (4, 4)
+    # Other rules: nothing of the last run is used.
+    assert {r.key for r in build_facts(spark, grown, now, "UTC", previous=new, fingerprint="2").session.collect()} == {"b", "c"}

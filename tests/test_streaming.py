@@ -58,3 +58,14 @@ def test_changed_files_are_scanned_again(spark):
     seen = spark.createDataFrame([("a", 1, BASE), ("b", 1, BASE)], cols).withColumn("fingerprint", F.lit("v1"))
     assert {r.path for r in J.changed_files(now, seen, "v1").collect()} == {"b", "c"}
     assert J.changed_files(now, seen, "v2").count() == 3
+
+
+def test_a_later_run_knows_the_hashes_of_an_earlier_one(spark, tmp_path):
+    at = lambda s: BASE + dt.timedelta(seconds=s)
+    schema = "id bigint, hash string, at timestamp"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "h", at(0))], [(2, "h", at(5)), (3, "g", at(5))], [(4, "h", at(60)), (5, "g", at(14))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        J.event_actions(spark.readStream.schema(schema).parquet(source), str(tmp_path / "cp"), out)
+    got = {r.id: r.action for r in spark.read.parquet(f"{out}/actions").collect()}
+    assert got == {1: "stored", 2: "duplicate-invocation", 3: "stored", 4: "skipped_unchanged", 5: "duplicate-invocation"}
