@@ -282,8 +282,10 @@ _add("w08_open_refusals", lambda s, d: H.open_refusals(_log(s, d)).select("sessi
 rf AS (SELECT *, et = 'view' AND k % 3 = 2 AS refused, et = 'click' AND k % 6 = 4 AND at_raw IS NOT NULL AS held FROM rec)
 SELECT uuid AS session_uuid, arg_min(coalesce(at_raw, ''), n) AS first_at, coalesce(array_to_string(list_sort(list(DISTINCT 'm' || (k % 4)) FILTER (refused)), '|'), '') AS messages FROM rf r
 WHERE (refused OR held) AND n > coalesce((SELECT max(n) FROM rec c WHERE c.uuid = r.uuid AND c.et = 'click' AND c.k % 6 = 0), -1) GROUP BY 1""")
-_add("j17_stalled_companions", lambda s, d: H.stalled_companions(_log(s, d), NOW).select("session", F.unix_micros("started_at").alias("started_us")), f"""WITH {_LOG},
-w AS (SELECT * FROM rec WHERE at_ts >= TIMESTAMP '2024-01-18')
+_add("j17_stalled_companions", lambda s, d: H.stalled_companions(
+        # Companions of a session are told apart, or each would have finished some time.
+        _log(s, d).withColumn("session", F.concat("session", F.lit("/"), F.col("line_no") % 7)), NOW).select("session", F.unix_micros("started_at").alias("started_us")), f"""WITH {_LOG},
+w AS (SELECT * REPLACE (session || '/' || n % 7 AS session) FROM rec WHERE at_ts >= TIMESTAMP '2024-01-18')
 SELECT session, epoch_us(arg_max(at_ts, n)) AS started_us FROM w WHERE et = 'signup' AND session NOT IN (SELECT session FROM w WHERE et = 'purchase' OR (et = 'error' AND k % 7 = 1))
 GROUP BY 1 HAVING arg_max(at_ts, n) <= TIMESTAMP '2024-01-24 23:55:00'""")
 _add("w09_job_states", lambda s, d: H.job_states(_log(s, d), NOW).select("job", "state", F.unix_micros("last_start").alias("start_us")), f"""WITH {_LOG},
