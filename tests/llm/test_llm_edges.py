@@ -100,6 +100,33 @@ def test_substring_dedup(spark, odd_docs, no_docs):
     assert substring.substring_dedup(no_docs).count() == 0
 
 
+def test_substring_dedup_in_any_order_of_rows(spark):
+    import random
+
+    draw = random.Random(1)
+    some = lambda n: " ".join(f"w{draw.randrange(500)}" for _ in range(n))
+    shared = some(40)
+    rows = [(i, f"{some(30)} {shared} {some(30)}" if i % 2 else some(60)) for i in range(60)]
+    first, want = {}, {}
+    for i, text in rows:
+        words, gone = text.split(), set()
+        for at in range(len(words) - 19):
+            if first.setdefault(tuple(words[at : at + 20]), (i, at)) != (i, at):
+                gone.update(range(at, at + 20))
+        want[i] = (len(gone), " ".join(w for k, w in enumerate(words) if k not in gone))
+    # Files out of order, and rows that another task holds once more.
+    mixed = rows[::-1] + rows[50:]
+    docs = spark.createDataFrame(mixed, "doc_id bigint, text string").repartition(7)
+    for threshold in ("10MB", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = substring.substring_dedup(docs).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len(got) == len(mixed) and all((r["n_removed"], r["text"]) == want[r["doc_id"]] for r in got)
+
+
 def test_heavy_prefixes_travel_by_window(spark, monkeypatch):
     shared = " ".join(f"p{i}" for i in range(30))
     texts = [f"u{i} " * 25 + shared + f" v{i}" * 25 for i in range(60)]

@@ -158,10 +158,14 @@ _SUFFIXES_DDL = "key bigint, _id bigint, _h bigint, first int, last int, around
 
 
 def _suffixes(window: int, prefix: int, heavy: np.ndarray):
-    """Rows to the groups; a row without ``around`` is a range of windows already known to repeat."""
+    """Rows to the groups; a row without ``around`` is a range of windows already known to repeat.
+
+    The texts of a task come in the order of their ids, so the first of equal
+    surroundings is the earliest of the task.
+    """
 
     def run(batches):
-        seen, held = {}, 0
+        seen, held = set(), 0
         current, marks = None, set()
         for rows, data, offsets in chunks(batches, "_text"):
             words = words_of(data, offsets, SPACED)
@@ -208,10 +212,10 @@ def _suffixes(window: int, prefix: int, heavy: np.ndarray):
                 if text in seen:
                     repeat[i] = True
                 else:
-                    seen[text] = None
+                    seen.add(text)
                     held += len(text)
             if held > 1 << 26:  # combining is only a saving; begin anew before it takes much memory
-                seen, held = {}, 0
+                seen, held = set(), 0
             start, stop, doc = ordinal[low].astype(np.int32), ordinal[high].astype(np.int32), words.doc[low]
             sent = np.flatnonzero(~repeat)
             if len(sent):
@@ -250,7 +254,10 @@ def _suffixes(window: int, prefix: int, heavy: np.ndarray):
 
 
 def later_leaves(around: list[bytes], ids, hs, first, last, window: int):
-    """(row, window start) of every window that has an earlier equal one; all windows of the rows form the subtree."""
+    """(row, window start) of every window that has an earlier equal one; all windows of the rows form the subtree.
+
+    Rows of one document may come from several tasks: one place is one leaf, however often it was sent.
+    """
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in around])])
     flat = b"".join(around)
     words = words_of(np.frombuffer(flat, dtype=np.uint8), offsets, SPACED)
@@ -277,8 +284,13 @@ def later_leaves(around: list[bytes], ids, hs, first, last, window: int):
         deep = joined(deep, nodes[step][at + reach])
         reach += step
     order = np.lexsort((start, hs[row], ids[row], deep))
+    sorted_deep = deep[order]
+    opens = np.r_[True, sorted_deep[1:] != sorted_deep[:-1]]
+    leader = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+    own, first_of = row[order], row[leader]
+    same_place = (ids[own] == ids[first_of]) & (hs[own] == hs[first_of]) & (start[order] == start[leader])
     later = np.zeros(len(row), dtype=bool)
-    later[order[1:]] = deep[order[1:]] == deep[order[:-1]]
+    later[order] = ~same_place
     return row, start, later
 
 
@@ -377,7 +389,9 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PRE
     rows = found.where(F.col("key").isNotNull() & (F.col("total") >= HEAVY * seen)).select("key").collect()
     heavy = np.sort(np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64))
     asked = found.where("pos is not null").groupBy("_id").agg(F.collect_list("pos").alias("places"))
-    suffixes = texts.join(asked, "_id").mapInArrow(_suffixes(window, prefix, heavy), _SUFFIXES_DDL)
+    # No second sort where the join has merged sorted sides; a broadcast join leaves the order of the files.
+    by_id = texts.join(asked, "_id").sortWithinPartitions("_id")
+    suffixes = by_id.mapInArrow(_suffixes(window, prefix, heavy), _SUFFIXES_DDL)
     grouped = suffixes.repartition("key").sortWithinPartitions("key")
     return texts, grouped.mapInArrow(_subtrees(window), "_id bigint, _h bigint, first int, last int")
 
