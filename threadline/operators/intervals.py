@@ -154,21 +154,23 @@ def pack_lanes(
     import pandas as pd
 
     swept = live_edges(segments, day, start, end, slot_seconds)
-    begins = swept.where("before = 0 and opened > 0").select(day, F.col("t").alias("_from"))
-    # A stretch runs to the next begin; both sides meet in the slot the begin falls in, or a later one.
-    marks = begins.select(day, F.col("_from").alias(start), F.lit(True).alias("_mark"))
-    rows = segments.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    slotted = rows.withColumn("_slot", F.floor(F.col(start) / F.lit(slot_seconds)))
-    # The newest begin at or before a segment, carried over slots as in the sweep.
-    last = slotted.groupBy(day, "_slot").agg(F.max(F.when(F.col("_mark"), F.col(start))).alias("_seen"))
-    earlier = Window.partitionBy(day).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(day, "_slot", F.max("_seen").over(earlier).alias("_carry"))
-    inside = Window.partitionBy(day, "_slot").orderBy(start, F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
-    found = slotted.join(carried, [day, "_slot"]).withColumn(
-        "_stretch", F.coalesce(F.max(F.when(F.col("_mark"), F.col(start))).over(inside), F.col("_carry"))
+    # Distinct start instants are ordered, not segments; each slot gets the newest begin of those before it.
+    instants = swept.where("opened > 0").select(
+        F.col(day).alias("_day"),
+        F.col("t").alias("_at"),
+        F.floor(F.col("t") / F.lit(slot_seconds)).alias("_slot"),
+        F.when(F.col("before") == 0, F.col("t")).alias("_begin"),
+    )
+    last = instants.groupBy("_day", "_slot").agg(F.max("_begin").alias("_seen"))
+    earlier = Window.partitionBy("_day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_day", "_slot", F.max("_seen").over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_day", "_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    stretches = instants.join(carried, ["_day", "_slot"]).select(
+        "_day", "_at", F.coalesce(F.max("_begin").over(inside), F.col("_carry")).alias("_stretch")
     )
     names = segments.columns
-    kept = found.where(~F.col("_mark")).select(*names, "_stretch")
+    met = (F.col(day) == F.col("_day")) & (F.col(start) == F.col("_at"))
+    kept = segments.join(stretches, met).select(*names, "_stretch")
     ordered = kept.repartition(day, "_stretch").sortWithinPartitions(day, "_stretch", start, end, *names)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema.fields)
 

@@ -214,6 +214,17 @@ SELECT p.project_id, CASE WHEN p.project_id = 2 THEN 'two' ELSE p.source END AS
   (SELECT count(*) FROM ver v WHERE CASE WHEN v.project_id = 3 THEN 1 ELSE v.project_id END = p.project_id) AS sessions,
   (SELECT count(*) FROM al WHERE al.project_id = p.project_id) AS aliases, (SELECT min(path) FROM al WHERE al.project_id = p.project_id) AS first_path
 FROM (SELECT DISTINCT project_id, source FROM pay) p""")
+
+
+def _moved(s: SparkSession, d: str) -> DataFrame:
+    alias = Z.aliases(s, d)
+    first = alias.where("kind = 'cwd'").agg(F.min("project_id")).first()[0]
+    return C.move_project(alias, first, f"/home/ann/projects/app.{first - 1}", "/srv/new_home/app.one", "2024-02-01")
+
+
+_add("j22_moved_project", _moved, f"""WITH {_CAP}, m AS (SELECT min(project_id) AS id FROM alias WHERE kind = 'cwd')
+SELECT project_id, path, kind, '2023-12-01' AS first_seen, CASE WHEN project_id = m.id AND kind = 'cwd' THEN '2024-02-01' ELSE '2023-12-31' END AS last_seen FROM alias, m
+UNION ALL SELECT id, p, k, '2024-02-01', '2024-02-01' FROM m, (VALUES ('/srv/new_home/app.one', 'cwd'), ('-srv-new-home-app-one', 'encoded_dir')) v(p, k)""")
 _add("j20_directory_labels", lambda s, d: C.directory_labels(
         # A quarter of the directories is known under another name to the first source only.
         Z.keyed_events(s, d).select(F.when(F.col("u") % 4 == 0, -F.col("u")).otherwise(F.col("u")).alias("directory"), F.col("et").alias("label")),

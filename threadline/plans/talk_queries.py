@@ -282,3 +282,12 @@ SELECT page_id, CASE WHEN page_id % 3 = 0 THEN host || '-.worktree-w' || (page_i
   CASE WHEN page_id % 3 = 0 THEN '/Users/ann/code/' || host ELSE '/Users/ann/code/' || host || '/src/x_y' END AS root, CAST(page_id % 3 = 0 AS INT) AS tree,
   CASE WHEN page_id % 3 = 0 THEN 'w' || (page_id % 4) END AS name,
   '-Users-ann-code-' || replace(host, '.', '-') || CASE WHEN page_id % 3 = 0 THEN '--worktree-w' || (page_id % 4) ELSE '-src-x-y' END AS encoded FROM p""")
+
+
+def _strict(s: SparkSession, d: str) -> DataFrame:
+    from threadline.functions import paths as P
+
+    return X.table(s, d, "pages").select("page_id", P.encode_directory_strict(F.concat(F.lit("/Users/ann/"), "url")).alias("encoded"))
+
+
+_plain("f08_strict_folder", _strict, "SELECT page_id, regexp_replace('/Users/ann/' || url, '[^A-Za-z0-9]', '-', 'g') AS encoded FROM pages")
