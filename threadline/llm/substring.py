@@ -46,7 +46,7 @@ PREFIX = 8
 HEAVY = 1e-5
 #: Anchors a task holds before it sends them, bytes of suffixes it takes at once.
 HELD = 1 << 21
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23
 
 _PLACES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
 _PLACES_DDL = "bucket int, known boolean, keys binary, counts binary, ids binary, at binary"
@@ -214,7 +214,7 @@ def _suffixes(window: int, prefix: int, heavy: np.ndarray):
                 else:
                     seen.add(text)
                     held += len(text)
-            if held > 1 << 26:  # combining is only a saving; begin anew before it takes much memory
+            if held > 1 << 25:  # combining is only a saving; begin anew before it takes much memory
                 seen, held = set(), 0
             start, stop, doc = ordinal[low].astype(np.int32), ordinal[high].astype(np.int32), words.doc[low]
             sent = np.flatnonzero(~repeat)
