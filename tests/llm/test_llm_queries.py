@@ -185,6 +185,29 @@ def test_scores_separate_held_out_documents(spark):
     assert max(got[i] for i in range(30, 60)) < min(got[i] for i in range(100, 160))
 
 
+def test_rare_words_keep_their_signal(spark):
+    rare = [(i, "zeta omega") for i in (1, 2, 3)]
+    docs = spark.createDataFrame([*rare, (4, "other thing"), (5, "other thing"), (10, "common words again " * 150_000)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    got = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(docs, marks).collect()}
+    # Three in 450,000 words; document 3 is held out.
+    assert got[3] < got[4] - 1
+
+
+def test_scores_do_not_depend_on_the_head(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "lonely unseen pair"), (None, "another null one")], docs.schema))
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    scores = lambda: sorted((r["doc_id"] or -1, r["n_words"], r["target_loss"] or 0, r["background_loss"] or 0) for r in lm_score.cross_entropy_difference(docs, marks).collect())
+    whole = scores()
+    monkeypatch.setattr(lm_score, "HEAD_WORDS", 1e-3)
+    monkeypatch.setattr(lm_score, "HEAD_PAIRS", 1e-3)
+    small = scores()
+    assert len(whole) == len(small) == docs.count()
+    for a, b in zip(whole, small, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_dir, con):
     names = [n for n, _ in corpus_pipeline.STAGES]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

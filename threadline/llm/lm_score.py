@@ -1,16 +1,22 @@
 """Cross-entropy difference scores from matched n-gram models.
 
 A background bigram model over all documents and a target model over the
-documents marked as target share one vocabulary: the words that make up at
-least ``WORD_SHARE`` of all words, everything else being one unknown word. A
+documents marked as target share one vocabulary: every word that occurs twice or
+more, the others being one unknown word. Every pair that occurs twice or more has
+its own estimate; the others back off to the single word in both models alike. A
 document's score is the mean over its words of target loss minus background
 loss: the lower, the more it reads like the target.
 
-Both tables have a proven bound, whatever the input: at most 1 / WORD_SHARE
-words and 1 / PAIR_SHARE pairs can reach their shares. That is why they may be
-held by every task; the counts they come from cover all words of all documents
-and are combined per task before the shuffle. Pairs below their share back off
-to the single word in both models alike.
+Both tables are written and grow with the input. Tasks hold their head only, the
+words that make up ``HEAD_WORDS`` of all words and the pairs that make up
+``HEAD_PAIRS``, at most 1 / share rows each. A document's distinct words and
+pairs beyond the head meet the rest of the tables in a shuffle; no key of it is
+hotter than the head's share. A word that occurs once is read from one row of the
+counts, which keeps its neighbours, so pairs with the unknown word need no
+further pass over the texts.
+
+Losses are sums: a document has the unknown word's loss for each word beyond the
+head, and a row of the tables has what it changes in that sum.
 
 Defined results: words are case folded for A-Z. A text without words has no
 score (null). With no target documents the target model is uniform. Several
@@ -23,44 +29,60 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadline.llm.frames import bare_id, fits_broadcast, keyed
-from threadline.llm.scan import SPACED, ints, scan, signed
+from threadline.llm.scan import SPACED, Words, ints, mix, scan, signed
 from threadline.runtime import new_run_dir, stage
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
+#: Share of all words below which a word that occurs twice is unknown, and a pair backs off: none.
+WORD_SHARE = 0.0
+PAIR_SHARE = 0.0
+#: Shares that make up the head, which every task holds.
+HEAD_WORDS = 1e-5
+HEAD_PAIRS = 1e-6
 #: Weight of the pair estimate against the single word.
 LAMBDA = 0.7
 #: Distinct counts a task holds before it sends them.
-HELD = 1 << 22
+HELD = 1 << 19
+#: Bits of the filter of keys that are in the tables, and of one block of it; the filter never grows.
+FILTER_BITS, BLOCK_BITS = 27, 16
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray, target: np.ndarray):
+def _summed(keys: np.ndarray, counts: np.ndarray, target: np.ndarray, *more: np.ndarray):
+    """Sums per key; of ``more`` the first value."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[begin], np.add.reduceat(counts[order], begin), np.add.reduceat(target[order], begin)
+    return keys[begin], np.add.reduceat(counts[order], begin), np.add.reduceat(target[order], begin), *(x[order[begin]] for x in more)
+
+
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(after))
+
 
+def _counted(events, names: tuple[str, ...], keyless: bool):
+    """Batches of (key, n, n_target, *names), combined in the task; ``events`` yields keys, rows and what else a word or pair has.
 
-def _counted(events):
-    """Batches of (key, n, n_target), combined in the task; ``events`` yields keys and target flags."""
+    ``keyless``: ``names`` tell the keys, which are left out; else ``names`` are null where a task counts more than one.
+    """
 
     def run(batches):
         parts, size = [], 0
 
         def sent():
-            keys, n, t = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n), pa.array(t)], ["key", "n", "n_target"])
+            keys, n, t, *more = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            keys = [] if keyless else [pa.array(signed(keys))]
+            arrays = [*keys, pa.array(n), pa.array(t), *(pa.array(signed(x), mask=None if keyless else n > 1) for x in more)]
+            return pa.RecordBatch.from_arrays(arrays, [*(["key"] * len(keys)), "n", "n_target", *names])
 
         for rows, words in scan(batches, "_text", SPACED, lower=True):
-            keys, doc = events(words)
+            keys, doc, *more = events(rows, words)
             if not len(keys):
                 continue
             target = ints(rows, "target").astype(np.int64)[doc]
-            parts.append(_summed(keys, np.ones(len(keys), dtype=np.int64), target))
+            parts.append(_summed(keys, np.ones(len(keys), dtype=np.int64), target, *more))
             size += len(parts[-1][0])
             if size >= HELD:
                 merged = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -74,93 +96,227 @@ def _counted(events):
     return run
 
 
-def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place of each word in the sorted vocabulary; its length stands for the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
+#: Neighbour of a word at the edge of its text.
+NOTHING = np.uint64(0)
+
+
+def _words(rows, words: Words):
+    """Every word with its neighbours and its row's key."""
+    hashes = words.hashes()
+    if not len(hashes):
+        return hashes, words.doc
+    same = words.doc[1:] == words.doc[:-1]
+    before, after = np.full(len(hashes), NOTHING), np.full(len(hashes), NOTHING)
+    before[1:][same], after[:-1][same] = hashes[:-1][same], hashes[1:][same]
+    return hashes, words.doc, before, after, ints(rows, "_id")[words.doc].view(np.uint64), ints(rows, "_h")[words.doc].view(np.uint64)
+
 
+def _pairs(rows, words: Words):
+    hashes = words.hashes()
+    at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+    return _pair_keys(hashes[at], hashes[at + 1]), words.doc[at], hashes[at], hashes[at + 1]
 
-def _pairs(vocabulary: np.ndarray):
-    def events(words):
-        number = _numbers(vocabulary, words.hashes())
-        at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-        return (number[at] * (len(vocabulary) + 1) + number[at + 1]).view(np.uint64), words.doc[at]
 
-    return events
+def _with_keys(batches):
+    for batch in batches:
+        key = _pair_keys(ints(batch, "before").view(np.uint64), ints(batch, "after").view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *batch.columns], ["key", *batch.schema.names])
+
+
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _blocks(batches):
+    """(block, bits) of a filter from keys that come block by block."""
+    number, bits = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["block", "bits"])
+    for batch in batches:
+        cells = _cells(ints(batch, "key").view(np.uint64))
+        blocks = cells >> BLOCK_BITS
+        for cut in np.split(np.arange(len(cells)), np.flatnonzero(blocks[1:] != blocks[:-1]) + 1):
+            if not len(cut):
+                continue
+            if number != int(blocks[cut[0]]):
+                if number is not None:
+                    yield row()
+                number, bits = int(blocks[cut[0]]), np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
+            bits[cells[cut] & (1 << BLOCK_BITS) - 1] = 1
+    if number is not None:
+        yield row()
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a fixed size (16 MB) that are set where ``keys`` fall; clear ones spare a row the shuffle."""
+    block = F.shiftrightunsigned("key", 64 - FILTER_BITS + BLOCK_BITS)
+    dealt = keys.select("key").repartition(block).sortWithinPartitions(block)
+    out = np.zeros((1 << FILTER_BITS - BLOCK_BITS, (1 << BLOCK_BITS) // 8), dtype=np.uint8)
+    got = dealt.mapInArrow(_blocks, "block bigint, bits binary").toArrow()
+    for number, bits in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[number] |= np.frombuffer(bits, dtype=np.uint8)
+    return out.ravel()
 
 
 @dataclass
-class Model:
-    """Losses over a shared vocabulary; ``single`` and ``pair`` hold (target, background) losses."""
+class Head:
+    """Losses (target, background) of the frequent words, what frequent pairs change in them, and a filter of the other keys."""
 
-    vocabulary: np.ndarray
+    words: np.ndarray
     single: np.ndarray
+    unknown: np.ndarray
     pairs: np.ndarray
-    pair: np.ndarray
+    change: np.ndarray
+    more: np.ndarray
 
 
-def _losses(vocabulary, counts, pairs, pair_counts) -> Model:
-    """``counts`` has a column each for target and background, the unknown word last."""
-    smoothed = (counts + 1.0) / (counts.sum(axis=0) + len(counts))
-    context, word = pairs // len(counts), pairs % len(counts)
-    # A pair's share of what follows its first word; a word that never starts a pair has none.
-    follows = np.where(counts[context] > 0, pair_counts / np.maximum(counts[context], 1), 0.0)
-    return Model(vocabulary, -np.log(smoothed), pairs, -np.log(LAMBDA * follows + (1 - LAMBDA) * smoothed[word]))
+@dataclass
+class Model:
+    """``rest`` has (key, t, b) of words and pairs beyond the head, ``once`` (_id, _h, t, b) of words that occur once."""
 
+    head: Head
+    rest: DataFrame
+    once: DataFrame
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+_PARTS = ["_id", "_h", "key", "n", "n_words", "t", "b"]
+_PARTS_DDL = "_id bigint, _h bigint, key bigint, n bigint, n_words bigint, t double, b double"
+
+
+def _parts(head: Head):
+    """A row per text (``n_words`` set) with the losses by the head, and rows of its distinct words and pairs beyond it."""
 
-def _scored(model: Model):
     def run(batches):
         for rows, words in scan(batches, "_text", SPACED, lower=True):
             n = rows.num_rows
+            _id, _h = ints(rows, "_id"), ints(rows, "_h")
             loss = np.zeros((n, 2))
-            number = _numbers(model.vocabulary, words.hashes())
-            if len(number):
-                each = model.single[number]
-                inner = np.flatnonzero(words.doc[1:] == words.doc[:-1]) + 1
+            counts = words.counts.astype(np.int64)
+            hashes = words.hashes()
+            if len(hashes):
+                at, known = _found(head.words, hashes)
+                each = np.broadcast_to(head.unknown, (len(hashes), 2)).copy()
+                each[known] = head.single[at[known]]
+                first = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+                keys = _pair_keys(hashes[first], hashes[first + 1])
                 # Inside a text a word without its pair keeps the single word's part only.
-                each[inner] -= np.log(1 - LAMBDA)
-                key = number[inner - 1] * (len(model.vocabulary) + 1) + number[inner]
-                if len(model.pairs) and len(inner):
-                    at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-                    found = model.pairs[at] == key
-                    each[inner[found]] = model.pair[at[found]]
+                each[first + 1] -= np.log(1 - LAMBDA)
+                at, paired = _found(head.pairs, keys)
+                each[first[paired] + 1] += head.change[at[paired]]
                 begin = np.flatnonzero(np.r_[True, words.doc[1:] != words.doc[:-1]])
                 loss[words.doc[begin]] = np.add.reduceat(each, begin, axis=0)
-            counts = words.counts.astype(np.int64)
-            mean = np.divide(loss, counts[:, None], out=np.full((n, 2), np.nan), where=counts[:, None] > 0)
-            cell = lambda x: pa.array(x, mask=counts == 0)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("_id"), pa.array(counts), cell(mean[:, 0]), cell(mean[:, 1])], ["_id", "n_words", "target_loss", "background_loss"]
-            )
+                key = np.concatenate([hashes[~known], keys[~paired]])
+                doc = np.concatenate([words.doc[~known], words.doc[first[~paired]]])
+                cell = _cells(key)
+                maybe = (head.more[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                key, doc = key[maybe], doc[maybe]
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, dtype=np.int64)
+                of = doc[cut]
+                none = pa.nulls(len(cut), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_id[of]), pa.array(_h[of]), pa.array(signed(key[cut])), pa.array(np.diff(np.r_[cut, len(key)]).astype(np.int64)), pa.nulls(len(cut), pa.int64()), none, none],
+                    _PARTS,
+                )
+            # Rows of texts meet nothing in the join; their own hash spreads them.
+            yield pa.RecordBatch.from_arrays([pa.array(_id), pa.array(_h), pa.array(_h), pa.array(np.ones(n, dtype=np.int64)), pa.array(counts), pa.array(loss[:, 0]), pa.array(loss[:, 1])], _PARTS)
 
     return run
 
 
-_COUNTS = "key bigint, n bigint, n_target bigint"
-
-
 def _bounded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and their (target, background) counts; the caller has bounded the rows."""
-    got = rows.select("key", "n_target", "n").toArrow()
+    """Keys in ascending order and their (t, b); the caller has bounded the rows."""
+    got = rows.select("key", "t", "b").toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.stack([got.column("n_target").to_numpy()[order], got.column("n").to_numpy()[order]], axis=1).astype(float)
+    return keys[order], np.stack([got.column("t").to_numpy()[order], got.column("b").to_numpy()[order]], axis=1).astype(float)
+
+
+def _split_join(rows: DataFrame, key: str, head: DataFrame, tail: DataFrame) -> DataFrame:
+    """Inner join on ``key``: a bounded ``head`` with all hot keys is broadcast, only the other rows are shuffled."""
+    hot = rows.join(F.broadcast(head), key)
+    return hot.unionByName(rows.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key))
 
 
 def fit(marked: DataFrame) -> Model:
-    """The models of (``_text``, ``target``) rows."""
+    """The models of (``_id``, ``_h``, ``_text``, ``target``) rows."""
     spark = marked.sparkSession
-    kept = lambda counts, share, label: stage(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), new_run_dir(spark, label))
-    words = kept(marked.mapInArrow(_counted(lambda w: (w.hashes(), w.doc)), _COUNTS), WORD_SHARE, "words")
-    total, total_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    vocabulary, counts = _bounded(words.where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(WORD_SHARE * total))))
-    unknown = np.array([[total_target, total]], dtype=float) - counts.sum(axis=0)
-    counts = np.concatenate([counts, unknown])
-    pairs = kept(marked.mapInArrow(_counted(_pairs(vocabulary)), _COUNTS), PAIR_SHARE, "pairs")
-    keys, pair_counts = _bounded(pairs.where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(PAIR_SHARE * total))))
-    return _losses(vocabulary, counts, keys.view(np.int64), pair_counts)
+
+    def counted(events, names, by):
+        keyless = "key" not in by
+        rows = marked.mapInArrow(_counted(events, names, keyless), ", ".join(f"{c} bigint" for c in (*(() if keyless else by), "n", "n_target", *names)))
+        return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), *(F.max(c).alias(c) for c in names if c not in by))
+
+    words = stage(counted(_words, ("before", "after", "_id", "_h"), ("key",)), new_run_dir(spark, "words"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    size = words.agg(
+        zero(F.sum("n")).alias("b"),
+        zero(F.sum("n_target")).alias("t"),
+        F.count_if(F.col("n") > 1).alias("known"),
+        zero(F.sum(F.when(F.col("n") == 1, 1))).alias("once_b"),
+        zero(F.sum(F.when(F.col("n") == 1, F.col("n_target")))).alias("once_t"),
+    ).first()
+    all_of, once_of = {"t": size["t"], "b": size["b"]}, {"t": size["once_t"], "b": size["once_b"]}
+    norm = {k: float(all_of[k] + size["known"] + 1) for k in "tb"}
+    unknown = {k: -float(np.log((once_of[k] + 1) / norm[k])) for k in "tb"}
+
+    known = words.where("n > 1").select("key", F.col("n").alias("b"), F.col("n_target").alias("t"))
+    is_head = F.col("b") >= HEAD_WORDS * all_of["b"]
+    single = lambda k: -F.log((F.col(k) + 1.0) / norm[k])
+    vocabulary, losses = _bounded(known.where(is_head).select("key", *(single(k).alias(k) for k in "tb")))
+    rest = known.where(~is_head).select("key", *((single(k) - unknown[k]).alias(k) for k in "tb"))
+
+    def change(pair: Column, before: Column, word: Column, k: str) -> Column:
+        """What a pair changes in the loss of its second word, from the counts of the pair, its first and its second word."""
+        share = F.when(before > 0, pair / before).otherwise(0.0)
+        return -F.log1p(LAMBDA * share / ((1 - LAMBDA) * (word + 1.0) / norm[k]))
+
+    pairs = counted(_pairs, ("before", "after"), ("before", "after")).where("n > 1")
+    pairs = pairs.mapInArrow(_with_keys, "key bigint, before bigint, after bigint, n bigint, n_target bigint")
+    pairs = stage(pairs, new_run_dir(spark, "pairs"))
+    for name in ("before", "after"):
+        of = known.select(F.col("key").alias(name), *(F.col(k).alias(f"{name}_{k}") for k in "tb"))
+        hot = F.col(f"{name}_b") >= HEAD_WORDS * all_of["b"]
+        pairs = _split_join(pairs, name, of.where(hot), of.where(~hot))
+    amount = {"t": F.col("n_target"), "b": F.col("n")}
+    pairs = stage(
+        pairs.select("key", "n", *(change(amount[k], F.col(f"before_{k}"), F.col(f"after_{k}"), k).alias(k) for k in "tb")), new_run_dir(spark, "pair_changes")
+    )
+    is_head = F.col("n") >= HEAD_PAIRS * all_of["b"]
+    pair_keys, changes = _bounded(pairs.where(is_head))
+    rest = rest.unionByName(pairs.where(~is_head).select("key", "t", "b"))
+
+    # Pairs with the unknown word: each word that occurs once has one neighbour on either side.
+    once = words.where("n = 1").select("before", "after", "_id", "_h", "n_target")
+    share_of_once = HEAD_WORDS * once_of["b"]
+    spoken = words.select("key", F.col("n").alias("word_b"), F.col("n_target").alias("word_t"))
+    parts = []
+    for name in ("after", "before"):
+        beside = once.where(F.col(name) != 0).groupBy(F.col(name).alias("key")).agg(F.count("*").alias("n"), F.sum("n_target").alias("n_target")).join(spoken, "key")
+        beside = stage(beside, new_run_dir(spark, f"once_{name}"))
+        lone = beside.where("word_b = 1")
+        if name == "after":
+            both = lone.agg(zero(F.sum("n")).alias("b"), zero(F.sum("n_target")).alias("t")).first()
+            of = lambda k: change(amount[k], F.lit(once_of[k]), F.col(f"word_{k}"), k)
+        else:
+            of = lambda k: change(amount[k], F.col(f"word_{k}"), F.lit(once_of[k]), k)
+        table = beside.where("word_b > 1 and n > 1").select("key", "n", *(of(k).alias(k) for k in "tb"))
+        if name == "after" and both["b"] > 1:
+            twice = [change(F.lit(both[k]), F.lit(once_of[k]), F.lit(once_of[k]), k).alias(k) for k in "tb"]
+            table = table.unionByName(lone.select("key", "n", *twice))
+        table = table.withColumnRenamed("key", name)
+        hot = F.col("n") >= share_of_once
+        parts.append(_split_join(once, name, table.where(hot).drop("n"), table.where(~hot).drop("n")).select("_id", "_h", "t", "b"))
+    head = Head(vocabulary, losses, np.array([unknown["t"], unknown["b"]]), pair_keys, changes, _filter(rest))
+    return Model(head, rest, parts[0].unionByName(parts[1]))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -170,15 +326,26 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ids = targets.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_target")).distinct()
-    texts = keyed(docs).select("_id", "_text")
+    texts = keyed(docs).select("_id", "_h", "_text")
     small = fits_broadcast(ids)
     marked = texts.join(F.broadcast(ids) if small else ids, F.col("_id") == F.col("_target"), "left")
-    marked = marked.select("_id", "_text", F.col("_target").isNotNull().alias("target"))
+    marked = marked.select("_id", "_h", "_text", F.col("_target").isNotNull().alias("target"))
     if not small:  # else three passes would each shuffle the texts
         marked = stage(marked, new_run_dir(spark, "marked"))
-    model = spark.sparkContext.broadcast(fit(marked))
-    run = lambda batches: _scored(model.value)(batches)
-    scored = texts.mapInArrow(run, "_id bigint, n_words bigint, target_loss double, background_loss double")
+    model = fit(marked)
+    head = spark.sparkContext.broadcast(model.head)
+    run = lambda batches: _parts(head.value)(batches)
+    changes = model.rest.select("key", F.col("t").alias("_t"), F.col("b").alias("_b"))
+    own = F.col("n_words").isNotNull()
+    joined = texts.mapInArrow(run, _PARTS_DDL).join(changes, "key", "left")
+    parts = joined.where(own | F.col("_b").isNotNull()).select(
+        "_id", "_h", "n_words", *(F.when(own, F.col(k)).otherwise(F.col("n") * F.col(f"_{k}")).alias(k) for k in "tb")
+    )
+    parts = parts.unionByName(model.once.select("_id", "_h", F.lit(None).cast("bigint").alias("n_words"), "t", "b"))
+    # Rows equal in id and text are one group and come back as often as they were.
+    summed = parts.groupBy("_id", "_h").agg(F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), *(F.sum(k).alias(k) for k in "tb"))
+    mean = lambda k: F.when(F.col("n_words") > 0, F.col(k) / F.col("copies") / F.col("n_words"))
+    scored = summed.select("_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return scored.select(
         bare_id(F.col("_id")).alias("doc_id"), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score")
     )
