@@ -145,6 +145,30 @@ def test_reparameterised_questions_are_caught(spark):
     assert not {4, 5} & set(got)
 
 
+def _found_in(spark, item: str, *texts: str) -> set:
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["doc_id"] for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_two_copies_in_a_row_are_two_places(spark):
+    ask = "in a shop there are {} red balls and {} blue balls in one large box, how many balls are there in the box when {} are taken away"
+    assert _found_in(spark, ask.format(3, 3, 2), ask.format(4, 6, 1), f"{ask.format(5, 8, 4)}. {ask.format(7, 9, 3)}.", "no balls at all") == {0, 1}
+
+
+def test_names_that_start_a_sentence_and_glued_units(spark):
+    ask = "{0} has {1} apples. {0} buys {2} more at the shop. {0} eats {3} of them today. {0} then bakes {4} cakes. How many apples are left?"
+    assert _found_in(spark, ask.format("Tom", 5, 7, 2, 3), ask.format("Anna", 9, 8, 4, 6), ask.format("Élodie", 9, 8, 4, 6), "Tom has apples") == {0, 1}
+    flour = "a baker mixes {}kg of flour with {}ml of water and bakes bread for {}min"
+    assert _found_in(spark, flour.format(5, 300, 40), flour.format(7, 450, 55), flour.format("7 ", "450 ", "55 ")) == {0, 1}
+    assert _found_in(spark, "Seven brave sailors cross the sea", "we read that Seven brave sailors cross the sea") == {0}
+
+
+def test_verbatim_copies_of_slots_and_short_items(spark):
+    for item in ("Compute 12 + 35 * 7 - 4 / 2 + 18 * 3", "Which Famous French Painter Lived Near The Old Harbour", "name three rivers"):
+        assert _found_in(spark, item, f"once asked: {item}, and more", "name two rivers, 12 + 36") == {0}
+
+
 def test_scores_equal_a_plain_model(spark, sf_dir, con):
     docs = {i: (t or "").encode().translate(bytes(LOWER)).split() for i, t, _ in _documents(con)}
     good = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}

@@ -2,14 +2,19 @@
 
 Numbers, units and names become typed placeholders, so a question asked again
 with other values keeps its template. Windows of canonical words of every text
-are hash-joined with those of the benchmark. Hits of a document and an item are
-cut into places, and a place counts if it covers enough of the item and its
-slots are consistent: one value of the item always stands for the same value of
-the document.
+are hash-joined with those of the benchmark. Every text has three readings:
+names only where they are capitalised inside a sentence; every capitalised word
+a name, wherever it stands, and numbers cut from their units; and plain words.
+A document and an item are compared in one reading at a time.
 
-A window needs at least half its words to be literal; a row of placeholders is
-no evidence. Items shorter than a window are matched by windows of their own
-length, down to ``MIN_WORDS`` words; shorter ones match nothing.
+Hits of a document and an item are cut into places, by gaps and also by
+diagonals, so each of two copies in a row is a place of its own. A place counts
+if it covers enough of the item and its slots are consistent: one name (by gaps:
+one value) of the item always stands for the same one of the document.
+
+A window of placeholders needs at least half its words to be literal; plain
+windows have no such rule. Items shorter than a window are matched by windows of
+their own length, down to ``MIN_WORDS`` words, as plain words of any length.
 
 Defined results: null texts have no windows; rows with the same id are one
 document or item; null ids come back as null. Hits are aggregated per document
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.frames import bare_id, keyed, maybe_broadcast
+from threadline.llm.frames import bare_id, fits_broadcast, keyed
 from threadline.llm.scan import ALNUM, DIGIT, LOWER, byte_class, chunks, ints, signed, span_hashes, words_of
 from threadline.runtime import new_run_dir, stage
 
@@ -41,7 +46,13 @@ _SENTENCE_END = byte_class(b".!?:;\n\"")
 _UPPER = byte_class(bytes(range(65, 91)))
 _SMALL = byte_class(bytes(range(97, 123)))
 _SLOT = {"number": np.uint64(1), "unit": np.uint64(2), "name": np.uint64(3)}
-_WINDOWS = pa.schema([("_id", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64())), ("n_words", pa.int32())])
+_WINDOWS = pa.schema(
+    [("_id", pa.int64()), ("_h", pa.int64()), ("pos", pa.int32()), ("reading", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))]
+)
+#: Readings of a text, in the order in which they are believed.
+INSIDE, CAPITALS, PLAIN = range(3)
+#: Diagonals this close are one place.
+BAND = 2
 
 
 def _plain_hashes(words):
@@ -53,12 +64,26 @@ def _unit_hashes() -> np.ndarray:
     return _plain_hashes(words_of(text, np.array([0, len(text)]), ALNUM))
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray, units: np.ndarray):
-    """(words, their canonical hashes, their own hashes, which are slots)."""
-    words = words_of(data, offsets, ALNUM, joined=b".,")
+def _capital(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words start with a capital of any script and go on with a small letter or one beyond ASCII."""
+    out = _UPPER[data[start]]
+    beyond = np.flatnonzero(data[start] >= 192)
+    if len(beyond):
+        wide = np.concatenate([data, np.zeros(4, dtype=np.uint8)])
+        heads, which = np.unique(wide[start[beyond, None] + np.arange(4)], axis=0, return_inverse=True)
+        upper = np.array([bytes(h).decode(errors="ignore")[:1].isupper() for h in heads])
+        out[beyond] = upper[which.ravel()]
+    length = np.where(data[start] < 128, 1, np.where(data[start] < 224, 2, np.where(data[start] < 240, 3, 4)))
+    second = data[np.minimum(start + length, len(data) - 1)]
+    return out & (end - start > length) & (_SMALL[second] | (second >= 128))
+
+
+def canonical(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, reading: int = INSIDE):
+    """(words, their canonical hashes, their own hashes with the kind of a slot in the last bits, which are slots)."""
+    words = words_of(data, offsets, ALNUM, joined=b".,", unglued=reading == CAPITALS)
     plain = _plain_hashes(words)
-    if not len(plain):
-        return words, plain, plain, np.zeros(0, dtype=bool)
+    if not len(plain) or reading == PLAIN:
+        return words, plain, plain, np.zeros(len(plain), dtype=bool)
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     other = count(~_NUMERAL[data])
     number = other[words.end] == other[words.start]
@@ -71,53 +96,115 @@ def canonical(data: np.ndarray, offsets: np.ndarray, units: np.ndarray):
     inside[1:] &= ends[words.start[1:]] == ends[words.end[:-1]]
     second = np.minimum(words.start + 1, len(data) - 1)
     name = inside & _UPPER[data[words.start]] & (words.end - words.start > 1) & _SMALL[data[second]]
-    canon = plain.copy()
+    if reading == CAPITALS:
+        name = _capital(data, words.start, words.end)
+    canon, own = plain.copy(), plain & ~np.uint64(3)
     for mask, kind in ((name, "name"), (unit, "unit"), (number, "number")):
         canon[mask] = _SLOT[kind]
-    return words, canon, plain, number | unit | name
-
-
-def _windows(sizes: tuple[int, ...], whole: bool):
-    """Windows of each size; ``whole``: of an item, which is cut by its own size only."""
+    slot = number | unit | name
+    return words, canon, np.where(slot, own | canon & np.uint64(3), plain), slot
+
+
+def _windows(sizes: dict[int, tuple[int, ...]], whole: int, wanted=None):
+    """Windows of each reading's sizes; ``whole``: of items, cut by their own size up to this one only; ``wanted``: sorted keys, others are left out."""
+
+    def cut(rows, data, offsets, units, reading):
+        words, canon, plain, slot = canonical(data, offsets, units, reading)
+        counts, ordinal = words.counts, words.ordinal()
+        ids, hashes = ints(rows, "_id"), ints(rows, "_h")
+        places, before = np.flatnonzero(slot), np.concatenate([[0], np.cumsum(slot)])
+        for k in sizes.get(reading, ()):
+            n = len(canon) - k + 1
+            if n <= 0:
+                continue
+            at = np.flatnonzero(words.doc[:n] == words.doc[k - 1 :])
+            at = at[before[at + k] - before[at] <= k // 2]
+            if whole:
+                size = counts[words.doc[at]]
+                at = at[(size == k) | (size > k) & (k == whole)]
+            key = signed(span_hashes(canon, at, at + k))
+            if wanted is not None:
+                keys = wanted.value
+                near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[near] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                at, key = at[found], key[found]
+            low, high = before[at], before[at + k]
+            span = high - low
+            ends = np.cumsum(span)
+            inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - span, span)
+            filled = plain[places[np.repeat(low, span) + inner]] if len(inner) else np.zeros(0, dtype=np.uint64)
+            slots = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(signed(filled)))
+            doc = words.doc[at]
+            full = lambda x: pa.array(np.full(len(at), x, dtype=np.int32))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(ordinal[at].astype(np.int32)), full(reading), full(k), pa.array(key), slots], schema=_WINDOWS
+            )
 
     def run(batches):
         units = _unit_hashes()
         for rows, data, offsets in chunks(batches, "_text"):
-            words, canon, plain, slot = canonical(data, offsets, units)
-            counts, ordinal, ids = words.counts, words.ordinal(), ints(rows, "_id")
-            places, before = np.flatnonzero(slot), np.concatenate([[0], np.cumsum(slot)])
-            for k in sizes:
-                n = len(canon) - k + 1
-                if n <= 0:
-                    continue
-                at = np.flatnonzero(words.doc[:n] == words.doc[k - 1 :])
-                at = at[before[at + k] - before[at] <= k // 2]
-                if whole:
-                    size = counts[words.doc[at]]
-                    at = at[(size == k) | (size > k) & (k == max(sizes))]
-                low, high = before[at], before[at + k]
-                span = high - low
-                ends = np.cumsum(span)
-                inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - span, span)
-                filled = plain[places[np.repeat(low, span) + inner]] if len(inner) else np.zeros(0, dtype=np.uint64)
-                slots = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(signed(filled)))
-                doc = words.doc[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[doc]),
-                        pa.array(ordinal[at].astype(np.int32)),
-                        pa.array(np.full(len(at), k, dtype=np.int32)),
-                        pa.array(signed(span_hashes(canon, at, at + k))),
-                        slots,
-                        pa.array(counts[doc].astype(np.int32)),
-                    ],
-                    schema=_WINDOWS,
-                )
+            for reading in sizes:
+                yield from cut(rows, data, offsets, units, reading)
 
     return run
 
 
-_DDL = "_id bigint, pos int, k int, key bigint, slots array<bigint>, n_words int"
+_DDL = "_id bigint, _h bigint, pos int, reading int, k int, key bigint, slots array<bigint>"
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float, doc_key: list[str]) -> DataFrame:
+    """(*doc_key, item, n_hits, verbatim, n_windows, coverage); ``doc_key``: what makes rows one document."""
+    spark = docs.sparkSession
+    template = tuple(range(MIN_WORDS, window + 1))
+    sizes = {INSIDE: template, CAPITALS: template, PLAIN: tuple(range(1, window + 1))}
+    item = keyed(benchmark, "item_id").select("_id", "_h", "_text").mapInArrow(_windows(sizes, window), _DDL)
+    item = item.select(F.col("_id").alias("item"), F.col("pos").alias("ipos"), "reading", "k", "key", F.col("slots").alias("islots"))
+    item = stage(item, new_run_dir(spark, "templates"))
+    # At most one row per reading and size, so documents are cut only by sizes that some item needs.
+    needed: dict[int, tuple[int, ...]] = {}
+    for r in sorted(item.select("reading", "k").distinct().collect()):
+        needed[r["reading"]] = (*needed.get(r["reading"], ()), r["k"])
+    totals = item.groupBy("item", "reading").agg(F.count_distinct("ipos").alias("n_windows"))
+    small, wanted = fits_broadcast(item), None
+    if small:  # as many keys as may be broadcast: windows that no item has stay in the task
+        wanted = spark.sparkContext.broadcast(np.unique(item.select("key").toArrow().column("key").to_numpy()))
+    own = keyed(docs).select("_id", "_h", "_text").mapInArrow(_windows(needed, 0, wanted), _DDL)
+    group = [*doc_key, "item", "reading"]
+    hits = own.join(F.broadcast(item) if small else item, ["reading", "k", "key"]).select(
+        *group, "pos", "ipos", (F.col("slots") == F.col("islots")).alias("equal"), F.arrays_zip("islots", "slots").alias("pairs")
+    )
+    hits = stage(hits, new_run_dir(spark, "hits"))
+
+    def placed(order: str, reach: int) -> DataFrame:
+        by_place = Window.partitionBy(*group).orderBy(order, "pos", "ipos")
+        new = F.when(F.col(order) - F.lag(order).over(by_place) <= reach, 0).otherwise(1)
+        marked = hits.withColumn("diagonal", F.col("pos") - F.col("ipos")).withColumn("new", new)
+        return marked.withColumn("place", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def counted(places: DataFrame, names_only: bool) -> DataFrame:
+        pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
+        found = places.groupBy(*group, "place").agg(
+            F.count_distinct("ipos").alias("all_hits"),
+            F.count_distinct(F.when(F.col("equal"), F.col("ipos"))).alias("equal_hits"),
+            pairs.alias("pairs"),
+        )
+        if names_only:  # on a diagonal a number's place in the item tells it; equal numbers may part
+            found = found.withColumn("pairs", F.filter("pairs", lambda p: p["islots"].bitwiseAND(F.lit(3)) == int(_SLOT["name"])))
+        steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["islots"]))) == F.size("pairs")
+        found = found.withColumn("n_hits", F.when(steady, F.col("all_hits")).otherwise(F.col("equal_hits")))
+        return found.select(*group, F.struct("n_hits", (F.col("n_hits") == F.col("equal_hits")).alias("verbatim")).alias("best"))
+
+    found = counted(placed("pos", 2 * window), False).unionByName(counted(placed("diagonal", BAND), True))
+    per_reading = (
+        found.groupBy(*group)
+        .agg(F.max("best").alias("best"))
+        .join(totals, ["item", "reading"])
+        .withColumn("coverage", F.col("best.n_hits") / F.col("n_windows"))
+        .where(F.col("coverage") >= coverage)
+    )
+    return per_reading.groupBy(*doc_key, "item").agg(F.min(F.struct("reading", "best", "n_windows", "coverage")).alias("x")).select(
+        *doc_key, "item", "x.best.n_hits", "x.best.verbatim", "x.n_windows", "x.coverage"
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -125,52 +212,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     ``doc_id``, ``item_id``, ``n_hits`` (distinct windows of the item found in the
     best place), ``n_windows`` (of the item), ``coverage``, ``kind`` ('verbatim'
-    or 'reparameterised'). A place is a run of hits no further apart than two
-    windows. Where slots contradict each other only windows with equal values count.
+    or 'reparameterised'), in the first reading that covers enough. A place is a
+    run of hits no further apart than two windows, or on neighbouring diagonals.
+    Where its slots contradict each other only windows with equal values count.
     """
-    spark = docs.sparkSession
-    sizes = tuple(range(MIN_WORDS, window + 1))
-    item = keyed(benchmark, "item_id").select("_id", "_text").mapInArrow(_windows(sizes, True), _DDL)
-    item = stage(item.select(F.col("_id").alias("item"), F.col("pos").alias("ipos"), "k", "key", F.col("slots").alias("islots")), new_run_dir(spark, "templates"))
-    # At most one row per size, so documents are cut only by sizes that some item needs.
-    needed = tuple(sorted(r["k"] for r in item.select("k").distinct().collect())) or (window,)
-    totals = item.groupBy("item").agg(F.count_distinct("ipos").alias("n_windows"))
-    own = keyed(docs).select("_id", "_text").mapInArrow(_windows(needed, False), _DDL)
-    equal = F.col("slots") == F.col("islots")
-    hits = own.join(maybe_broadcast(item), ["k", "key"]).select(
-        "_id", "item", "pos", "ipos", equal.alias("equal"), F.arrays_zip("islots", "slots").alias("pairs")
-    )
-    by_place = Window.partitionBy("_id", "item").orderBy("pos", "ipos")
-    new = F.when(F.col("pos") - F.lag("pos").over(by_place) <= 2 * window, 0).otherwise(1)
-    placed = hits.withColumn("new", new).withColumn("place", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
-    found = placed.groupBy("_id", "item", "place").agg(
-        F.count_distinct("ipos").alias("all_hits"),
-        F.count_distinct(F.when(F.col("equal"), F.col("ipos"))).alias("equal_hits"),
-        pairs.alias("pairs"),
-    )
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["islots"]))) == F.size("pairs")
-    best = F.max(F.struct(F.col("n_hits"), F.col("verbatim"))).alias("best")
-    per_pair = (
-        found.withColumn("n_hits", F.when(steady, F.col("all_hits")).otherwise(F.col("equal_hits")))
-        .withColumn("verbatim", F.col("n_hits") == F.col("equal_hits"))
-        .groupBy("_id", "item")
-        .agg(best)
-        .join(totals, "item")
-        .withColumn("coverage", F.col("best.n_hits") / F.col("n_windows"))
-        .where(F.col("coverage") >= coverage)
-    )
-    return per_pair.select(
+    return _leaks(docs, benchmark, window, coverage, ["_id"]).select(
         bare_id(F.col("_id")).alias("doc_id"),
         bare_id(F.col("item")).alias("item_id"),
-        F.col("best.n_hits").alias("n_hits"),
+        "n_hits",
         "n_windows",
         "coverage",
-        F.when(F.col("best.verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; a null id stays or goes like any other."""
-    bad = leaks(docs, benchmark, window, coverage).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, told apart by id and text."""
+    bad = _leaks(docs, benchmark, window, coverage, ["_id", "_h"]).select("_id", "_h").distinct()
+    return keyed(docs).select("row", "_id", "_h").join(bad, ["_id", "_h"], "left_anti").select("row.*")

@@ -103,14 +103,16 @@ class Words:
         return at, span_hashes(hashes, at, at + k)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, joined: bytes = b"") -> Words:
-    """Words are runs of bytes in ``table``; a byte of ``joined`` between two digits belongs to the word."""
+def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, joined: bytes = b"", unglued: bool = False) -> Words:
+    """Words are runs of bytes in ``table``; a byte of ``joined`` between two digits belongs to the word; ``unglued`` cuts between digit and letter."""
     inside = table[data]
     if joined and len(data) > 2:
         digit = DIGIT[data]
         inside[1:-1] |= byte_class(joined)[data[1:-1]] & digit[:-2] & digit[2:]
     edge = np.ones(len(data) + 1, dtype=bool)
     edge[1:-1] = inside[1:] != inside[:-1]
+    if unglued:
+        edge[1:-1] |= inside[1:] & inside[:-1] & DIGIT[data[:-1]] & ~DIGIT[data[1:]] & ALNUM[data[1:]]
     edge[offsets] = True
     cuts = np.flatnonzero(edge)
     begin, stop = cuts[:-1], cuts[1:]
