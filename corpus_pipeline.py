@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.llm import decontaminate, line_dedup, mixing, quality, simhash
+from threadline.llm.frames import NULL_ID, keyed
 from threadline.llm.queries import quality_weights
 from threadline.runtime import new_run_dir, stage
 
@@ -29,7 +30,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints stays."""
+    """The document with the smallest id of each group of linked fingerprints (op9's: 4 words, 4 bits) stays."""
     return simhash.representatives(docs)
 
 
@@ -41,9 +42,12 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row per document with ``taken`` words, and its text."""
     weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mixing.mix(docs, weights).where("taken > 0").withColumnRenamed("doc_id", "_taken")
-    texts = docs.select("doc_id", "text")
-    return texts.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken"))).drop("_taken")
+    taken = mixing.mix(docs.withColumn("_mix_h", F.xxhash64("text")), weights).where("taken > 0")
+    columns = [c for c in taken.columns if c not in ("doc_id", "_mix_h")]
+    taken = taken.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
+    # One text per id and text: a row of the mix meets its own text only.
+    texts = keyed(docs).select("_id", "_h", F.col("row.text").alias("text")).dropDuplicates(["_id", "_h"])
+    return texts.join(taken, (F.col("_id") == F.col("_mix_id")) & (F.col("_h") == F.col("_mix_h"))).select("doc_id", "text", *columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

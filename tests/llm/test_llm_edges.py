@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from threadline.llm import chat, components, decontaminate, license_scan, line_dedup, lm_score, mixing, quality, scan, simhash, substring, warc
 from threadline.llm.frames import fits_broadcast
 
@@ -152,6 +153,18 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.decontaminate(odd_docs, items.limit(0)).count() == odd_docs.count()
 
 
+def test_null_and_repeated_ids_with_different_texts(spark, sf_dir):
+    some = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(None, some("a")), (None, some("b")), (None, some("c")), (7, some("d")), (7, some("e")), (7, some("e")), (8, some("a"))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    told = lambda frame: sorted((r["doc_id"] or 0, r["text"][:1]) for r in frame.collect())
+    assert told(simhash.representatives(docs)) == [(0, "a"), (0, "b"), (0, "c"), (7, "d"), (7, "e")]
+    items = spark.createDataFrame([(1, some("b")), (2, some("d"))], "item_id bigint, text string")
+    assert told(decontaminate.decontaminate(docs, items)) == [(0, "a"), (0, "c"), (7, "e"), (7, "e"), (8, "a")]
+    taken = corpus_pipeline.source_mixture(spark, docs, sf_dir)
+    assert taken.count() == mixing.mix(docs).where("taken > 0").count() == len(rows)
+
+
 def test_mixing(spark, odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadline.llm.components import components, forest
-from threadline.llm.frames import NULL_ID, bare_id, keyed
+from threadline.llm.frames import bare_id, keyed
 from threadline.llm.scan import LOWER, SPACED, chunks, ints, words_of
 from threadline.runtime import new_run_dir, stage
 
@@ -73,12 +73,12 @@ def fingerprints(docs: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _fingerprint(k: int):
+def _fingerprint(k: int, key: tuple[str, ...] = ("_id",)):
     def run(batches):
         for rows, data, offsets in chunks(batches, "_text"):
             doc, hashes = shingle_hashes(data, offsets, k)
             found = fingerprints(doc, hashes, rows.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), pa.array(found)], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in key), pa.array(found)], [*key, "fp"])
 
     return run
 
@@ -190,8 +190,16 @@ def simhash(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -
 
 
 def representatives(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, one per id, all columns as they are."""
-    kept = simhash(docs, k, max_bits, segments).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    rows = keyed(docs).select("row", "_id").join(ids, "_id", "left_semi").dropDuplicates(["_id"])
-    return rows.select("row.*")
+    """One row of ``docs`` per component, that with the smallest id and then text hash, all columns as they are.
+
+    Documents are told apart by id and text, so null and repeated ids with
+    different texts are as many documents.
+    """
+    spark = docs.sparkSession
+    prints = keyed(docs).select("_id", "_h", "_text").mapInArrow(_fingerprint(k, ("_id", "_h")), "_id bigint, _h bigint, fp bigint")
+    prints = stage(prints, new_run_dir(spark, "fingerprints"))
+    roots = components(near_links(prints, max_bits, segments))
+    least = prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("_id", "_h")).alias("least"))
+    first = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
+    kept = first.select("least._id", "least._h")
+    return keyed(docs).select("row", "_id", "_h").join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("row.*")
