@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.once import computed_once
 from threadline.llm import chat, decontaminate, license_scan, lm_score
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
-from threadline.llm import quality, simhash, substring, warc
+from threadline.llm import prefix_trie, quality, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -308,3 +308,52 @@ SELECT d.doc_id, max(len(words)) AS n_words, count(*) FILTER (WHERE base) AS n_b
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0.0)::DOUBLE AS score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
+
+
+def rebuilt_paths(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): the first h turns of conversation c - c % 5, then c's own turns after its first h; h = crc32(c) % 9.
+
+    The at most nine conversations with one base are in one partition, so a base's turns reach them without a join.
+    """
+    base = F.col("conv_id").cast("bigint") - F.col("conv_id").cast("bigint") % 5
+    own = prefix_trie.keyed_turns(conversations, base)
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    head = F.first(F.when(F.col("conv_id") == F.col("near"), F.slice("turns", 1, 8)), ignorenulls=True).over(
+        Window.partitionBy("near").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    own = own.select("conv_id", "turns", h.alias("h"), F.coalesce(head, F.slice("turns", 1, 0)).alias("head"))
+    return own.select("conv_id", F.concat(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(rebuilt_paths(table(spark, sf_dir, "conversations"))).drop("turn_key")
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL: a byte, then eight shifts (-1) each, folded over one list."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "(c >> 1) # (CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)".replace("#", ", ")
+    return f"xor(list_reduce(list_concat([4294967295], {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor({shift}) END), 4294967295)"
+
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, role, strlen(text) AS bytes, substr(sha256(length(role) || ':' || role || text), 1, 32) AS key FROM t),
+o AS (SELECT conv_id, list({{'key': key, 'bytes': bytes}} ORDER BY turn NULLS FIRST, role, key) AS turns,
+    CAST({crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM k GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1 : o.h], []), o.turns[o.h + 1 : len(o.turns)]) AS path
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+p AS (SELECT conv_id, d, len(path) = d AS ends, CASE WHEN d > 0 THEN path[d].bytes ELSE 0 END AS bytes,
+    md5(array_to_string(list_transform(path[1 : d], lambda x: x.key), ',')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(path[1 : d - 1], lambda x: x.key), ',')) END AS parent
+  FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r)),
+n AS (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, max(parent) AS parent,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY node, d),
+c AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, up.conv_id AS parent_conv_id
+  FROM n LEFT JOIN c ON n.node = c.parent LEFT JOIN n up ON n.parent = up.node),
+s AS (SELECT a.node, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves
+  FROM v JOIN p a ON a.conv_id = v.conv_id AND a.d <= v.depth GROUP BY a.node)
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256 FROM v JOIN s ON v.node = s.node
+"""
