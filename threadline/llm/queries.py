@@ -11,7 +11,8 @@ from threadline.functions.once import computed_once
 from threadline.llm import chat, decontaminate, license_scan, lm_score
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
-from threadline.llm import prefix_trie, quality, simhash, substring, warc
+from threadline.llm import prefix_trie, quality, repair, simhash, substring, warc
+from threadline.runtime import new_run_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -357,3 +358,78 @@ s AS (SELECT a.node, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tok
   FROM v JOIN p a ON a.conv_id = v.conv_id AND a.d <= v.depth GROUP BY a.node)
 SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256 FROM v JOIN s ON v.node = s.node
 """
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given the user's role by crc32(conv_id:turn) % 20; nulls are one space."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", known("conv_id"), known("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), kind.alias("kind")).where("kind > 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("n"))
+
+
+@query
+def op12_structure_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    found = stage(repair.audits(rows), new_run_dir(spark, "repair-audits"))
+    sums = repair.digests(repair.repaired(rows, found)).withColumnRenamed("conv_id", "sum_id")
+    ids = conversations.select(F.col("conv_id").alias("id")).distinct()
+    done = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").join(sums, F.col("id").eqNullSafe(F.col("sum_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return done.select(
+        F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+def _repair_sql() -> str:
+    """The DP forwards in SQL, a (cost, audit) struct per grammar state; the least struct is the cheapest, then ASCII-least."""
+    far = 1 << 40
+    sound, pen = "r.fault NOT IN (1, 2)", "CASE WHEN r.fault = 3 THEN 5 ELSE 0 END"
+    go = lambda s, cost, letter, when="true": f"{{'c': CASE WHEN {when} THEN f.{s}.c + {cost} ELSE {far} END, 'a': f.{s}.a || '{letter}'}}"
+    keep = lambda s, initial: go(s, pen, "K", f"{sound} AND r.initial = '{initial}'")
+    rerole = lambda s: go(s, f"1 + {pen}", "R", sound)
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    put = lambda s, n: f"{{'c': {s}.c + {5 * n}, 'a': {s}.a || '{'I' * n}'}}"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS n FROM d WHERE kind > 0),
+k AS (SELECT *, left(role, 1) AS initial, md5(length(role) || ':' || role || text) AS key,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS i FROM k),
+r AS (SELECT *, CASE WHEN tail = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, key ORDER BY i) > 1 THEN 2
+    WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM g),
+m AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+f AS (
+  SELECT conv_id, 0::BIGINT AS i, n, {{'c': 0::BIGINT, 'a': ''}} AS b, {{'c': {far}::BIGINT, 'a': ''}} AS s, {{'c': 5::BIGINT, 'a': 'I'}} AS u, {{'c': 10::BIGINT, 'a': 'II'}} AS a FROM m
+  UNION ALL
+  SELECT conv_id, i, n, b, s, {least("u", put("b", 1), put("s", 1), put("a", 1))} AS u, {least("a", put("u", 1), put("b", 2), put("s", 2))} AS a
+  FROM (SELECT f.conv_id, f.i + 1 AS i, f.n, {go("b", 2, "D")} AS b, {least(go("s", 2, "D"), keep("b", "s"))} AS s,
+      {least(go("u", 2, "D"), keep("b", "u"), keep("s", "u"), keep("a", "u"), rerole("b"), rerole("s"), rerole("a"))} AS u,
+      {least(go("a", 2, "D"), keep("u", "a"), rerole("u"))} AS a
+    FROM f JOIN r ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = f.i + 1)),
+z AS (SELECT conv_id, list_sort([b, a])[1] AS best FROM f WHERE i = n),
+l AS (SELECT conv_id, spot, substr(best.a, CAST(spot AS INTEGER), 1) AS letter FROM (SELECT *, unnest(range(1, length(best.a) + 1)) AS spot FROM z)),
+p AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS i FROM l),
+q AS (SELECT p.conv_id, p.spot, p.letter, CASE WHEN p.letter <> 'I' THEN r.text ELSE '' END AS text, CASE WHEN p.letter = 'K' THEN r.role END AS kept,
+    row_number() OVER (PARTITION BY p.conv_id ORDER BY p.spot) AS pos
+  FROM p LEFT JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.i = r.i AND p.letter <> 'I' WHERE p.letter <> 'D'),
+t AS (SELECT *, CASE WHEN first_value(left(kept, 1)) OVER (PARTITION BY conv_id ORDER BY pos) = 's' THEN 1 ELSE 0 END AS ahead FROM q),
+h AS (SELECT conv_id, sha256(string_agg(coalesce(kept, CASE WHEN (pos - ahead) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY pos)) AS sha
+  FROM t GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+  LEFT JOIN z ON o.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN h ON o.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
+ORACLE["op12_structure_repair"] = _repair_sql()
