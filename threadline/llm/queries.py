@@ -11,7 +11,7 @@ from threadline.functions.once import computed_once
 from threadline.llm import chat, decontaminate, license_scan, lm_score
 from threadline.llm import line_dedup as lines
 from threadline.llm import mixing as M
-from threadline.llm import prefix_trie, quality, repair, simhash, substring, warc
+from threadline.llm import prefix_trie, quality, repair, simhash, substring, warc, wrapper
 from threadline.runtime import new_run_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,3 +433,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS
 
 
 ORACLE["op12_structure_repair"] = _repair_sql()
+
+
+@query
+def op13_html_extraction(spark, sf_dir):
+    done = wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: The pages of the given tables keep their text in one ``article`` of headings and paragraphs.
+ORACLE["op13_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS plain FROM a),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(regexp_replace(plain, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS plain FROM t)
+SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(plain, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM d
+"""
