@@ -65,7 +65,7 @@ def latest_content(history: DataFrame) -> DataFrame:
 # ---- version chains ---------------------------------------------------------
 
 
-def _chain(uuid: str = "session_uuid") -> Column:
+def chain_of(uuid: str = "session_uuid") -> Column:
     # A row without a session id is a chain of its own.
     return F.coalesce(F.col(uuid), F.concat(F.lit("row-"), F.col("id")))
 
@@ -85,7 +85,7 @@ def heads(versions: DataFrame, weight: str | None = None) -> DataFrame:
     third of all versions still reduces to one row per task before the shuffle.
     """
     row = F.struct(*[c for c in versions.columns if c != weight])
-    best = versions.groupBy(_chain().alias("_chain")).agg(
+    best = versions.groupBy(chain_of().alias("_chain")).agg(
         F.max_by(row, _recency()).alias("_row"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("n_versions")
     )
     return best.select("_row.*", "n_versions")
@@ -106,7 +106,7 @@ def with_project(versions: DataFrame, project: DataFrame) -> DataFrame:
 
 def supersedes(versions: DataFrame, chunk: int = ID_CHUNK) -> DataFrame:
     """``supersedes``: the version that was latest when this one was inserted."""
-    keyed = versions.withColumn("_k", _chain())
+    keyed = versions.withColumn("_k", chain_of())
     ranked = F.struct(
         F.coalesce("last_ts", "captured_at").alias("at"), F.col("captured_at"), F.col("id"), F.col("hash")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.pricing import money
-from threadline.operators.intervals import overlap_by_day, session_spans
+from threadline.operators.intervals import overlap_by_day, overlap_of_edges, session_spans
 from threadline.operators.reports import long_form
 from threadline.operators.selection import Span, child_rows, real_sessions, select_projects
 
@@ -79,15 +79,21 @@ def derived_ratios(core: DataFrame) -> DataFrame:
     )
 
 
-def overlap_days(session: DataFrame, overlap_day: DataFrame, zone: str, scope: Scope = Scope()) -> DataFrame:
+def overlap_days(
+    session: DataFrame, overlap_day: DataFrame, zone: str, scope: Scope = Scope(), edges: DataFrame | None = None
+) -> DataFrame:
     """Day rows for the selection.
 
     Without a selection the stored day table answers. With one it is rebuilt
     from the selected sessions, and the window then filters the DAYS: a session
     that began before the window still counts on the days it reaches into.
+    Given the stored signed ``edges``, only those of the selected labels and of
+    the days in the window are read and swept, not the sessions.
     """
     if scope.labels is None:
         return overlap_day.where(scope.span.predicate())
+    if edges is not None:
+        return overlap_of_edges(select_projects(edges.where(scope.span.predicate()), scope.labels))
     rebuilt = overlap_by_day(session_spans(select_projects(session, scope.labels)), zone)
     return rebuilt.where(scope.span.predicate())
 

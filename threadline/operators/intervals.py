@@ -9,9 +9,10 @@ from threadline.functions import times
 from threadline.functions.times import MICROS_PER_HOUR, MICROS_PER_SECOND
 
 
-def session_spans(sessions: DataFrame) -> DataFrame:
+def session_spans(sessions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``begin, end`` instants of real sessions whose span is not backwards."""
     spans = sessions.where("is_real = 1").select(
+        *(keep or []),
         times.parse_instant(F.col("first_ts")).alias("begin"),
         times.parse_instant(F.col("last_ts")).alias("end"),
     )
@@ -44,10 +45,9 @@ def live_edges(spans: DataFrame, day: str, lo: str, hi: str, slot: int) -> DataF
     """Edges of the spans of each day: ``t, before, live, until`` and ``opened``.
 
     Edges are summed per instant before anything is ordered, so a busy day
-    costs its number of distinct instants; the ordered pass then runs per
-    ``slot`` of the day, with the running count carried from slot to slot.
-    Summing the edges of one instant is what makes an end come before a start
-    there, and a zero-length span count for nothing.
+    costs its number of distinct instants. Summing the edges of one instant is
+    what makes an end come before a start there, and a zero-length span count
+    for nothing.
     """
     edges = (
         spans.select(
@@ -61,8 +61,17 @@ def live_edges(spans: DataFrame, day: str, lo: str, hi: str, slot: int) -> DataF
         )
         .groupBy(day, F.col("_e.t").alias("t"))
         .agg(F.sum("_e.d").alias("net"), F.sum(F.greatest("_e.d", F.lit(0))).alias("opened"))
-        .withColumn("_slot", F.floor(F.col("t") / F.lit(slot)))
     )
+    return sweep_instants(edges, day, slot)
+
+
+def sweep_instants(edges: DataFrame, day: str, slot: int) -> DataFrame:
+    """Running count over ``t, net`` of each day, one row per instant, as of ``live_edges``.
+
+    The ordered pass runs per ``slot`` of the day, with the running count
+    carried from slot to slot.
+    """
+    edges = edges.withColumn("_slot", F.floor(F.col("t") / F.lit(slot)))
     by_slot = Window.partitionBy(day).orderBy("_slot")
     carried = (
         edges.groupBy(day, "_slot")
@@ -85,15 +94,48 @@ def live_edges(spans: DataFrame, day: str, lo: str, hi: str, slot: int) -> DataF
     return swept.select(day, "t", (F.col("live") - F.col("net")).alias("before"), "live", "until", "opened")
 
 
-def sweep_days(pieces: DataFrame, slot_seconds: int = 900) -> DataFrame:
-    """Merged length and peak overlap per day, in one sweep over span edges."""
-    swept = live_edges(pieces, "local_date", "lo", "hi", slot_seconds * MICROS_PER_SECOND)
+def day_edges(spans: DataFrame, zone: str, keep: list[str] | None = None) -> DataFrame:
+    """Signed edges of spans per local day and instant: ``net``, and the sums of the spans that begin there.
+
+    ``sign`` of a span is 1, or -1 to take an earlier one back. All columns add
+    up, so edges of many runs can be kept together and summed when they are read.
+    """
+    keep = keep or []
+    pieces = clip_to_days(spans.select(*keep, "sign", "begin", "end"), zone)
+    sign, none = F.col("sign").cast("bigint"), F.lit(0).cast("bigint")
+    ends = F.array(
+        F.struct(
+            F.col("lo").alias("t"), sign.alias("net"), sign.alias("active"),
+            F.when(F.col("is_start"), sign).otherwise(none).alias("started"), (sign * (F.col("hi") - F.col("lo"))).alias("summed"),
+        ),
+        F.struct(F.col("hi").alias("t"), (-sign).alias("net"), none.alias("active"), none.alias("started"), none.alias("summed")),
+    )
+    rows = pieces.select(*keep, "local_date", F.inline(ends))
+    return rows.groupBy(*keep, "local_date", "t").agg(*[F.sum(c).alias(c) for c in ("net", "active", "started", "summed")])
+
+
+def overlap_of_edges(edges: DataFrame, slot_seconds: int = 900) -> DataFrame:
+    """The day rows of ``overlap_by_day`` from ``day_edges`` of any number of runs; days without a session are left out."""
+    instants = edges.groupBy("local_date", "t").agg(F.sum("net").alias("net")).withColumn("opened", F.lit(0))
+    swept = sweep_instants(instants, "local_date", slot_seconds * MICROS_PER_SECOND)
+    sums = edges.groupBy("local_date").agg(
+        F.sum("active").alias("sessions_active"), F.sum("started").alias("sessions_started"), F.sum("summed").alias("summed_micros")
+    )
+    return _day_rows(sums.where("sessions_active > 0").join(_merged(swept), "local_date"))
+
+
+def _merged(swept: DataFrame) -> DataFrame:
     return swept.groupBy("local_date").agg(
         F.sum(F.when(F.col("live") > 0, F.col("until") - F.col("t")).otherwise(0)).alias("merged_micros"),
         F.greatest(F.max("live"), F.lit(0)).alias("max_concurrent"),
     )
 
 
+def sweep_days(pieces: DataFrame, slot_seconds: int = 900) -> DataFrame:
+    """Merged length and peak overlap per day, in one sweep over span edges."""
+    return _merged(live_edges(pieces, "local_date", "lo", "hi", slot_seconds * MICROS_PER_SECOND))
+
+
 def overlap_by_day(spans: DataFrame, zone: str, slot_seconds: int = 900) -> DataFrame:
     """Per local day: sessions active and started, summed and merged hours, concurrency, peak."""
     pieces = clip_to_days(spans.select("begin", "end"), zone)
@@ -102,7 +144,10 @@ def overlap_by_day(spans: DataFrame, zone: str, slot_seconds: int = 900) -> Data
         F.count(F.when(F.col("is_start"), 1)).alias("sessions_started"),
         F.sum(F.col("hi") - F.col("lo")).alias("summed_micros"),
     )
-    day = sums.join(sweep_days(pieces, slot_seconds), "local_date")
+    return _day_rows(sums.join(sweep_days(pieces, slot_seconds), "local_date"))
+
+
+def _day_rows(day: DataFrame) -> DataFrame:
     hours = lambda c: F.round(F.col(c) / F.lit(float(MICROS_PER_HOUR)), 3)
     ratio = F.col("summed_micros").cast("double") / F.nullif(F.col("merged_micros"), F.lit(0)).cast("double")
     return day.select(

@@ -57,15 +57,18 @@ def any_true(flag: str) -> Column:
     return F.coalesce(F.max(F.col(flag).cast("int")), F.lit(0))
 
 
-def turns(entries: DataFrame, line_chunk: int = LINE_CHUNK) -> DataFrame:
-    """One row per assistant reply, numbered in its session."""
+def turns(entries: DataFrame, line_chunk: int | None = LINE_CHUNK) -> DataFrame:
+    """One row per assistant reply, numbered in its session; None numbers a session in one pass, without chunks."""
     replies = entries.where("is_reply").select(
         "key", "line_no", "ts_raw", "model", "effort", "service_tier", "speed", "stop_reason",
         "input_tokens", "output_tokens", "cache_write_5m", "cache_write_1h", "cache_read",
         "thinking_tokens", "web_search_requests", "web_fetch_requests",
         (F.col("pico_input") + F.col("pico_output") + F.col("pico_cache_write") + F.col("pico_cache_read")).alias("pico"),
     )
-    numbered = row_ordinal(replies, ["key"], "line_no", "ordinal", line_chunk)
+    if line_chunk is None:
+        numbered = replies.withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("line_no")).cast("bigint"))
+    else:
+        numbered = row_ordinal(replies, ["key"], "line_no", "ordinal", line_chunk)
     return numbered.select(
         F.col("key").alias("session_key"), "ordinal", F.col("ts_raw").alias("ts"), "model", "effort",
         "service_tier", "speed", "stop_reason", "input_tokens", "output_tokens", "cache_write_5m",
@@ -88,43 +91,33 @@ def tool_calls(entries: DataFrame) -> DataFrame:
     return used.unionByName(failed)
 
 
-def facets(entries: DataFrame) -> DataFrame:
-    """Counts of every categorical value per session: ``key, kind, name, n, first_line``.
-
-    One unpivot and one aggregate feed the frequency maps, the primary model,
-    the distinct prompt ids and the attribution table.
-    """
-    reply_refusal = F.when(F.col("stop_reason") == "refusal", F.col("stop_category"))
-    pairs = {
-        "model": F.col("model"),
-        "version": F.col("version"),
-        "effort": F.col("effort"),
-        "service_tier": F.col("service_tier"),
-        "speed": F.col("speed"),
-        "permission_mode": F.col("permission_mode"),
-        "prompt_source": F.col("prompt_source"),
-        "prompt_id": F.col("prompt_id"),
-        "etype": F.col("etype"),
-        **{f"attr:{kind}": F.col(f"attr_{kind}") for kind in ATTRIBUTION_KINDS.values()},
-    }
-    cells = [F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in pairs.items()]
-    cells += [
-        F.struct(F.lit("refusal").alias("kind"), F.col("api_refusal").alias("name")),
-        F.struct(F.lit("refusal").alias("kind"), reply_refusal.alias("name")),
-    ]
+def _counted(entries: DataFrame, cells: list[Column]) -> DataFrame:
     spread = entries.select("key", "line_no", F.explode(F.array(*cells)).alias("_c")).where("_c.name is not null")
     return spread.groupBy("key", F.col("_c.kind").alias("kind"), F.col("_c.name").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line")
     )
 
 
-def attribution(facet_counts: DataFrame) -> DataFrame:
-    return facet_counts.where(F.col("kind").startswith("attr:")).select(
-        F.col("key").alias("session_key"),
-        F.regexp_replace("kind", "^attr:", "").alias("kind"),
-        "name",
-        F.col("n").alias("count"),
-    )
+def _cell(kind: str, name: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+
+def facets(entries: DataFrame) -> DataFrame:
+    """Counts of every categorical value per session: ``key, kind, name, n, first_line``.
+
+    One unpivot and one aggregate feed the frequency maps, the primary model
+    and the distinct prompt ids.
+    """
+    kinds = ("model", "version", "effort", "service_tier", "speed", "permission_mode", "prompt_source", "prompt_id", "etype")
+    refusal = F.when(F.col("stop_reason") == "refusal", F.col("stop_category"))
+    cells = [_cell(k, F.col(k)) for k in kinds] + [_cell("refusal", F.col("api_refusal")), _cell("refusal", refusal)]
+    return _counted(entries, cells)
+
+
+def attribution(entries: DataFrame) -> DataFrame:
+    """Uses of every skill, agent, plugin and server per session."""
+    counts = _counted(entries, [_cell(kind, F.col(f"attr_{kind}")) for kind in ATTRIBUTION_KINDS.values()])
+    return counts.select(F.col("key").alias("session_key"), "kind", "name", F.col("n").alias("count"))
 
 
 def frequency_json(kind: str) -> Column:
@@ -140,7 +133,7 @@ def frequency_json(kind: str) -> Column:
 def facet_columns(facet_counts: DataFrame) -> DataFrame:
     """One row per session: frequency maps, primary model, number of prompt ids."""
     is_model = F.col("kind") == "model"
-    return facet_counts.where(~F.col("kind").startswith("attr:")).groupBy("key").agg(
+    return facet_counts.groupBy("key").agg(
         *[frequency_json(kind).alias(name) for name, kind in FREQUENCY_MAPS.items()],
         # Most frequent, ties to the one seen first.
         F.max_by(
@@ -223,19 +216,34 @@ def fold(entries: DataFrame) -> DataFrame:
     )
 
 
-def sessions(
-    entries: DataFrame, facet_counts: DataFrame, listing: DataFrame, zone: str,
-    idle_gap: int = IDLE_GAP_SECONDS,
-) -> DataFrame:
+def span_rows(entries: DataFrame) -> DataFrame:
+    """What the overlap of days needs of a session, without waiting for all of its columns."""
+    first = entries.groupBy("key").agg(
+        first_value(F.col("ts_raw")).alias("first_ts"),
+        last_value(F.col("ts_raw")).alias("last_ts"),
+        first_value(F.col("cwd")).alias("cwd"),
+        F.max(F.col("is_reply").cast("int")).alias("is_real"),
+    )
+    return first.select("key", "first_ts", "last_ts", "is_real", paths.project_label(F.col("cwd")).alias("project_label"))
+
+
+def folded_sessions(entries: DataFrame, idle_gap: int = IDLE_GAP_SECONDS) -> DataFrame:
+    """Everything the entries tell about their session; over entries bucketed by key it needs no shuffle."""
+    return (
+        fold(entries)
+        .join(facet_columns(facets(entries)), "key", "left")
+        .join(engaged_seconds(entries, "key", "ts", idle_gap), "key", "left")
+    )
+
+
+def sessions(entries: DataFrame, listing: DataFrame, zone: str, idle_gap: int = IDLE_GAP_SECONDS) -> DataFrame:
     """The 77-column session table.
 
     ``listing`` describes each transcript: ``key, path, stem, size_bytes,
     source_tree, container_name, is_subagent, parent_session_uuid``.
     """
     folded = (
-        fold(entries)
-        .join(facet_columns(facet_counts), "key", "left")
-        .join(engaged_seconds(entries, "key", "ts", idle_gap), "key", "left")
+        folded_sessions(entries, idle_gap)
         .join(
             listing.select(
                 "key", F.col("path").alias("source_path"), "stem", "size_bytes", "source_tree",

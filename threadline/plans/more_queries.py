@@ -381,9 +381,9 @@ _add("t01_stream_ingest", _t01, "SELECT event_type = 'error' AS is_bad, count(*)
 def _t02(s: SparkSession, d: str) -> DataFrame:
     def run(events: DataFrame, root: str) -> None:
         rows = events.select(F.col("event_id").alias("id"), F.sha2(F.concat_ws("-", "user_id", "event_type"), 256).alias("hash"), F.col("ts").alias("at"))
-        J.event_actions(rows, f"{root}/cp", root, 43200)
+        J.event_actions(rows, f"{root}/cp", root, 43200, buckets=8)
 
-    root = _arriving(s, d, "t02", run, F.col("event_id"))
+    root = _arriving(s, d, "t02", run, F.col("event_id"), 6)
     return s.read.parquet(f"{root}/actions").select("id", "hash", "action")
 
 
@@ -422,14 +422,15 @@ def _t05(s: SparkSession, d: str) -> DataFrame:
     root = new_run_dir(s, "t05")
     day = lambda c: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int")), "yyyy-MM-dd")
     i = F.col("doc_id")
-    # Three files, so at least three batches.
-    X.table(s, d, "documents").repartition(3, "doc_id").write.parquet(f"{root}/in")
-    arriving = s.readStream.schema(X.table(s, d, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    # Six files, so six batches.
+    X.table(s, d, "documents").withColumn("part", i % 6).repartition(6, "part").write.partitionBy("part").parquet(f"{root}/in")
+    arriving = s.readStream.schema(X.table(s, d, "documents").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
     rows = arriving.select(
         i.alias("id"), F.sha2("text", 256).alias("hash"), F.concat_ws("-", "source", "lang").alias("session_uuid"),
         F.when(i % 13 != 0, day(i * 37 % 200)).alias("last_ts"), F.lit("2024-03-01").alias("captured_at"))
-    last = J.maintain_heads(rows, f"{root}/cp", f"{root}/heads")
-    return J.latest_heads(s, f"{root}/heads", last).select("id", "session_uuid", "hash", "n_versions")
+    last = J.maintain_heads(rows, f"{root}/cp", f"{root}/heads", buckets=8)
+    schema = "id bigint, hash string, session_uuid string, last_ts string, captured_at string"
+    return J.latest_heads(s, f"{root}/heads", last, schema, buckets=8).select("id", "session_uuid", "hash", "n_versions")
 
 
 _add("t05_stream_heads", _t05, """SELECT doc_id AS id, source || '-' || lang AS session_uuid, sha256(text) AS hash, count(*) OVER (PARTITION BY source, lang) AS n_versions FROM documents

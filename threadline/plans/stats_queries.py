@@ -40,39 +40,55 @@ def _once(spark: SparkSession, key: tuple, make: Callable[[], object]):
     return cache[key]
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines stand for files, so they are laid down once and then read."""
+#: Every tenth transcript has grown since the earlier build, which saw half of its lines or none.
+GREW = "part = 3"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, sizes) of the transcripts, laid down once and then read; a tenth of the files lies in each part.
+
+    They stand for files: reading some parts opens no others, and ``sizes`` is
+    what a listing tells without opening any, now and before a part grew.
+    """
     prepare(spark)
-    return _once(spark, ("lines", sf_dir), lambda: stage(X.transcript_lines(spark, sf_dir), f"{new_run_dir(spark, 'lines')}/jsonl"))
 
+    def lay_down() -> tuple[DataFrame, DataFrame]:
+        part = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(10)).cast("int")
+        lines = stage(X.transcript_lines(spark, sf_dir).withColumn("part", part), f"{new_run_dir(spark, 'lines')}/jsonl", ["part"])
+        size = F.octet_length("raw") + 1
+        before = F.sum(F.when(F.expr(f"NOT ({GREW}) OR line_no % 2 = 0"), size))
+        sizes = lines.groupBy("path", "part").agg(F.sum(size).alias("size_bytes"), before.alias("before"))
+        return lines, stage(sizes, f"{new_run_dir(spark, 'lines')}/sizes")
 
-def _listing(lines: DataFrame, modified: str) -> DataFrame:
-    size = F.sum(F.octet_length("raw") + 1).alias("size_bytes")
-    return lines.groupBy("path").agg(size, F.lit(modified).cast("timestamp").alias("modified"))
+    return _once(spark, ("lines", sf_dir), lay_down)
 
 
 def facts_for(spark: SparkSession, sf_dir: str) -> etl.Facts:
     """The published facts of a data folder, built once per session and then only read."""
-    lines = _lines(spark, sf_dir)
-    listing = _listing(lines, "2024-02-02")
-    return _once(spark, ("facts", sf_dir), lambda: etl.build_facts(spark, lines, listing, X.ZONE, idle_gap=IDLE_GAP))
-
-
-#: Every tenth transcript has grown since the earlier build, which saw half of its lines or none.
-GREW = "crc32(path) % 10 = 3"
+    lines, sizes = _files(spark, sf_dir)
+    listing = sizes.select("path", "size_bytes", F.lit("2024-02-02").cast("timestamp").alias("modified"))
+    return _once(spark, ("facts", sf_dir), lambda: etl.build_facts(spark, lines.drop("part"), listing, X.ZONE, idle_gap=IDLE_GAP))
 
 
 def earlier_facts(spark: SparkSession, sf_dir: str) -> etl.Facts:
     """What a build found before a tenth of the files grew."""
-    before = _lines(spark, sf_dir).where(f"NOT ({GREW}) OR line_no % 2 = 0")
-    return _once(spark, ("earlier", sf_dir), lambda: etl.build_facts(spark, before, _listing(before, "2024-02-01"), X.ZONE, idle_gap=IDLE_GAP))
+    lines, sizes = _files(spark, sf_dir)
+    before = lines.where(f"NOT ({GREW}) OR line_no % 2 = 0").drop("part")
+    listing = sizes.where("before is not null").select("path", F.col("before").alias("size_bytes"), F.lit("2024-02-01").cast("timestamp").alias("modified"))
+    return _once(spark, ("earlier", sf_dir), lambda: etl.build_facts(spark, before, listing, X.ZONE, idle_gap=IDLE_GAP))
 
 
 def grown_facts(spark: SparkSession, sf_dir: str) -> etl.Facts:
-    """An incremental build over the earlier one."""
-    earlier, lines = earlier_facts(spark, sf_dir), _lines(spark, sf_dir)
-    listing = _listing(lines, "2024-02-01").withColumn("modified", F.when(F.expr(GREW), F.lit("2024-02-02").cast("timestamp")).otherwise(F.col("modified")))
-    return etl.build_facts(spark, lines, listing, X.ZONE, idle_gap=IDLE_GAP, previous=earlier)
+    """An incremental build over the earlier one; only the files that grew are opened."""
+    lines, sizes = _files(spark, sf_dir)
+    modified = F.when(F.expr(GREW), "2024-02-02").otherwise("2024-02-01").cast("timestamp")
+    listing = sizes.select("path", "size_bytes", modified.alias("modified"))
+    return etl.build_facts(spark, lines.where(GREW).drop("part"), listing, X.ZONE, idle_gap=IDLE_GAP, previous=earlier_facts(spark, sf_dir))
+
+
+def changed_facts(spark: SparkSession, sf_dir: str) -> etl.Facts:
+    """The incremental build, done once per session."""
+    return _once(spark, ("grown", sf_dir), lambda: grown_facts(spark, sf_dir))
 
 
 def _add(name: str, run: Callable[[etl.Facts], DataFrame], sql: str | None) -> None:
@@ -83,7 +99,7 @@ def _add(name: str, run: Callable[[etl.Facts], DataFrame], sql: str | None) -> N
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session, what an incremental build knows of it in every fact table."""
-    f = grown_facts(spark, sf_dir)
+    f = changed_facts(spark, sf_dir)
     per = lambda df, out: df.groupBy(F.col("session_key").alias("key")).agg(F.count(F.lit(1)).alias(out))
     rows = f.session.select("key", "line_count", "first_ts", "last_ts", "tok_billable_total", "cost_usd", "engaged_seconds", "primary_model", "models_json")
     for name, df in (("turns", f.turn), ("calls", f.tool_call), ("uses", f.attribution)):
@@ -154,6 +170,10 @@ FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_i
 GROUP BY user_id"""
 _add("w04_overlap_day", lambda f: f.overlap_day, over_facts("SELECT * FROM overlap_day", overlap=True))
 
+#: After a tenth of the files grew: only the days they touch are swept, from the stored edges.
+QUERIES["w04_overlap_after_change"] = lambda s, d: changed_facts(s, d).overlap_day
+ORACLE["w04_overlap_after_change"] = over_facts("SELECT * FROM overlap_day", overlap=True)
+
 # ---- views ------------------------------------------------------------------
 _add("a20_v_project", lambda f: R.view_project(f.session), over_facts(f"""
 SELECT coalesce(repo_root, cwd, '(unknown)') AS repo_root, {LABEL} AS project_label, count(*) AS files_total,
@@ -366,6 +386,8 @@ _add("a51_hours_overlap", lambda f: K.hours_and_overlap(K.overlap_days(f.session
      over_facts(_hours_sql("overlap_day"), overlap=True))
 _add("a57_overlap_selected", lambda f: K.overlap_days(f.session, f.overlap_day, X.ZONE, _chosen(f)),
      over_facts(f"SELECT * FROM sel WHERE {IN_SPAN}", overlap_cte(_CHOSEN, "sel")))
+QUERIES["a57_overlap_after_change"] = lambda s, d: (lambda f: K.overlap_days(f.session, f.overlap_day, X.ZONE, _chosen(f), f.edges))(changed_facts(s, d))
+ORACLE["a57_overlap_after_change"] = ORACLE["a57_overlap_selected"]
 _add("a51_child_counts", lambda f: K.child_counts(f.turn, f.tool_call, f.session, _chosen(f)), over_facts(f"""
 SELECT 'turn_rows' AS fact, count(*) AS value FROM turn WHERE session_key IN (SELECT key FROM session WHERE {REAL} AND {_CHOSEN})
 UNION ALL SELECT 'tool_rows', count(*) FROM tool_call WHERE session_key IN (SELECT key FROM session WHERE {REAL} AND {_CHOSEN})"""))

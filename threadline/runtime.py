@@ -15,6 +15,8 @@ _REQUIRED = {
     # The JVM never compiles a method above 8,000 bytes of bytecode; such wide
     # generated stages run slower than the same operators without generation.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A staged bucket is one sorted file; aggregates by its key then need neither a shuffle nor a sort.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 
@@ -57,3 +59,23 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stage_bucketed(df: DataFrame, path: str, key: str, order: str, buckets: int) -> DataFrame:
+    """Write ``df`` in ``buckets`` files by hash of ``key``, each sorted by (key, order), and read it back.
+
+    One shuffle; whatever is grouped, joined or windowed by the key afterwards
+    stays where it lies. A bucket is read by one task, so keys too large for
+    that belong elsewhere.
+    """
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+    dealt.bucketBy(buckets, key).sortBy(key, order).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library staged and nothing reads any more; missing folders are fine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from threadline.operators.catalog import ID_CHUNK, heads
+from threadline.operators.catalog import ID_CHUNK, chain_of, heads
 from threadline.operators.ordered import previous_row
 from threadline.sources.transcripts import parse_lines
+from threadline.streaming.buckets import BUCKETS, BucketTable
 
 
 def transcript_stream(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -62,39 +63,42 @@ def drop_repeats(stream: DataFrame, ts: str = "at", key: str = "hash", window: s
     return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
-def event_actions(stream: DataFrame, checkpoint: str, path: str, window_seconds: int = 10, chunk: int = ID_CHUNK) -> None:
+def _touched(rows: DataFrame) -> set[int]:
+    """The buckets of a batch; at most as many as the table has."""
+    return {r[0] for r in rows.select("_bucket").distinct().collect()}
+
+
+def event_actions(
+    stream: DataFrame, checkpoint: str, path: str, window_seconds: int = 10, chunk: int = ID_CHUNK, buckets: int = BUCKETS
+) -> None:
     """The exact rule: an event is a repeat of the LATEST event of its hash, so repeats extend the window.
 
     Input columns: ``hash, id, at``; ids grow from batch to batch. ``path/actions``
-    gets ``id, hash, action`` and ``path/seen`` the last event of every hash of a
-    batch, one folder per batch. That log is the catalogue of stored hashes: a
-    batch looks its own hashes up in the earlier folders, so nothing is kept in
-    operator state and a retried batch overwrites its own folders only. A hash
-    with most events of a batch is cut into chunks of ids.
+    gets ``id, hash, action``, one folder per batch. ``path/seen`` holds the last
+    event of every hash ever stored, in hash buckets: a batch reads and rewrites
+    the buckets of its own hashes and no others, so its cost does not grow with
+    the history. A retried batch starts from the same versions. A hash with most
+    events of a batch is cut into chunks of ids.
     """
-    columns = "hash string, id bigint, at timestamp"
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", "hash", "at")
-        last = rows.groupBy("hash").agg(F.max_by(F.struct("id", "at"), "id").alias("e")).select("hash", "e.id", "e.at")
-        spark = batch.sparkSession
-        if batch_id > 0:
-            seen = spark.read.schema(f"{columns}, batch bigint").parquet(f"{path}/seen").where(F.col("batch") < batch_id)
-        else:
-            seen = spark.createDataFrame([], f"{columns}, batch bigint")
-        held = seen.join(rows.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
-            F.max_by("at", F.struct("batch", "id")).alias("held_at")
-        )
-        known = previous_row(rows, ["hash"], "id", ["at"], chunk).join(held, "hash", "left")
-        before = F.coalesce("prev_at", "held_at")
-        gap = F.unix_micros("at") - F.unix_micros(before)
+        seen = BucketTable(batch.sparkSession, f"{path}/seen", "hash string, id bigint, at timestamp", buckets)
+        read = batch.select("id", "hash", "at").withColumn("_bucket", seen.bucket(F.col("hash"))).persist()
+        touched, rows = _touched(read), read.drop("_bucket")
+        held = seen.rows(batch_id - 1, touched)
+        before = held.select("hash", F.col("at").alias("held_at"))
+        known = previous_row(rows, ["hash"], "id", ["at"], chunk).join(before, "hash", "left")
+        last_at = F.coalesce("prev_at", "held_at")
+        gap = F.unix_micros("at") - F.unix_micros(last_at)
         action = (
-            F.when(before.isNull(), "stored")
+            F.when(last_at.isNull(), "stored")
             .when(gap <= window_seconds * 1_000_000, "duplicate-invocation")
             .otherwise("skipped_unchanged")
         )
         known.select("id", "hash", action.alias("action")).write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
-        last.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        newest = rows.unionByName(held).groupBy("hash").agg(F.max_by(F.struct("id", "at"), "id").alias("e")).select("hash", "e.id", "e.at")
+        seen.write(batch_id, newest, F.col("hash"), touched)
+        read.unpersist()
 
     run_to_end(stream, checkpoint, each=decide)
 
@@ -137,28 +141,33 @@ def daily_counts(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> Dat
     )
 
 
-def maintain_heads(stream: DataFrame, checkpoint: str, path: str) -> int:
+def maintain_heads(stream: DataFrame, checkpoint: str, path: str, buckets: int = BUCKETS) -> int:
     """Keep the head of every version chain as versions arrive in any order; the last batch's number.
 
-    Payload time decides, not arrival. Each batch reads the table the batch
-    before it wrote and writes the next one beside it, so a retried batch
-    starts from the same input. A head carries how many versions its chain has
-    had, and a batch adds its own; an id repeated inside a batch counts once.
-    The returned number is that of the newest table, -1 if no batch came.
+    Payload time decides, not arrival. Heads lie in buckets of their chains: a
+    batch reads the buckets of its own chains, writes their next version and
+    leaves all others where they are; versions that nothing reads any more go.
+    A head carries how many versions its chain has had, and a batch adds its
+    own; an id repeated inside a batch counts once. The returned number is that
+    of the newest table, -1 if no batch came.
     """
     last = [-1]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["id"]).withColumn("_n", F.lit(1).cast("bigint"))
-        if batch_id > 0:
-            held = batch.sparkSession.read.parquet(f"{path}/v{batch_id - 1}")
-            rows = rows.unionByName(held.withColumnRenamed("n_versions", "_n"))
-        heads(rows, weight="_n").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+        table = BucketTable(batch.sparkSession, path, f"{fields}, n_versions bigint", buckets)
+        read = batch.dropDuplicates(["id"]).withColumn("_bucket", table.bucket(chain_of())).persist()
+        touched = _touched(read)
+        held = table.rows(batch_id - 1, touched).withColumnRenamed("n_versions", "_n")
+        rows = read.drop("_bucket").withColumn("_n", F.lit(1).cast("bigint")).unionByName(held)
+        table.write(batch_id, heads(rows, weight="_n"), chain_of(), touched)
+        read.unpersist()
         last[0] = batch_id
 
     run_to_end(stream, checkpoint, each=merge)
     return last[0]
 
 
-def latest_heads(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{last_batch}")
+def latest_heads(spark: SparkSession, path: str, last_batch: int, schema: str, buckets: int = BUCKETS) -> DataFrame:
+    """The heads as a batch left them; ``schema`` is that of the versions."""
+    return BucketTable(spark, path, f"{schema}, n_versions bigint", buckets).rows(last_batch)
