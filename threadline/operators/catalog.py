@@ -363,6 +363,16 @@ def import_outcomes(foreign: DataFrame, versions: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
+def import_report(walked: DataFrame) -> DataFrame:
+    """What a walk hands to the import, and by name what it does not: ``outcome, path, size_bytes, detail``.
+
+    Branches that were skipped or could not be read are rows of their own, so an
+    import that lost a folder can never look complete.
+    """
+    outcome = F.when(F.col("kind") == "file", "read").otherwise(F.col("kind"))
+    return walked.select(outcome.alias("outcome"), "path", "size_bytes", "detail")
+
+
 def stale_folders(wanted: DataFrame, current: DataFrame) -> DataFrame:
     """Folders whose (hash, config, renderer, child records) fingerprint is not on record: the work left to do."""
     keys = ["folder", "source_hash", "config_hash", "renderer_version", "children_hash"]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.plans import catalog_queries, more_queries, stats_queries, talk_queries
+from threadline.plans import catalog_queries, file_queries, more_queries, stats_queries, talk_queries
 
-_MODULES = (stats_queries, catalog_queries, talk_queries, more_queries)
+_MODULES = (stats_queries, catalog_queries, talk_queries, more_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

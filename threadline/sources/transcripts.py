@@ -99,7 +99,7 @@ def explode_loglines(documents: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
-    """``path, size_bytes, modified`` of every file; the content column is never read."""
+    """``path, size_bytes, modified`` of every file that is not empty; the content column is never read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
