@@ -106,10 +106,14 @@ def substantive(text: Column, items: Column) -> Column:
 
 
 def lone_surrogates(raw: Column) -> Column:
-    """Escaped surrogates of a JSON text that have no partner; an escaped backslash starts no escape."""
+    """Escaped surrogates of a JSON text that have no partner; an escaped backslash starts no escape.
+
+    Few lines hold any escape of a surrogate, and only those are searched.
+    """
     escapes = F.replace(raw, F.lit("\\\\"), F.lit(" "))
     alone = F.regexp_replace(escapes, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", " ")
-    return F.regexp_count(alone, F.lit(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"))
+    possible = raw.contains("\\ud") | raw.contains("\\uD")
+    return F.when(possible, F.regexp_count(alone, F.lit(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"))).otherwise(0)
 
 
 def conversation_entries(parsed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,7 @@ class Scope:
 
 
 def _windowed(session: DataFrame, scope: Scope) -> DataFrame:
-    rows = session.where(scope.span.predicate()) if scope.span.active else session
+    rows = session.where(scope.span.predicate()) if scope.span.limits else session
     return select_projects(rows, scope.labels)
 
 
@@ -187,7 +188,7 @@ def label_spread(session: DataFrame, scope: Scope = Scope()) -> DataFrame:
 
 def offsets(session: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """Sessions per UTC offset, and the corpus-wide count of one offset, which ignores the scope."""
-    inside = (F.col("is_real") == 1) & (scope.span.predicate() if scope.span.active else F.lit(True))
+    inside = (F.col("is_real") == 1) & (scope.span.predicate() if scope.span.limits else F.lit(True))
     rows = session.where("is_real = 1 and tz_offset is not null")
     if scope.labels is not None:
         chosen = scope.labels.select("project_label", F.lit(True).alias("_in")).distinct()
@@ -227,8 +228,8 @@ def header(meta: DataFrame, scope: Scope, rows: str) -> DataFrame:
         F.col("local_timezone").alias("timezone"),
         "prices_read_on",
         F.lit(scope.span.describe()).alias("window_desc"),
-        F.lit(scope.span.since).alias("since"),
-        F.lit(scope.span.until).alias("until"),
+        F.lit(scope.span.limit(operator.ge)).alias("since"),
+        F.lit(scope.span.limit(operator.le)).alias("until"),
         F.lit(rows).alias("rows"),
         F.lit(scope.labels is not None).alias("project_filter_applied"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import variants as V
 
+from threadline.operators.integrity import IGNORED_NAMES, PROJECT_KNOWN
 from threadline.operators.ordered import previous_row, running_max, top_per_key
 
 # Message prefixes of errors that name no lost session.
@@ -357,6 +358,23 @@ def sidecar_coverage(notices: DataFrame) -> DataFrame:
     )
 
 
+def sidecar_gap(notices: DataFrame, beside: DataFrame) -> DataFrame:
+    """What nothing copies, corpus-wide: ``folders, first_example, stranded, strays``.
+
+    ``beside`` is every entry of the project folders, ``parent, name, is_dir``.
+    Kept apart because they have different owners: archive folders whose notice
+    names something uncopied; ``stranded`` folders with no transcript of their
+    name beside them; ``strays``, files that are no transcript and have no
+    expected name.
+    """
+    expected = [*IGNORED_NAMES, *PROJECT_KNOWN]
+    names = beside.where(~F.col("name").isin(expected))
+    transcripts = beside.where(~F.col("is_dir") & F.col("name").endswith(".jsonl")).select("parent", F.regexp_replace("name", r"\.jsonl$", "").alias("name"))
+    stranded = names.where("is_dir").join(transcripts, ["parent", "name"], "left_anti").agg(F.count(F.lit(1)).alias("stranded"), F.lit(1).alias("_one"))
+    strays = names.where(~F.col("is_dir") & ~F.col("name").endswith(".jsonl")).agg(F.count(F.lit(1)).alias("strays"), F.lit(1).alias("_one"))
+    return sidecar_coverage(notices).withColumn("_one", F.lit(1)).join(stranded, "_one").join(strays, "_one").drop("_one")
+
+
 def prompt_coverage(manifest: DataFrame) -> DataFrame:
     return manifest.agg(
         F.count(F.lit(1)).alias("sessions_total"),

@@ -109,7 +109,7 @@ def long_form(one_row: DataFrame, name: str, value: str = "value") -> DataFrame:
 
 def overview(session: DataFrame, overlap_day: DataFrame, span: Span = Span()) -> DataFrame:
     """Headline totals in long form: ``metric, value``."""
-    inside = (F.col("is_real") == 1) & (span.predicate() if span.active else F.lit(True))
+    inside = (F.col("is_real") == 1) & (span.predicate() if span.limits else F.lit(True))
     pick = lambda c: F.when(inside, F.col(c))
     hours = lambda c: F.round(
         F.coalesce(F.sum(pick(c).cast("decimal(20,3)")).cast("double"), F.lit(0.0)) / 3600.0, 1

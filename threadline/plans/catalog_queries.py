@@ -466,6 +466,28 @@ _add("s11_a86_sidecar_coverage", lambda s, d: H.sidecar_coverage(L.sidecar_notic
 nm AS (SELECT DISTINCT '/a/' || uuid AS folder, CASE WHEN k % 10 = 0 THEN 'n' || k ELSE 'odd' END AS name FROM evs WHERE et = 'view' AND k % 10 < 2),
 p AS (SELECT folder, string_agg(name, ', ' ORDER BY name) AS names FROM nm GROUP BY 1)
 SELECT count(*) AS folders, arg_min(folder || ': ' || names, folder) AS first_example FROM p""")
+
+
+def _beside(s: SparkSession, d: str) -> DataFrame:
+    """Entries of project folders: a sidecar folder per customer, a transcript beside two thirds of them, and odd files."""
+    i = F.col("c_custkey")
+    parent = F.concat(F.lit("/p/"), F.col("c_nationkey"))
+    rows = table(s, d, "customer").select(
+        parent.alias("parent"),
+        F.inline(F.array(
+            F.struct(F.concat(F.lit("u"), i).alias("name"), F.lit(True).alias("is_dir")),
+            F.struct(F.when(i % 3 != 0, F.concat(F.lit("u"), i, F.lit(".jsonl"))).alias("name"), F.lit(False).alias("is_dir")),
+            F.struct(F.when(i % 7 == 2, F.concat(F.lit("notes"), i, F.lit(".txt"))).alias("name"), F.lit(False).alias("is_dir")),
+            F.struct(F.when(i % 5 == 1, F.lit("memory")).alias("name"), F.lit(True).alias("is_dir")),
+            F.struct(F.when(i % 5 == 2, F.lit(".DS_Store")).alias("name"), F.lit(False).alias("is_dir")))))
+    return rows.where("name is not null").distinct()
+
+
+_add("a86_sidecar_gap", lambda s, d: H.sidecar_gap(L.sidecar_notices(_sidecars(s, d)), _beside(s, d)), f"""WITH {_LOG},
+nm AS (SELECT DISTINCT '/a/' || uuid AS folder, CASE WHEN k % 10 = 0 THEN 'n' || k ELSE 'odd' END AS name FROM evs WHERE et = 'view' AND k % 10 < 2),
+p AS (SELECT folder, string_agg(name, ', ' ORDER BY name) AS names FROM nm GROUP BY 1)
+SELECT count(*) AS folders, arg_min(folder || ': ' || names, folder) AS first_example, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS stranded,
+  (SELECT count(*) FROM customer WHERE c_custkey % 7 = 2) AS strays FROM p""")
 _NAMES = "['subagents', 'tool-results', '.DS_Store', 'agent-x1.jsonl', 'notes.txt', 'memory', 'agent-y.meta.json']"
 
 

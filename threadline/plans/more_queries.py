@@ -115,11 +115,15 @@ SELECT '/arch/' || n_name AS folder, n_name AS label, unnest(['/home/' || n_name
 
 def _split_history(s: SparkSession, d: str) -> DataFrame:
     root = new_run_dir(s, "history")
-    sinks.split_history(L.history_rows(Z.history_lines(s, d)), root)
-    return s.read.parquet(root).select("session_uuid", "line_no")
+    lines = Z.history_lines(s, d)
+    sinks.split_history(L.history_rows(lines), root)
+    # Each line of the split against the line of the history it came from, byte for byte.
+    before = lines.select("line_no", F.sha2("raw", 256).alias("_before"))
+    split = s.read.parquet(root).select("session_uuid", "line_no", F.sha2("raw", 256).alias("raw_sha256"))
+    return split.join(before, "line_no").select("session_uuid", "line_no", (F.col("raw_sha256") == F.col("_before")).alias("intact"))
 
 
-_add("k11_split_history", _split_history, f"WITH {_LOG} SELECT session_uuid, n AS line_no FROM hist")
+_add("k11_split_history", _split_history, f"WITH {_LOG} SELECT session_uuid, n AS line_no, true AS intact FROM hist")
 
 # ---- longest prefix --------------------------------------------------------------
 
@@ -222,11 +226,14 @@ SELECT etype, sub AS is_sidechain, kind, CAST(sum(n) AS BIGINT) AS blocks, CASE
 # ---- lanes -----------------------------------------------------------------------------
 
 
-def _lanes(s: SparkSession, d: str) -> DataFrame:
+def _segments(s: SparkSession, d: str) -> DataFrame:
     sessions = Q.facts_for(s, d).session.where("is_real = 1")
     spans = sessions.select("key", times.parse_instant(F.col("first_ts")).alias("begin"), times.parse_instant(F.col("last_ts")).alias("end"))
-    packed = I.pack_lanes(I.day_segments(spans, X.ZONE, ["key"]))
-    return packed.groupBy("local_date").agg(F.count(F.lit(1)).alias("segments"), (F.max("lane") + 1).cast("bigint").alias("lanes"))
+    return I.pack_lanes(I.day_segments(spans, X.ZONE, ["key"]))
+
+
+def _lanes(s: SparkSession, d: str) -> DataFrame:
+    return _segments(s, d).groupBy("local_date").agg(F.count(F.lit(1)).alias("segments"), (F.max("lane") + 1).cast("bigint").alias("lanes"))
 
 
 # A day needs as many lanes as its peak overlap, or one more than is open where a zero-length segment falls.
@@ -235,6 +242,17 @@ SELECT local_date, sessions_active AS segments, greatest(max_concurrent, coalesc
 LEFT JOIN (SELECT strftime(p.d, '%Y-%m-%d') AS day, max(1 + (SELECT count(*) FROM overlap_day_pc q WHERE q.d = p.d AND q.lo < p.lo AND q.hi > p.lo)) AS lanes
            FROM overlap_day_pc p WHERE p.lo = p.hi GROUP BY 1) z ON z.day = o.local_date""", overlap=True))
 
+_micros = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+# The lane of every segment: in start order, the first lane whose segment has ended, else a new one.
+_add("w06_lane_of_segment", lambda s, d: _segments(s, d).select("local_date", _micros("start_second").alias("start_us"), _micros("end_second").alias("end_us"), F.col("lane").cast("bigint").alias("lane")),
+     over_facts("""
+SELECT strftime(d, '%Y-%m-%d') AS local_date, lo - epoch_us(CAST(d AS TIMESTAMP)) AS start_us, hi - epoch_us(CAST(d AS TIMESTAMP)) AS end_us, CAST(lane - 1 AS BIGINT) AS lane FROM pk""", """
+sq AS (SELECT d, lo, hi, row_number() OVER (PARTITION BY d ORDER BY lo, hi) AS i FROM overlap_day_pc),
+pk AS (SELECT d, i, lo, hi, CAST(1 AS BIGINT) AS lane, [hi] AS ends FROM sq WHERE i = 1
+  UNION ALL SELECT d, i, lo, hi, lane, CASE WHEN lane <= len(ends) THEN list_concat(list_concat(ends[1 : lane - 1], [hi]), ends[lane + 1 : len(ends)]) ELSE list_append(ends, hi) END AS ends
+  FROM (SELECT x.d, x.i, x.lo, x.hi, p.ends, CAST(coalesce(list_position(list_transform(p.ends, lambda e: e <= x.lo), true), len(p.ends) + 1) AS BIGINT) AS lane
+    FROM pk p JOIN sq x ON x.d = p.d AND x.i = p.i + 1))""", overlap=True).replace("WITH ", "WITH RECURSIVE ", 1))
+
 # ---- sinks --------------------------------------------------------------------------------
 
 

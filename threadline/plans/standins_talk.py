@@ -67,7 +67,14 @@ def talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = (
         F.when(c % 6 == 0, F.concat(_t("Error: bad "), text))
-        .when(c % 6 == 1, F.concat(_t("[main abc1234] fix "), t, _t("\n[dev deadbeef0] more\n"), text))
+        # Some sessions push what they commit, in the results of the same calls.
+        .when(
+            c % 6 == 1,
+            F.concat(
+                _t("[main abc1234] fix "), t, _t("\n[dev deadbeef0] more\n"),
+                F.when(c % 12 == 1, F.concat(_t("remote: https://github.com/ann/app"), c % 3, _t("/pull/new/x\n"))).otherwise(""), text,
+            ),
+        )
         .when(c % 6 == 2, F.concat(_t("remote: https://github.com/ann/app"), c % 3, _t("/pull/new/x\n"), text))
         .otherwise(text)
     )

@@ -62,7 +62,7 @@ def _plain(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str |
 _TALK = """cv AS (SELECT conv_id AS c, turn AS t, role, text, '/talk/conv-' || conv_id || '.jsonl' AS path,
   CASE WHEN NOT (turn = 3 AND conv_id % 5 = 0) THEN strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 1000 + turn * 97), '%Y-%m-%dT%H:%M:%SZ') END AS stamp,
   role = 'user' AND NOT (turn = 2 AND conv_id % 10 IN (3, 4, 5)) AS opens FROM conversations),
-out1 AS (SELECT *, CASE WHEN c % 6 = 0 THEN 'Error: bad ' || text WHEN c % 6 = 1 THEN '[main abc1234] fix ' || t || chr(10) || '[dev deadbeef0] more' || chr(10) || text
+out1 AS (SELECT *, CASE WHEN c % 6 = 0 THEN 'Error: bad ' || text WHEN c % 6 = 1 THEN '[main abc1234] fix ' || t || chr(10) || '[dev deadbeef0] more' || chr(10) || CASE WHEN c % 12 = 1 THEN 'remote: https://github.com/ann/app' || (c % 3) || '/pull/new/x' || chr(10) ELSE '' END || text
   WHEN c % 6 = 2 THEN 'remote: https://github.com/ann/app' || (c % 3) || '/pull/new/x' || chr(10) || text ELSE text END AS res FROM cv),
 b0 AS (
   SELECT path, c, t, t * 4 AS line_no, 0 AS bno, CASE WHEN c % 3 = 0 THEN 'thinking_withheld' ELSE 'thinking' END AS kind,
@@ -117,9 +117,10 @@ _add("w16_file_index", lambda k: T.file_index(k.blocks).select("path", "file_pat
 SELECT path, fp AS file_path, CASE WHEN arg_min(tool, ord) = 'Write' THEN 'created' ELSE 'edited' END AS verb FROM blk WHERE fp IS NOT NULL GROUP BY 1, 2"""))
 _add("f15_f16_a13_commits", lambda k: T.session_commits(k.blocks).select("path", "seq", "i", "sha", "message", "repo", "url"), _sql("""
 SELECT path, (line_no << 20) + bno AS seq, i, CASE i WHEN 0 THEN 'abc1234' ELSE 'deadbeef0' END AS sha, CASE i WHEN 0 THEN 'fix ' || (line_no // 4) ELSE 'more' END AS message,
-  CAST(NULL AS VARCHAR) AS repo, CAST(NULL AS VARCHAR) AS url FROM blk CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE kind = 'tool_result' AND c % 6 = 1"""))
+  CASE WHEN c % 12 = 1 THEN 'ann/app' || (c % 3) END AS repo,
+  CASE WHEN c % 12 = 1 THEN 'https://github.com/ann/app' || (c % 3) || '/commit/' || CASE i WHEN 0 THEN 'abc1234' ELSE 'deadbeef0' END END AS url FROM blk CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE kind = 'tool_result' AND c % 6 = 1"""))
 _add("f16_github_repo", lambda k: k.blocks.select("path", "line_no", T.github_repo(F.col("text")).alias("repo")).where("repo is not null"), _sql("""
-SELECT path, line_no, 'ann/app' || (c % 3) AS repo FROM blk WHERE kind = 'tool_result' AND c % 6 = 2"""))
+SELECT path, line_no, 'ann/app' || (c % 3) AS repo FROM blk WHERE kind = 'tool_result' AND (c % 6 = 2 OR c % 12 = 1)"""))
 _COUNTS = """cnt AS (SELECT t.path, t.prompts, t.first_ts, t.last_ts, coalesce(tool_calls, 0) AS tool_calls, coalesce(thoughts, 0) AS thoughts, coalesce(withheld, 0) AS withheld_thinking,
   coalesce(replies, 0) AS replies, coalesce(unk, 0) AS unrecognised_count, coalesce(types, '') AS unrecognised, coalesce(words, 0) AS reply_words
 FROM (SELECT path, count(*) FILTER (NOT synthetic) AS prompts, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM tt GROUP BY 1) t
@@ -217,16 +218,34 @@ SELECT pattern, CAST(sum(n) AS BIGINT) AS hits, count(*) AS rows FROM u WHERE n
 _GEN = R.GENERIC_TOKEN
 
 
+#: One string per key family, one that only looks random, two that are digests or too short; put together here, so that this file holds none.
+_KEYS = [
+    "sk-" + "ant-" + "a1B2c3D4e5F6g7H8i9J0k", "sk-" + "q1W2e3R4t5Y6u7I8o9P0a1", "AK" + "IA" + "Q1W2E3R4T5Y6U7I8", "gh" + "p_" + "a1b2c3d4e5f6g7h8i9j0k1l2m3n4o5p6q7r8",
+    "xo" + "xb-" + "12345-abcde", "AI" + "za" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R", "-----BEGIN " + "RSA PRIVATE KEY-----",
+    "ey" + "JhbGciOiJ9." + "ey" + "JzdWIiOiIx." + "c2lnbmF0dXJl", "Zm9v" * 11 + "1", "0123456789abcdef" * 4, "sk-" + "short",
+]
+
+
+def _leaky(s: SparkSession, d: str) -> DataFrame:
+    """Every document with a line that names a key, each family in its turn."""
+    docs = X.table(s, d, "documents").select("doc_id", "text")
+    key = F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % (len(_KEYS) + 1)).cast("int"))
+    return docs.withColumn("text", F.when(key.isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\nset key "), key, F.lit(" now"))))
+
+
 def _finding_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEYS))
+    docs = f"SELECT doc_id, coalesce(text || chr(10) || 'set key ' || CASE doc_id % {len(_KEYS) + 1} {cases} END || ' now', text) AS text FROM documents"
     arms = [f"SELECT doc_id, i, '{label}' AS rule, unnest(regexp_extract_all(l, '{p}')) AS v FROM ln" for label, p in R.SECRET_RULES]
     arms.append(f"""SELECT doc_id, i, 'high-entropy-token', v FROM (SELECT doc_id, i, unnest(regexp_extract_all(l, '{_GEN}')) AS v FROM ln)
   WHERE NOT (regexp_full_match(v, '[0-9a-fA-F]+') AND (length(v) BETWEEN 7 AND 40 OR length(v) = 64)) AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')""")
-    return """WITH ln AS (SELECT doc_id, unnest(lines) AS l, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM documents)),
+    return f"""WITH dc AS ({docs}),
+ln AS (SELECT doc_id, unnest(lines) AS l, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM dc)),
 f AS (""" + "\nUNION ALL ".join(arms) + """)
 SELECT doc_id, i AS line, rule, CASE WHEN length(v) > 8 THEN substr(v, 1, 6) || '...' ELSE '...' END AS masked FROM f"""
 
 
-_plain("f36_secret_findings", lambda s, d: R.secret_findings(X.table(s, d, "documents"), "doc_id", "text"), _finding_sql())
+_plain("f36_secret_findings", lambda s, d: R.secret_findings(_leaky(s, d), "doc_id", "text"), _finding_sql())
 
 
 def _entry_lines(s: SparkSession, d: str) -> DataFrame:
