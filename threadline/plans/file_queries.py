@@ -19,8 +19,8 @@ from threadline.sources import tree as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Bytes of a split, so that every file is read in several.
-SPLIT_BYTES = 16_384
+#: Splits that the largest file is read in.
+SPLITS = 4
 _laid: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -48,10 +48,11 @@ _LINES = """l AS (SELECT event_id, user_id % 5 AS project, CASE WHEN user_id % 7
 
 
 @contextlib.contextmanager
-def _small_splits(spark: SparkSession):
+def _small_splits(spark: SparkSession, root: str):
     key = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(SPLIT_BYTES))
+    largest = S.list_files(spark, root, "*.txt").agg(F.max("size_bytes")).first()[0] or 0
+    spark.conf.set(key, str(largest // SPLITS + 1))
     try:
         yield
     finally:
@@ -61,7 +62,7 @@ def _small_splits(spark: SparkSession):
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense line numbers over files that are read in many splits."""
     root = _tree(spark, sf_dir)
-    with _small_splits(spark):
+    with _small_splits(spark, root):
         lines = S.dense_line_numbers(S.read_lines(spark, root, "*.txt"), 1 << 14)
         place = [F.regexp_extract("path", f"{k}=([^/]+)", 1).alias(k) for k in ("project", "folder")]
         return stage(lines.select(*place, "line_no", F.sha2("raw", 256).alias("raw_sha256")), new_run_dir(spark, "numbered"))
