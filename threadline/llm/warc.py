@@ -47,7 +47,7 @@ def _tag(value: Column) -> Column:
 def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """One row per record: its columns (without payload) and ``canonical``, ``outcome``, ``base_id``, ``merged``.
 
-    ``records`` has ``record_id`` BIGINT (unique), ``url``, ``at`` (epoch seconds),
+    ``records`` has ``record_id`` BIGINT, ``url``, ``at`` (epoch seconds),
     ``status`` INT and ``headers`` MAP with lower-case names. Status 200 is a full
     response and 304 a revisit. ``outcome``:
 
@@ -60,7 +60,9 @@ def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
 
     "Earlier" is a strictly smaller time; among responses of one second the
     largest ``record_id`` is the latest. ``merged`` is null unless resolved or
-    a full response. A record without an id is resolved but never a base.
+    a full response. A record without an id is resolved but never a base. Repeated
+    records give as many rows; of responses that share an id and a URL the latest
+    one's headers answer.
     """
     full, revisit = F.col("status") == 200, F.col("status") == 304
     own = F.struct(*[F.col(f"`{c}`") for c in records.columns if c not in ("payload", "html", "body")])
@@ -88,8 +90,10 @@ def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
     # Only revisits need the carry, so the join is as small as they are.
     placed = usable.withColumn("local", F.max("base").over(inside)).where("revisit").join(carried, keys)
     asked = placed.select("row", "canonical", "headers", F.coalesce("local", "carried")["id"].alias("base_id"))
-    responses = rows.where("full and id is not null").select(F.col("id").alias("base_id"), F.col("headers").alias("base_headers"))
-    met = asked.join(responses, "base_id", "left")
+    # One row per id and URL, or a repeated response would repeat every revisit that it answers.
+    latest = F.max_by("headers", F.struct("at", F.to_json("headers")))
+    responses = rows.where("full and id is not null").groupBy(F.col("id").alias("base_id"), "canonical").agg(latest.alias("base_headers"))
+    met = asked.join(responses, ["base_id", "canonical"], "left")
     value = lambda side, name: F.nullif(F.get(F.transform(F.array(F.col(side)), lambda m: F.try_element_at(m, F.lit(name))), F.lit(0)), F.lit(""))
     tags = _tag(value("headers", "etag")), _tag(value("base_headers", "etag"))
     dates = value("headers", "last-modified"), value("base_headers", "last-modified")
