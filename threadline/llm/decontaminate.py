@@ -15,6 +15,8 @@ one value) of the item always stands for the same one of the document.
 A window of placeholders needs at least half its words to be literal; plain
 windows have no such rule. Items shorter than a window are matched by windows of
 their own length, down to ``MIN_WORDS`` words, as plain words of any length.
+Items below ``LEAST_WORDS`` words (an answer like "Yes") stand in texts that have
+nothing to do with them: they are reported as 'short' and nothing is removed.
 
 Defined results: null texts have no windows; rows with the same id are one
 document or item; null ids come back as null. Hits are aggregated per document
@@ -34,6 +36,8 @@ from threadline.runtime import new_run_dir, stage
 
 WINDOW = 8
 MIN_WORDS = 5
+#: Words of an item whose occurrence is held against a document.
+LEAST_WORDS = 3
 #: Units of measure that may follow a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs oz pound pounds "
@@ -152,11 +156,14 @@ def _windows(sizes: dict[int, tuple[int, ...]], whole: int, wanted=None):
 _DDL = "_id bigint, _h bigint, pos int, reading int, k int, key bigint, slots array<bigint>"
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float, doc_key: list[str]) -> DataFrame:
-    """(*doc_key, item, n_hits, verbatim, n_windows, coverage); ``doc_key``: what makes rows one document."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float, doc_key: list[str], least: int = 1) -> DataFrame:
+    """(*doc_key, item, n_hits, verbatim, n_windows, coverage, short); ``doc_key``: what makes rows one document.
+
+    Items of fewer than ``least`` words are not looked for.
+    """
     spark = docs.sparkSession
     template = tuple(range(MIN_WORDS, window + 1))
-    sizes = {INSIDE: template, CAPITALS: template, PLAIN: tuple(range(1, window + 1))}
+    sizes = {INSIDE: template, CAPITALS: template, PLAIN: tuple(range(least, window + 1))}
     item = keyed(benchmark, "item_id").select("_id", "_h", "_text").mapInArrow(_windows(sizes, window), _DDL)
     item = item.select(F.col("_id").alias("item"), F.col("pos").alias("ipos"), "reading", "k", "key", F.col("slots").alias("islots"))
     item = stage(item, new_run_dir(spark, "templates"))
@@ -164,7 +171,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float,
     needed: dict[int, tuple[int, ...]] = {}
     for r in sorted(item.select("reading", "k").distinct().collect()):
         needed[r["reading"]] = (*needed.get(r["reading"], ()), r["k"])
-    totals = item.groupBy("item", "reading").agg(F.count_distinct("ipos").alias("n_windows"))
+    totals = item.groupBy("item", "reading").agg(F.count_distinct("ipos").alias("n_windows"), (F.max("k") < LEAST_WORDS).alias("short"))
     small, wanted = fits_broadcast(item), None
     if small:  # as many keys as may be broadcast: windows that no item has stay in the task
         wanted = spark.sparkContext.broadcast(np.unique(item.select("key").toArrow().column("key").to_numpy()))
@@ -202,8 +209,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float,
         .withColumn("coverage", F.col("best.n_hits") / F.col("n_windows"))
         .where(F.col("coverage") >= coverage)
     )
-    return per_reading.groupBy(*doc_key, "item").agg(F.min(F.struct("reading", "best", "n_windows", "coverage")).alias("x")).select(
-        *doc_key, "item", "x.best.n_hits", "x.best.verbatim", "x.n_windows", "x.coverage"
+    return per_reading.groupBy(*doc_key, "item").agg(F.min(F.struct("reading", "best", "n_windows", "coverage", "short")).alias("x")).select(
+        *doc_key, "item", "x.best.n_hits", "x.best.verbatim", "x.n_windows", "x.coverage", "x.short"
     )
 
 
@@ -211,8 +218,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """One row per document and benchmark item that it holds.
 
     ``doc_id``, ``item_id``, ``n_hits`` (distinct windows of the item found in the
-    best place), ``n_windows`` (of the item), ``coverage``, ``kind`` ('verbatim'
-    or 'reparameterised'), in the first reading that covers enough. A place is a
+    best place), ``n_windows`` (of the item), ``coverage``, ``kind`` ('verbatim',
+    'reparameterised', or 'short' for items too short to tell), in the first reading that covers enough. A place is a
     run of hits no further apart than two windows, or on neighbouring diagonals.
     Where its slots contradict each other only windows with equal values count.
     """
@@ -222,11 +229,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         "n_hits",
         "n_windows",
         "coverage",
-        F.when(F.col("verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("short"), "short").when(F.col("verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, told apart by id and text."""
-    bad = _leaks(docs, benchmark, window, coverage, ["_id", "_h"]).select("_id", "_h").distinct()
+    """The rows of ``docs`` that hold no benchmark item of ``LEAST_WORDS`` words or more, told apart by id and text."""
+    bad = _leaks(docs, benchmark, window, coverage, ["_id", "_h"], LEAST_WORDS).select("_id", "_h").distinct()
     return keyed(docs).select("row", "_id", "_h").join(bad, ["_id", "_h"], "left_anti").select("row.*")
