@@ -37,3 +37,22 @@ def test_short_items_remove_nothing(spark):
     found = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.leaks(docs, items).collect()}
     assert found == {(1, 1): "short", (1, 2): "short", (4, 1): "short", (2, 3): "verbatim"}
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {1, 3, 4}
+
+
+def test_offsets_over_several_chunks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, ["user", "assistant", "assistant", None][(t * 7 + c) % 4], f"<{t}[" * (t % 3)) for c in range(4) for t in range(700 * c + 1)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+    def made(df):
+        return sorted((r["conv_id"], r["formatted"], tuple(map(tuple, r["loss_spans"]))) for r in df.collect())
+
+    whole = made(chat.format_chat(turns))
+    monkeypatch.setattr(chat, "PREFIX_CHUNK", 3)
+    assert made(chat.format_chat(turns)) == whole
+    said = {c: "".join(text or "" for cc, _, role, text in rows if cc == c and role == "assistant") for c in range(4)}
+    for c, formatted, spans in whole:
+        assert "".join(formatted[s : s + n] for s, n in spans).replace("[\\", "[").replace("<\\", "<") == said[c]
+    read = chat.format_chat(turns).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in read} == {c: [(role or "", text) for cc, _, role, text in rows if cc == c] for c in range(4)}

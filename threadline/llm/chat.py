@@ -22,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadline.functions.once import computed_once
+
+#: Turns whose offsets are summed one by one; sums of whole chunks are added to them.
+PREFIX_CHUNK = 256
 OPEN, BODY, NEXT, CLOSE = "<s>", "\n[INST]", "[/INST]", "</s>"
 
 
@@ -38,43 +42,57 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     Turns sort by ``turn``, then role and text (nulls first), so ties and
     repeated rows have one order; every row is a turn. Null role or text is
-    empty; rows with a null ``conv_id`` are one conversation.
+    empty; rows with a null ``conv_id`` are one conversation. A conversation is one
+    output row, so it has to fit a task as a whole; its cost is in proportion to it.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def merged(blocks, t):
-        last = F.get(blocks, F.size(blocks) - 1)
-        alone = F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(t["text"]))).alias("texts"))
-        return F.when(last["role"] == t["role"], F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(longer))).otherwise(
-            F.concat(blocks, F.array(alone))
-        )
-
-    chats = chats.select("conv_id", F.aggregate("turns", empty, merged).alias("blocks"))
-    head = lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit(BODY))
-    whole = lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE))
-    spans_type = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(spans_type)
-
-    def text_span(state, t):
-        span = F.struct(state["at"].alias("start"), F.length(t).alias("length"))
-        return F.struct((state["at"] + F.length(t) + len(NEXT)).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    def block_spans(state, b):
-        at = state["at"] + F.length(head(b))
-        inner = F.aggregate(b["texts"], F.struct(at.alias("at"), state["spans"].alias("spans")), text_span)
-        return F.struct(
-            (state["at"] + F.length(whole(b))).alias("at"),
-            F.when(b["role"] == loss_role, inner["spans"]).otherwise(state["spans"]).alias("spans"),
-        )
-
-    return chats.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", whole), "").alias("formatted"),
-        F.aggregate("blocks", start, block_spans, lambda s: s["spans"]).alias("loss_spans"),
+    # Every step stands behind a generator, so that an array is made once and only read by the lambdas after it.
+    n = F.size("turns")
+    role = lambda i: F.get("turns", i)["role"]
+    first, last = lambda i: (i == 0) | (role(i) != role(i - 1)), lambda i: (i == n - 1) | (role(i) != role(i + 1))
+    head = lambda r: F.concat(F.lit(OPEN), escape(r), F.lit(BODY))
+
+    def part(i):
+        said = F.length(escape(F.get("turns", i)["text"]))
+        before = F.when(first(i), F.length(head(role(i)))).otherwise(0)
+        after = F.when(last(i), len(CLOSE)).otherwise(len(NEXT))
+        return F.struct(before.alias("before"), said.alias("length"), (before + said + after).alias("step"), (role(i) == loss_role).alias("learnt"))
+
+    each = F.sequence(F.lit(0), n - 1)
+    marked = computed_once(chats, {"starts": F.filter(each, first), "parts": F.transform(each, part)})
+    end = lambda j: F.coalesce(F.get("starts", j + 1), n)
+
+    def block(j):
+        own = F.slice("turns", F.get("starts", j) + 1, end(j) - F.get("starts", j))
+        texts = F.array_join(F.transform(own, lambda t: escape(t["text"])), NEXT)
+        return F.concat(head(role(F.get("starts", j))), texts, F.lit(CLOSE))
+
+    chunk = lambda j: F.slice("parts", j * PREFIX_CHUNK + 1, F.lit(PREFIX_CHUNK))
+    n_chunks = F.floor((n - 1) / PREFIX_CHUNK).cast("int")
+    made = computed_once(
+        marked,
+        {
+            "formatted": F.array_join(F.transform(F.sequence(F.lit(0), F.size("starts") - 1), block), ""),
+            "chunks": F.transform(F.sequence(F.lit(0), n_chunks), chunk),
+        },
+        ["conv_id"],
     )
+    # Where a text starts is a prefix sum over the turns: over chunks first, then within each.
+    whole = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda at, p: at + p["step"]))
+    begun = F.aggregate(whole, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+    placed = computed_once(made, {"begun": begun})
+    span = "struct<start:int,length:int>"
+
+    def spans(c, j):
+        def next_span(state, p):
+            here = F.array(F.struct((state["at"] + p["before"]).alias("start"), p["length"].alias("length")).cast(span))
+            return F.struct((state["at"] + p["step"]).alias("at"), F.when(p["learnt"], F.concat(state["spans"], here)).otherwise(state["spans"]).alias("spans"))
+
+        empty = F.struct(F.get("begun", j).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+        return F.aggregate(c, empty, next_span, lambda s: s["spans"])
+
+    return placed.select("conv_id", "formatted", F.flatten(F.transform("chunks", spans)).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
