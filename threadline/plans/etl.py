@@ -15,7 +15,7 @@ from threadline.operators import session as S
 from threadline.operators.catalog import keep_largest
 from threadline.operators.entries import extract_entries, priced_entries
 from threadline.operators.intervals import day_edges, overlap_of_edges, session_spans
-from threadline.runtime import new_run_dir, stage, stage_bucketed
+from threadline.runtime import new_run_dir, read_note, stage, stage_bucketed, write_note
 from threadline.sources import transcripts as T
 
 #: Winning files that may be broadcast; at some 200 bytes each that is at most 50 MB.
@@ -240,19 +240,15 @@ def compacted(spark: SparkSession, facts: Facts) -> Facts:
 
 
 def _recorded(spark: SparkSession, facts: Facts, zone: str) -> Facts:
-    """Written last: a build without this row never happened, and its folders are not read."""
-    names = lambda runs: F.array(*[F.lit(r) for r in runs]).cast("array<string>")
-    row = spark.range(1).select(
-        names(facts.runs).alias("runs"), names(facts.hot_runs).alias("hot_runs"), F.lit(facts.replaced is not None).alias("replaced"),
-        F.lit(facts.fingerprint).alias("fingerprint"), F.lit(zone).alias("zone"), F.current_timestamp().alias("at"),
-    )
-    row.coalesce(1).write.mode("overwrite").json(f"{facts.root}/lineage/run={facts.runs[-1]}")
+    """Written last: a build without this note never happened, and its folders are not read."""
+    note = {"runs": facts.runs, "hot_runs": facts.hot_runs, "replaced": facts.replaced is not None, "fingerprint": facts.fingerprint, "zone": zone}
+    write_note(spark, f"{facts.root}/lineage/run={facts.runs[-1]}.json", note)
     return facts
 
 
 def open_facts(spark: SparkSession, root: str, run: str) -> Facts:
     """The facts that the build ``run`` recorded in ``root``, for a later session to read or go on from."""
-    line = spark.read.schema("runs array<string>, hot_runs array<string>, replaced boolean, fingerprint string, zone string").json(f"{root}/lineage/run={run}").first()
+    line = read_note(spark, f"{root}/lineage/run={run}.json")
     at = lambda name: spark.read.parquet(f"{root}/{name}/run={run}")
     replaced = at("replaced") if line["replaced"] else None
     runs, hot_runs = tuple(line["runs"]), tuple(line["hot_runs"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -79,3 +80,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library staged and nothing reads any more; missing folders are fine."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_note(spark: SparkSession, path: str, value) -> None:
+    """A small JSON value in a file of its own, written by the driver without a job."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+
+
+def read_note(spark: SparkSession, path: str):
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])

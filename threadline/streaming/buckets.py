@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.runtime import discard
+from threadline.runtime import discard, read_note, write_note
 
 BUCKETS = 256
 
@@ -29,8 +29,7 @@ class BucketTable:
         """bucket -> version, as batch ``batch`` left it; one row per bucket."""
         if batch < 0:
             return {}
-        rows = self.spark.read.schema("bucket int, version bigint").json(f"{self.path}/index/v={batch}")
-        return {r["bucket"]: r["version"] for r in rows.collect()}
+        return dict(read_note(self.spark, f"{self.path}/index/v={batch}.json"))
 
     def _folder(self, bucket: int, version: int) -> str:
         return f"{self.path}/rows/v={version}/bucket={bucket}"
@@ -49,10 +48,9 @@ class BucketTable:
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/v={batch}")
         before = self.index(batch - 1)
         after = {**before, **dict.fromkeys(touched, batch)}
-        index = self.spark.createDataFrame(sorted(after.items()), "bucket int, version bigint")
-        index.coalesce(1).write.mode("overwrite").json(f"{self.path}/index/v={batch}")
+        write_note(self.spark, f"{self.path}/index/v={batch}.json", sorted(after.items()))
         # What the batch before replaced is read by nothing any more.
         for b, v in self.index(batch - 2).items():
             if before[b] != v:
                 discard(self.spark, self._folder(b, v))
-        discard(self.spark, f"{self.path}/index/v={batch - 3}")
+        discard(self.spark, f"{self.path}/index/v={batch - 3}.json")
