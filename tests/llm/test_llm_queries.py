@@ -29,14 +29,19 @@ def _documents(con):
     return con.execute("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
 
 
-def _fingerprint(text: str) -> int:
+def _grams(text: str, k: int) -> list:
     words = (text or "").encode().translate(bytes(LOWER)).split()
-    grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    return [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
+def _fingerprint(text: str, k: int = 4) -> int:
+    grams = _grams(text, k)
     hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def _classes(prints: dict) -> dict:
+def _classes(prints: dict, sets: dict | None = None) -> dict:
+    """Classes by fingerprints within 4 bits, and by a Jaccard similarity of 0.8 of the sets."""
     root = {i: i for i in prints}
 
     def find(i):
@@ -47,7 +52,8 @@ def _classes(prints: dict) -> dict:
     ids = sorted(prints)
     for x, a in enumerate(ids):
         for b in ids[:x]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
+            alike = sets and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if alike or (prints[a] ^ prints[b]).bit_count() <= 4:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     return {i: find(i) for i in ids}
@@ -255,7 +261,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir, con):
     }
     assert {r["doc_id"]: r["text"] for r in by["line_dedup"]} == want
     assert all(r["n_chars"] == len(r["text"]) for r in by["line_dedup"])
-    roots = _classes({i: _fingerprint(t) for i, t in want.items()})
+    roots = _classes({i: _fingerprint(t, 5) for i, t in want.items()}, {i: frozenset(_grams(t, 5)) for i, t in want.items()})
     alone = {i for i, root in roots.items() if i == root}
     assert {r["doc_id"] for r in by["simhash_near_dedup"]} == alone
     leaking = {d for d, _ in _leaks({i: want[i] for i in alone}, dict(con.execute("SELECT item_id, text FROM benchmark").fetchall()))}

@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadline.llm import overlap
 from threadline.llm.components import components, forest
 from threadline.llm.frames import bare_id, keyed
-from threadline.llm.scan import LOWER, SPACED, chunks, ints, words_of
-from threadline.runtime import new_run_dir, stage
+from threadline.llm.scan import LOWER, SPACED, chunks, ints, signed, words_of
+from threadline.runtime import discard, new_run_dir, stage
 
 #: Pairs of a bucket that a task verifies at once.
 BLOCK = 1 << 20
@@ -189,17 +190,64 @@ def simhash(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -
     return prints.join(where, "fp").select(bare_id(F.col("_id")).alias("doc_id"), "fp", bare_id(F.col("component")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, k: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def _sketch(k: int):
+    def run(batches):
+        for rows, data, offsets in chunks(batches, "_text"):
+            doc, hashes = shingle_hashes(data, offsets, k)
+            n = rows.num_rows
+            found = fingerprints(doc, hashes, n)
+            node, size, keys, seen = overlap.sketches(doc, hashes, n)
+            binary = lambda table: pa.array([x.tobytes() for x in table], type=pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("_id"), rows.column("_h"), pa.array(signed(found)), pa.array(signed(node)), pa.array(size), binary(keys), binary(seen)],
+                ["_id", "_h", "fp", "node", "size", "keys", "seen"],
+            )
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches):
+        for rows, data, offsets in chunks(batches, "_text"):
+            doc, hashes = overlap.distinct_shingles(*shingle_hashes(data, offsets, k))
+            cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(hashes)))
+            yield pa.RecordBatch.from_arrays([rows.column("node"), lists], ["node", "shingles"])
+
+    return run
+
+
+def representatives(docs: DataFrame, k: int = 5, share: float = 0.8, max_bits: int = 4, segments: int = 3) -> DataFrame:
     """One row of ``docs`` per component, that with the smallest id and then text hash, all columns as they are.
 
-    Documents are told apart by id and text, so null and repeated ids with
-    different texts are as many documents.
+    Two documents are linked if their fingerprints over shingles of ``k`` words
+    differ in at most ``max_bits``, or if their sets of shingles have a Jaccard
+    similarity of ``share`` or more; the second kind lies far outside any
+    fingerprint ball and is found by ``overlap``. Texts without words are
+    copies of each other. Documents are told apart by id and text, so null and
+    repeated ids with different texts are as many documents.
     """
     spark = docs.sparkSession
-    prints = keyed(docs).select("_id", "_h", "_text").mapInArrow(_fingerprint(k, ("_id", "_h")), "_id bigint, _h bigint, fp bigint")
-    prints = stage(prints, new_run_dir(spark, "fingerprints"))
-    roots = components(near_links(prints, max_bits, segments))
-    least = prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("_id", "_h")).alias("least"))
-    first = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
-    kept = first.select("least._id", "least._h")
+    folders = {name: new_run_dir(spark, name) for name in ("sketches", "nodes", "candidates", "sets", "near")}
+    prints = keyed(docs).select("_id", "_h", "_text").mapInArrow(_sketch(k), "_id bigint, _h bigint, fp bigint, node bigint, size bigint, keys binary, seen binary")
+    prints = stage(prints, folders["sketches"])
+    # Equal sets have equal sketches.
+    same = [F.first(c).alias(c) for c in ("fp", "size", "keys", "seen")]
+    nodes = stage(prints.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("least"), *same), folders["nodes"])
+    pairs = stage(overlap.candidates(nodes, share), folders["candidates"])
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = overlap.texts_of(docs, nodes.join(met, "node").select("node", "least._id", "least._h"))
+    sets = stage(texts.mapInArrow(_sets(k), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), folders["sets"])
+    # A fingerprint stands for its smallest node.
+    anchors = nodes.groupBy("fp").agg(F.min("node").alias("anchor"))
+    close = near_links(nodes, max_bits, segments)
+    for end in ("a", "b"):
+        close = close.join(anchors.select(F.col("fp").alias(end), F.col("anchor").alias(f"{end}_node")), end)
+    alike = nodes.select("fp", "node").join(anchors, "fp").where("node <> anchor").select("node", "anchor")
+    links = overlap.checked(pairs, sets, share).union(close.select("a_node", "b_node")).union(alike)
+    roots = components(stage(links, folders["near"]))
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
+    kept = stage(first.select("least._id", "least._h"), new_run_dir(spark, "kept"))
+    for path in folders.values():
+        discard(spark, path)
     return keyed(docs).select("row", "_id", "_h").join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("row.*")
