@@ -30,7 +30,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints (op9's: 4 words, 4 bits) stays."""
+    """The document with the smallest id of each group stays; linked are fingerprints within 4 bits and 5-word shingle sets at a similarity of 0.8."""
     return simhash.representatives(docs)
 
 
