@@ -9,8 +9,9 @@ segments. Candidates come from MinHash bands instead: ``BANDS`` keys of
 A text is a node, named by a hash of its shingle set, so copies are one node.
 In a bucket of equal keys the node with the smallest name leads: whoever looks
 like it by the bytes of the minima is joined to it and leaves the bucket, the
-others lead in their turn and meet the whole bucket. So a group of near copies
-costs one link per member. Tasks do this to their own postings before these are
+others lead in their turn and meet the whole bucket. So a group of copies that
+are clearly alike costs a few links per member; members near the share lead on
+and are compared with all. Tasks do this to their own postings before these are
 shuffled, and a hot group arrives as a few leaders per task. Every link that
 comes out is then checked by intersecting the two shingle sets in Spark
 expressions; links below the share are dropped.
