@@ -436,13 +436,21 @@ SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, cou
 HAVING max(ts) + INTERVAL {IDLE_GAP} SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 
 
+#: Text in one arriving file of ``t05_stream_heads``.
+ARRIVING_BYTES = 128 << 20
+
+
 def _t05(s: SparkSession, d: str) -> DataFrame:
     root = new_run_dir(s, "t05")
     day = lambda c: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int")), "yyyy-MM-dd")
     i = F.col("doc_id")
-    # Six files, so six batches.
-    X.table(s, d, "documents").withColumn("part", i % 6).repartition(6, "part").write.partitionBy("part").parquet(f"{root}/in")
-    arriving = s.readStream.schema(X.table(s, d, "documents").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    docs = X.table(s, d, "documents")
+    # One file a batch: six, or as many as keep a file bounded. All rows of an id arrive together.
+    parts = max(6, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ARRIVING_BYTES))
+    part = F.pmod(F.xxhash64(i), F.lit(parts)).cast("int")
+    # More tasks than parts, so that few parts meet in one.
+    docs.withColumn("part", part).repartition(4 * parts, "part").write.partitionBy("part").parquet(f"{root}/in")
+    arriving = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
     rows = arriving.select(
         i.alias("id"), F.sha2("text", 256).alias("hash"), F.concat_ws("-", "source", "lang").alias("session_uuid"),
         F.when(i % 13 != 0, day(i * 37 % 200)).alias("last_ts"), F.lit("2024-03-01").alias("captured_at"))
