@@ -6,10 +6,26 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from threadline import sinks
 from threadline.plans import more_queries
 from threadline.runtime import scratch_root
 
 
+def test_a_large_month_is_published_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("key"), F.when(F.col("id") != 7, "2024-01-05").alias("local_date")
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        sinks.publish({"session": rows}, str(tmp_path / "p"), "run-1")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "p/run-1/session/month=2024-01").glob("*.parquet"))) > 2
+    got = {r.month: r.n for r in sinks.published(spark, str(tmp_path / "p"), "session").groupBy("month").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"2024-01": 19_999, "undated": 1}
+
+
 def test_arriving_files_stay_bounded_and_give_the_same_heads(spark, tmp_path, monkeypatch):
     docs = spark.range(60).select(
         F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 50).alias("text"),

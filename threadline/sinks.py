@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from threadline.operators import reports as R
 
-#: Rows of a month in one file.
-ROWS_PER_FILE = 1_000_000
 COST_NOTE = "Costs are estimates at list price, not a bill"
 
 
@@ -33,10 +31,8 @@ def publish(tables: Mapping[str, DataFrame], root: str, run: str) -> str:
         writer = df.write.mode("overwrite")
         if "local_date" in df.columns and "key" in df.columns:
             month = df.withColumn("month", F.coalesce(F.substring("local_date", 1, 7), F.lit("undated")))
-            # A month goes to as many tasks as its rows need, not one file from every task.
-            sizes = month.groupBy("month").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_FILE)).alias("_files"))
-            dealt = month.join(F.broadcast(sizes), "month").withColumn("_file", F.pmod(F.xxhash64("key"), F.col("_files")))
-            writer = dealt.repartition("month", "_file").drop("_files", "_file").write.mode("overwrite").partitionBy("month")
+            # Tasks are of a bounded size in bytes: a large month is split, small ones share no file.
+            writer = month.hint("rebalance", "month").write.mode("overwrite").partitionBy("month")
         writer.parquet(f"{root}/{run}/{name}")
     spark = next(iter(tables.values())).sparkSession
     pointer = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
