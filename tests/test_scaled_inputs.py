@@ -7,10 +7,30 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from threadline import sinks
-from threadline.plans import more_queries
+from threadline.plans import more_queries, stats_queries
 from threadline.runtime import scratch_root
 
 
+def _events(spark, folder):
+    rows = spark.range(60).select(
+        F.col("id").alias("event_id"), F.expr("timestamp '2024-01-03' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT))").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.element_at(F.array(*[F.lit(t) for t in ("view", "click", "error", "signup")]), (F.col("id") % 4 + 1).cast("int")).alias("event_type"),
+        F.lit(1.0).alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 50, F.lit("}")).alias("props"),
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_the_census_reads_lines_that_were_laid_down(spark, tmp_path):
+    sf = _events(spark, tmp_path)
+    entries = stats_queries._fresh(spark, sf)
+    assert all("/lines-" in f for f in entries.inputFiles())
+    # The lines are made once, not once more for each side that needs the listing.
+    assert "to_json" not in entries._jdf.queryExecution().optimizedPlan().toString()
+    census = {r.etype: r.entries for r in stats_queries._s01(spark, sf).collect()}
+    assert sum(census.values()) == 60 and census["user"] == 30 and census["assistant"] == 15
+
+
 def test_a_large_month_is_published_by_several_tasks(spark, tmp_path):
     rows = spark.range(0, 20_000, 1, 8).select(
         F.sha2(F.col("id").cast("string"), 256).alias("key"), F.when(F.col("id") != 7, "2024-01-05").alias("local_date")

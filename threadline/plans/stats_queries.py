@@ -116,11 +116,9 @@ FROM session s""")
 
 
 def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed entries straight from the lines, with nothing staged in between."""
-    prepare(spark)
-    lines = X.transcript_lines(spark, sf_dir)
-    listing = lines.groupBy("path").agg(F.sum(F.octet_length("raw") + 1).alias("size_bytes"))
-    return etl.entries_of(lines, etl.keep_largest(etl.discover(listing)))
+    """Typed entries straight from the lines that were laid down, with nothing staged in between."""
+    lines, sizes = _files(spark, sf_dir)
+    return etl.entries_of(lines.drop("part"), etl.keep_largest(etl.discover(sizes.select("path", "size_bytes"))))
 
 
 def _s01(spark: SparkSession, sf_dir: str) -> DataFrame:
