@@ -65,3 +65,55 @@ def test_arriving_files_stay_bounded_and_give_the_same_heads(spark, tmp_path, mo
     monkeypatch.setattr(more_queries, "ARRIVING_BYTES", 600)
     again, files = heads()
     assert again == whole and files > 6
+
+
+def test_a_line_is_made_once_for_both_trees(spark, tmp_path):
+    from threadline.plans import standins
+
+    lines = standins.transcript_lines(spark, _events(spark, tmp_path))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("events.parquet") + plan.count("Relation [") == 1
+    laid = {(r.path.split("/")[1], r.line_no) for r in lines.select("path", "line_no").collect()}
+    # Users 0 and 6 of seven lie in the archive and, as their counters are below 80, in the live tree too.
+    both = {n for tree, n in laid if tree == "archive"} & {n for tree, n in laid if tree == "live"}
+    assert both == {i for i in range(60) if i % 7 in (0, 6)} and {n for _, n in laid} == set(range(60))
+
+
+def test_a_listing_too_large_to_broadcast_deals_the_entries_once(spark, tmp_path, monkeypatch):
+    from threadline.plans import etl
+
+    sf = _events(spark, tmp_path)
+    monkeypatch.setattr(etl, "BROADCAST_FILES", 0)
+    lines, sizes = stats_queries._files(spark, sf)
+    winners = etl.keep_largest(etl.discover(sizes.select("path", "size_bytes")))
+    entries = etl.entries_of(lines.drop("part"), winners, small=False, buckets=6).repartition(6, "key")
+    assert entries.count() == 60
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    # The typed entries are dealt by key and by nothing else.
+    wide = [x for x in plan.splitlines() if "Exchange" in x and "key" in x and "REPARTITION_BY" in x]
+    assert len(wide) == 1 and not any("Exchange hashpartitioning(path" in x for x in plan.splitlines()), plan
+
+
+def test_the_day_sweep_does_not_fold_the_entries_again(spark, tmp_path, monkeypatch):
+    from threadline.plans import etl
+
+    seen = []
+    sweep = etl._sweep
+    monkeypatch.setattr(etl, "_sweep", lambda s, root, run, spans, *rest: (seen.append(spans.inputFiles()), sweep(s, root, run, spans, *rest))[1])
+    stats_queries.facts_for(spark, _events(spark, tmp_path))
+    assert seen and all("/session/" in f for f in seen[0])
+
+
+def test_a_path_is_split_once_for_its_label(spark):
+    from threadline.functions import paths
+
+    rows = spark.createDataFrame(
+        [("/home/ann/projects/app/.worktree/b1",), ("/mnt/c/Users/ann/code/x",), ("/srv/.worktree-y/z",), ("/",), ("",), ("a",), ("/home/src",), (None,)], "p string"
+    )
+    p = F.col("p")
+    out = rows.select(paths.project_label(p).alias("label"), paths.repo_root(p).alias("root"), paths.is_worktree(p).alias("is"), paths.worktree_name(p).alias("name"))
+    assert [tuple(r) for r in out.collect()] == [
+        ("app-.worktree-b1", "/home/ann/projects/app", 1, "b1"), ("x", "/mnt/c/Users/ann/code/x", 0, None), ("srv-.worktree-y-z", "/srv", 1, "y"),
+        ("/", "/", 0, None), ("", "", 0, None), ("a", "a", 0, None), ("src", "/home/src", 0, None), (None, None, 0, None),
+    ]
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 4

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,8 @@ def computed_once(df: DataFrame, columns: dict[str, Column], keep: list[str] | N
     row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     kept = [F.col(c) for c in (df.columns if keep is None else keep)]
     return df.select(*kept, F.inline(row))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used; for values that higher-order functions make."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

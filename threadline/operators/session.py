@@ -216,17 +216,6 @@ def fold(entries: DataFrame) -> DataFrame:
     )
 
 
-def span_rows(entries: DataFrame) -> DataFrame:
-    """What the overlap of days needs of a session, without waiting for all of its columns."""
-    first = entries.groupBy("key").agg(
-        first_value(F.col("ts_raw")).alias("first_ts"),
-        last_value(F.col("ts_raw")).alias("last_ts"),
-        first_value(F.col("cwd")).alias("cwd"),
-        F.max(F.col("is_reply").cast("int")).alias("is_real"),
-    )
-    return first.select("key", "first_ts", "last_ts", "is_real", paths.project_label(F.col("cwd")).alias("project_label"))
-
-
 def folded_sessions(entries: DataFrame, idle_gap: int = IDLE_GAP_SECONDS) -> DataFrame:
     """Everything the entries tell about their session; over entries bucketed by key it needs no shuffle."""
     return (

@@ -62,19 +62,28 @@ def discover(listing: DataFrame, archive_at: str = "/archive/", live_at: str = "
     return archived.unionByName(live)
 
 
-def entries_of(lines: DataFrame, winners: DataFrame, prices: PriceList | None = None, small: bool | None = None) -> DataFrame:
+def entries_of(
+    lines: DataFrame, winners: DataFrame, prices: PriceList | None = None, small: bool | None = None, buckets: int | None = None,
+) -> DataFrame:
     """Priced, typed entries of the winning files only.
 
     Raw lines are never shuffled: a listing of checked size is broadcast and
     losers go before they are parsed; a larger one meets the typed entries,
-    which are far narrower than the lines. ``small``: whether the listing fits, if that is known.
+    which are far narrower than the lines. They are dealt once, by the key that
+    their path tells (to ``buckets`` parts, if given), and meet the one winner
+    of a key where they lie. ``small``: whether the listing fits, if that is known.
     """
     chosen = winners.select("path", "key")
     if small is None:
         small = chosen.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
     if small:
         return priced_entries(extract_entries(lines.join(F.broadcast(chosen), "path")), prices)
-    return priced_entries(extract_entries(lines), prices).join(chosen, "path")
+    typed = priced_entries(extract_entries(lines.where("path is not null")), prices).withColumn("key", T.session_key(F.col("path")))
+    dealt = typed.repartition(buckets, "key") if buckets else typed.repartition("key")
+    won = chosen.select("key", F.col("path").alias("_winner")).hint("shuffle_hash")
+    # Not an equality: as a second join key it would ask for another shuffle, by both.
+    is_winner = (F.col("path") >= F.col("_winner")) & (F.col("path") <= F.col("_winner"))
+    return dealt.join(won, "key").where(is_winner).drop("_winner")
 
 
 def _listing_state(winners: DataFrame, previous: Facts | None, run: str, fingerprint: str, path: str) -> DataFrame:
@@ -160,16 +169,16 @@ def build_facts(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
     small = n_fresh <= BROADCAST_FILES
     usual = fresh if largest <= HOT_BYTES else fresh.where(F.col("size_bytes") <= HOT_BYTES)
-    bucketed = stage_bucketed(entries_of(lines, usual, prices, small), at("entry"), "key", "line_no", buckets)
+    bucketed = stage_bucketed(entries_of(lines, usual, prices, small, buckets), at("entry"), "key", "line_no", buckets)
     parts = [(bucketed, None)]
     if largest > HOT_BYTES:
-        parts.append((stage(entries_of(lines, fresh.where(F.col("size_bytes") > HOT_BYTES), prices, small), at("entry_hot")), line_chunk))
+        # These are few, at HOT_BYTES each, and their lines stay in the tasks that read them.
+        parts.append((stage(entries_of(lines, fresh.where(F.col("size_bytes") > HOT_BYTES), prices, True), at("entry_hot")), line_chunk))
 
     # Everything below reads only the staged entries; independent writes are
     # submitted together so that small jobs fill each other's gaps.
-    def sweep() -> tuple[DataFrame, DataFrame]:
-        spans = session_spans(_union([S.span_rows(e) for e, _ in parts]).join(fresh.select("key"), "key", "left_semi"), ["project_label"])
-        spans = spans.withColumn("sign", F.lit(1))
+    def sweep(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = session_spans(folded, ["project_label"]).withColumn("sign", F.lit(1))
         if previous is not None:
             gone = session_spans(previous.session.join(lost.select("key"), "key", "left_semi"), ["project_label"])
             spans = spans.unionByName(gone.withColumn("sign", F.lit(-1)))
@@ -178,7 +187,8 @@ def build_facts(
     runs = (run,) if previous is None else (*previous.runs, run)
     with ThreadPoolExecutor(5) as pool:
         folded = pool.submit(lambda: stage(_union([S.sessions(e, fresh, zone, idle_gap) for e, _ in parts]), at("session")))
-        swept = pool.submit(sweep)
+        # The spans stand in the session table; the entries are not folded once more for them.
+        swept = pool.submit(lambda: sweep(folded.result()))
         turns = pool.submit(lambda: stage(_union([S.turns(e, chunk) for e, chunk in parts]), at("turn")))
         calls = pool.submit(lambda: stage(_union([S.tool_calls(e) for e, _ in parts]), at("tool_call")))
         uses = pool.submit(lambda: stage(_union([S.attribution(e) for e, _ in parts]), at("attribution")))

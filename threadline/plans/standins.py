@@ -193,12 +193,9 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = shaped_events(spark, sf_dir)
     keyed = computed_once(e, {"raw": _entry_json(e)})
     lines = keyed.select("u", "k", "stem", "uuid", "sub", F.col("event_id").alias("line_no"), "raw")
-    own = lines.withColumn(
-        "path",
-        F.when(F.col("u") % 2 == 0, transcript_path("archive", F.col("u"), F.col("stem"), F.col("uuid"), F.col("sub")))
-        .otherwise(transcript_path("live", F.col("u"), F.col("stem"), F.col("uuid"), F.col("sub"))),
-    )
-    copy = lines.where("u % 6 = 0 and k < 80").withColumn(
-        "path", transcript_path("live", F.col("u"), F.col("stem"), F.col("uuid"), F.col("sub"))
-    )
-    return own.unionByName(copy).select("path", "line_no", "raw")
+    at = lambda tree: transcript_path(tree, F.col("u"), F.col("stem"), F.col("uuid"), F.col("sub"))
+    own = F.struct(F.when(F.col("u") % 2 == 0, at("archive")).otherwise(at("live")).alias("path"))
+    copy = F.when(F.expr("u % 6 = 0 and k < 80"), F.struct(at("live").alias("path")))
+    # A line is made once, also where a copy of it lies in the other tree.
+    laid = lines.select(F.explode(F.array(own, copy)).alias("_at"), "line_no", "raw").where("_at is not null")
+    return laid.select("_at.path", "line_no", "raw")

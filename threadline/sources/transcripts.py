@@ -109,10 +109,16 @@ def list_files(spark: SparkSession, paths: str | list[str], glob: str = "*") ->
     )
 
 
+def session_key(path: Column) -> Column:
+    """The identity a transcript's path tells: its stem, marked for a sub-agent."""
+    stem = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+    bare = F.regexp_replace(stem, "^agent-", "")
+    return F.when(path.contains("/subagents/"), F.concat(F.lit("agent:"), bare)).otherwise(stem)
+
+
 def _describe(files: DataFrame, shape: str, tree: str, parent: Column, container: Column) -> DataFrame:
     nested = F.col("path").rlike("/subagents/")
     stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
-    bare = F.regexp_replace(stem, "^agent-", "")
     return files.where(F.col("path").rlike(shape)).select(
         *files.columns,
         F.lit(tree).alias("source_tree"),
@@ -120,7 +126,7 @@ def _describe(files: DataFrame, shape: str, tree: str, parent: Column, container
         nested.cast("int").alias("is_subagent"),
         F.when(nested, F.nullif(parent, F.lit(""))).alias("parent_session_uuid"),
         stem.alias("stem"),
-        F.when(nested, F.concat(F.lit("agent:"), bare)).otherwise(stem).alias("key"),
+        session_key(F.col("path")).alias("key"),
     )
 
 
