@@ -132,3 +132,36 @@ def test_an_incremental_build_parses_changed_files_only(spark):
     assert (new.turn.count(), new.entry.count()) == (4, 4)
     # Other rules: nothing of the last run is used.
     assert {r.key for r in build_facts(spark, grown, now, "UTC", previous=new, fingerprint="2").session.collect()} == {"b", "c"}
+
+
+def test_a_line_is_parsed_in_one_pass_and_trimmed_only_if_it_is_not_framed(spark):
+    from threadline.operators.entries import extract_entries, parse_entries
+
+    good = '{"type":"user","cwd":"/x"}'
+    raws = [good, f" \t{good}\r", f"﻿{good}", f"{good}x", f"x{good}", f"{good},{good}", "{}", "{", "}", "", " \n\t", None, "[1]", "{'type':'user'}"]
+    rows = spark.createDataFrame([("/live/p/a.jsonl", k, raw) for k, raw in enumerate(raws)], "path string, line_no bigint, raw string")
+    got = {r.line_no: (r.is_bad, r.cwd) for r in extract_entries(rows).collect()}
+    assert got == {0: (False, "/x"), 1: (False, "/x"), 2: (False, "/x"), 6: (False, None), **{k: (True, None) for k in (3, 4, 5, 7, 8, 12, 13)}}
+    plan = parse_entries(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("from_json") == 1
+
+
+def test_frequency_maps_are_rendered_once_per_name(spark):
+    rows = [("k", "effort", 'b "q" \\ é\n', 2, 1), ("k", "effort", "a", 10, 3), ("k", "model", "m1", 1, 9), ("k", "model", "m2", 1, 4), ("k", "prompt_id", "p", 3, 1), ("j", "prompt_id", "p", 1, 1)]
+    facet = spark.createDataFrame(rows, "key string, kind string, name string, n bigint, first_line bigint")
+    columns = S.facet_columns(facet)
+    got = {r.key: r for r in columns.collect()}
+    assert got["k"].effort_json == '{"a": 10, "b \\"q\\" \\\\ é\\n": 2}' and json.loads(got["k"].models_json) == {"m1": 1, "m2": 1}
+    assert (got["k"].primary_model, got["k"].n_prompt_ids, got["j"].models_json, got["j"].n_prompt_ids) == ("m2", 1, "{}", 1)
+    # No function of ours runs per name and map: sorting and joining are what the aggregate ends with.
+    plan = columns._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "regexp_replace" not in plan
+
+
+@pytest.mark.parametrize("raw", ["2026-06-01T12:00:00Z", "2026-06-01T12:00:00+1030", "2026-06-01T12:00:00+10:30", "2026-06-01", "2026-06-01T1Z", "Z", "", None, "2026-06-01T12:00:00,5Z"])
+def test_instants_of_texts_that_end_in_z_and_others(spark, raw):
+    from threadline.functions import times
+
+    rows = spark.createDataFrame([(raw,)], "raw string")
+    whole = F.when(F.col("raw").rlike(times._ISO), F.try_to_timestamp(F.regexp_replace("raw", r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    assert rows.select(times.parse_instant(F.col("raw")).eqNullSafe(whole)).first()[0]

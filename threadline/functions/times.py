@@ -22,7 +22,7 @@ def parse_instant(raw: Column) -> Column:
 
     Needs the session zone to be UTC (see ``runtime.prepare``).
     """
-    tidy = F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    tidy = F.when(raw.endswith("Z"), raw).otherwise(F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2"))
     return F.when(raw.rlike(_ISO), F.try_to_timestamp(tidy))
 
 

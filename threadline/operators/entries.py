@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import times
 from threadline.functions import variants as V
-from threadline.functions.once import computed_once
+from threadline.functions.once import bound, computed_once
 from threadline.functions.pricing import PriceList, cost_columns
 
 # Attribution fields and the kind each one counts under.
@@ -47,13 +47,14 @@ def parse_entries(lines: DataFrame) -> DataFrame:
     brackets, so text after the object makes it malformed; a field of another
     type than expected is NULL and leaves the rest of the line intact.
     """
-    blank = F.lit(V.WHITESPACE)
-    kept = lines.where(F.length(F.btrim(F.col("raw"), blank)) > 0)
-    body = F.btrim(F.col("raw"), F.lit(V.WHITESPACE + "\ufeff"))
+    raw, blank = F.col("raw"), F.lit(V.WHITESPACE)
+    # A trim walks the whole line, so a line that begins and ends with its braces is not trimmed.
+    kept = lines.where(raw.startswith("{") | (F.length(F.btrim(raw, blank)) > 0))
+    body = F.when(raw.startswith("{") & raw.endswith("}"), raw).otherwise(F.btrim(raw, F.lit(V.WHITESPACE + "\ufeff")))
+    framed = body.startswith("{") & body.endswith("}")
     boxed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), ENTRY_SCHEMA, {"allowSingleQuotes": "false"})
-    framed = computed_once(kept, {"_boxed": boxed, "_framed": body.startswith("{") & body.endswith("}")}, keep=[c for c in lines.columns if c != "raw"])
-    single = F.col("_framed") & F.coalesce(F.size("_boxed") == 1, F.lit(False))
-    return computed_once(framed, {"e": F.when(single, F.get("_boxed", F.lit(0)))}, keep=[c for c in lines.columns if c != "raw"])
+    single = lambda found: F.when(framed & F.coalesce(F.size(found) == 1, F.lit(False)), F.get(found, F.lit(0)))
+    return computed_once(kept, {"e": bound(boxed, single)}, keep=[c for c in lines.columns if c != "raw"])
 
 
 def usage_columns(u: str) -> dict[str, Column]:

@@ -120,20 +120,23 @@ def attribution(entries: DataFrame) -> DataFrame:
     return counts.select(F.col("key").alias("session_key"), "kind", "name", F.col("n").alias("count"))
 
 
+def _cell_json() -> Column:
+    """``"name": count`` of a facet row; to_json of a one-element array gives the quoted, escaped name inside brackets."""
+    boxed = F.to_json(F.array("name"))
+    return F.concat(F.substr(boxed, F.lit(2), F.length(boxed) - 2), F.lit(": "), F.col("n").cast("string"))
+
+
 def frequency_json(kind: str) -> Column:
-    """``{"name": count, ...}`` with sorted keys, ``{}`` when nothing was seen."""
-    item = F.when(F.col("kind") == kind, F.struct("name", "n"))
-    pairs = F.array_sort(F.collect_list(item))
-    shown = F.transform(pairs, lambda p: F.concat(F.to_json(F.array(p["name"])), F.lit("\x00"), p["n"].cast("string")))
-    # to_json of a one-element array gives the quoted, escaped name inside brackets.
-    cells = F.transform(shown, lambda s: F.regexp_replace(s, r"(?s)^\[(.*)\]\x00(\d+)$", "$1: $2"))
-    return F.concat(F.lit("{"), F.array_join(cells, ", "), F.lit("}"))
+    """``{"name": count, ...}`` with sorted keys, ``{}`` when nothing was seen; over facet rows with their ``cell``."""
+    # The text of a cell is made once per row of the facets; here it is only sorted by name and joined.
+    cells = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "cell"))))
+    return F.concat(F.lit("{"), F.array_join(cells["cell"], ", "), F.lit("}"))
 
 
 def facet_columns(facet_counts: DataFrame) -> DataFrame:
     """One row per session: frequency maps, primary model, number of prompt ids."""
     is_model = F.col("kind") == "model"
-    return facet_counts.groupBy("key").agg(
+    return facet_counts.withColumn("cell", F.when(F.col("kind") != "prompt_id", _cell_json())).groupBy("key").agg(
         *[frequency_json(kind).alias(name) for name, kind in FREQUENCY_MAPS.items()],
         # Most frequent, ties to the one seen first.
         F.max_by(
