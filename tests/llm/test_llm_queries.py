@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -238,6 +239,25 @@ def test_scores_do_not_depend_on_the_head(spark, sf_dir, monkeypatch):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
+def test_scores_do_not_depend_on_slices_and_shares(spark, sf_dir, monkeypatch, tmp_path):
+    """Many slices and shares give the same scores, and the tables of the pairs do not stay on the disk."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(120)
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "lonely unseen pair"), (7, None)], docs.schema))
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    made = []
+    monkeypatch.setattr(lm_score, "new_run_dir", lambda spark, label: made.append((label, f"{tmp_path}/{label}-{len(made)}")) or made[-1][1])
+    scores = lambda: sorted((r["doc_id"] or -1, r["n_words"], r["target_loss"] or 0, r["background_loss"] or 0) for r in lm_score.cross_entropy_difference(docs, marks).collect())
+    whole = scores()
+    assert not [path for label, path in made if label in ("pairs", "pair_changes") and os.path.exists(path)]
+    for name, value in (("PAIRS_HELD", 5_000), ("KEYS_HELD", 2_000), ("SHARE_WORDS", 10_000), ("HEAD_WORDS", 1e-3), ("HEAD_PAIRS", 1e-3)):
+        monkeypatch.setattr(lm_score, name, value)
+    cut = scores()
+    assert len([label for label, _ in made if label == "scored"]) == 1 + lm_score.SHARES
+    assert len(whole) == len(cut) == docs.count()
+    for a, b in zip(whole, cut, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_dir, con):
     names = [n for n, _ in corpus_pipeline.STAGES]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -9,9 +9,9 @@ loss: the lower, the more it reads like the target.
 
 Both tables are written and grow with the input. Tasks hold their head only, the
 words that make up ``HEAD_WORDS`` of all words and the pairs that make up
-``HEAD_PAIRS``, at most 1 / share rows each. A document's distinct words and
-pairs beyond the head meet the rest of the tables in a shuffle; no key of it is
-hotter than the head's share. A word that occurs once is read from one row of the
+``HEAD_PAIRS``, at most 1 / share rows each. A document's words and
+pairs beyond the head meet the rest of the tables in a shuffle, packed by slice of the
+key space; no key of it is hotter than the head's share. A word that occurs once is read from one row of the
 counts, which keeps its neighbours, so pairs with the unknown word need no
 further pass over the texts.
 
@@ -26,6 +26,7 @@ marks for one id count once; null ids are never marked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from threadline.llm.frames import bare_id, fits_broadcast, keyed
 from threadline.llm.scan import SPACED, Words, ints, mix, scan, signed
-from threadline.runtime import new_run_dir, stage
+from threadline.runtime import discard, new_run_dir, stage, stage_alone
 
 #: Share of all words below which a word that occurs twice is unknown, and a pair backs off: none.
 WORD_SHARE = 0.0
@@ -46,6 +47,10 @@ HEAD_PAIRS = 1e-6
 LAMBDA = 0.7
 #: Distinct counts a task holds before it sends them.
 HELD = 1 << 19
+#: Pairs of one slice that a task counts, and words and pairs of one slice that it looks up.
+PAIRS_HELD, KEYS_HELD = 1 << 20, 1 << 22
+#: The texts are scored in so many shares, one after the other, each of at least so many words.
+SHARES, SHARE_WORDS = 4, 8_000_000
 #: Bits of the filter of keys that are in the tables, and of one block of it; the filter never grows.
 FILTER_BITS, BLOCK_BITS = 27, 16
 
@@ -62,21 +67,11 @@ def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(after))
 
 
-def _counted(events, names: tuple[str, ...], keyless: bool):
-    """Batches of (key, n, n_target, *names), combined in the task; ``events`` yields keys, rows and what else a word or pair has.
-
-    ``keyless``: ``names`` tell the keys, which are left out; else ``names`` are null where a task counts more than one.
-    """
+def _held(events):
+    """``events`` yields keys, rows and what else a word or pair has; these are sums of them, as many as a task holds at once."""
 
     def run(batches):
         parts, size = [], 0
-
-        def sent():
-            keys, n, t, *more = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            keys = [] if keyless else [pa.array(signed(keys))]
-            arrays = [*keys, pa.array(n), pa.array(t), *(pa.array(signed(x), mask=None if keyless else n > 1) for x in more)]
-            return pa.RecordBatch.from_arrays(arrays, [*(["key"] * len(keys)), "n", "n_target", *names])
-
         for rows, words in scan(batches, "_text", SPACED, lower=True):
             keys, doc, *more = events(rows, words)
             if not len(keys):
@@ -88,14 +83,67 @@ def _counted(events, names: tuple[str, ...], keyless: bool):
                 merged = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts, size = [merged], len(merged[0])
                 if size >= HELD // 2:
-                    yield sent()
+                    yield merged
                     parts, size = [], 0
         if parts:
-            yield sent()
+            yield _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return run
+
+
+def _counted(events, names: tuple[str, ...]):
+    """Batches of (key, n, n_target, *names), combined in the task; ``names`` are null where it counts more than one."""
+
+    def run(batches):
+        for keys, n, t, *more in _held(events)(batches):
+            arrays = [pa.array(signed(keys)), pa.array(n), pa.array(t), *(pa.array(signed(x), mask=n > 1) for x in more)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "n_target", *names])
+
+    return run
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The slice of the key space, of ``parts`` equal ones, that a key lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(part: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
+def _sliced(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row per slice, its columns packed; rows come in the order of ``part``."""
+    cuts = _slices(part)
+    packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in cuts], pa.int64()), *packed], ["part", *columns])
+
+
+def _unpacked(rows: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in rows.column(name).to_pylist() if x is not None), dtype=kind)
+
+
+_PAIRS = {"before": np.uint64, "after": np.uint64, "n": np.int32, "n_target": np.int32}
+
+
+def _packed_pairs(parts: int):
+    """Pairs that a task has counted, a row per slice of the key space: rows of their own would be twice as large."""
+
+    def run(batches):
+        for keys, n, t, before, after in _held(_pairs)(batches):
+            yield _sliced(_part(keys, parts), {"before": before, "after": after, "n": n.astype(np.int32), "n_target": t.astype(np.int32)})
 
     return run
 
 
+def _recurring(rows: pa.Table) -> pa.Table:
+    """The pairs of one slice that occur twice or more."""
+    before, after, n, t = (_unpacked(rows, name, kind) for name, kind in _PAIRS.items())
+    keys, n, t, before, after = _summed(_pair_keys(before, after), n.astype(np.int64), t.astype(np.int64), before, after)
+    twice = n > 1
+    return pa.table({"key": signed(keys[twice]), "before": signed(before[twice]), "after": signed(after[twice]), "n": n[twice], "n_target": t[twice]})
+
+
 #: Neighbour of a word at the edge of its text.
 NOTHING = np.uint64(0)
 
@@ -117,12 +165,6 @@ def _pairs(rows, words: Words):
     return _pair_keys(hashes[at], hashes[at + 1]), words.doc[at], hashes[at], hashes[at + 1]
 
 
-def _with_keys(batches):
-    for batch in batches:
-        key = _pair_keys(ints(batch, "before").view(np.uint64), ints(batch, "after").view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *batch.columns], ["key", *batch.schema.names])
-
-
 def _cells(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -171,11 +213,12 @@ class Head:
 
 @dataclass
 class Model:
-    """``rest`` has (key, t, b) of words and pairs beyond the head, ``once`` (_id, _h, t, b) of words that occur once."""
+    """``rest`` has the words and pairs beyond the head, packed by slice of the key space, ``once`` (_id, _h, t, b) of words that occur once."""
 
     head: Head
     rest: DataFrame
     once: DataFrame
+    n_words: int
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,17 +229,20 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-_PARTS = ["_id", "_h", "key", "n", "n_words", "t", "b"]
-_PARTS_DDL = "_id bigint, _h bigint, key bigint, n bigint, n_words bigint, t double, b double"
+_PARTS_DDL = "part bigint, _id binary, _h binary, n_words binary, t binary, b binary, lengths binary, keys binary"
+_PARTS = ["part", "_id", "_h", "n_words", "t", "b", "lengths", "keys"]
+
 
+def _parts(head: Head, parts: int):
+    """Packed rows: the texts of a batch (``n_words`` set) with their losses by the head, and, slice by slice, their words and pairs beyond it.
 
-def _parts(head: Head):
-    """A row per text (``n_words`` set) with the losses by the head, and rows of its distinct words and pairs beyond it."""
+    ``lengths`` has the number of ``keys`` of each text in the slice; a word that recurs in a text stands there as often.
+    """
 
     def run(batches):
-        for rows, words in scan(batches, "_text", SPACED, lower=True):
+        for at_batch, (rows, words) in enumerate(scan(batches, "_text", SPACED, lower=True)):
             n = rows.num_rows
-            _id, _h = ints(rows, "_id"), ints(rows, "_h")
+            _id, _h = ints(rows, "_id").astype(np.int64), ints(rows, "_h").astype(np.int64)
             loss = np.zeros((n, 2))
             counts = words.counts.astype(np.int64)
             hashes = words.hashes()
@@ -217,21 +263,72 @@ def _parts(head: Head):
                 cell = _cells(key)
                 maybe = (head.more[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                 key, doc = key[maybe], doc[maybe]
-                order = np.lexsort((key, doc))
-                key, doc = key[order], doc[order]
-                cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, dtype=np.int64)
-                of = doc[cut]
-                none = pa.nulls(len(cut), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_id[of]), pa.array(_h[of]), pa.array(signed(key[cut])), pa.array(np.diff(np.r_[cut, len(key)]).astype(np.int64)), pa.nulls(len(cut), pa.int64()), none, none],
-                    _PARTS,
-                )
-            # Rows of texts meet nothing in the join; their own hash spreads them.
-            yield pa.RecordBatch.from_arrays([pa.array(_id), pa.array(_h), pa.array(_h), pa.array(np.ones(n, dtype=np.int64)), pa.array(counts), pa.array(loss[:, 0]), pa.array(loss[:, 1])], _PARTS)
+                part = _part(key, parts)
+                order = np.lexsort((doc, part))
+                key, doc, part = key[order], doc[order], part[order]
+                if len(key):
+                    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
+                    lengths, of, part_of = np.diff(np.r_[cut, len(key)]).astype(np.int32), doc[cut], part[cut]
+                    texts = _sliced(part_of, {"_id": _id[of], "_h": _h[of], "lengths": lengths})
+                    none = pa.nulls(texts.num_rows, pa.binary())
+                    packed = _sliced(part, {"keys": key})
+                    yield pa.RecordBatch.from_arrays(
+                        [texts.column("part"), texts.column("_id"), texts.column("_h"), none, none, none, texts.column("lengths"), packed.column("keys")], _PARTS
+                    )
+            if n:
+                none = pa.nulls(1, pa.binary())
+                own = [pa.array([x.tobytes()], pa.binary()) for x in (_id, _h, counts, np.ascontiguousarray(loss[:, 0]), np.ascontiguousarray(loss[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array([at_batch % parts], pa.int64()), *own, none, none], _PARTS)
 
     return run
 
 
+def _packed_rest(parts: int):
+    """Packed (key, t, b) rows of the tables, by slice."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def sent():
+            keys, t, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            return _sliced(_part(keys[order], parts), {"keys": keys[order], "t": t[order], "b": b[order]})
+
+        for batch in batches:
+            held.append((ints(batch, "key").view(np.uint64), *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in "tb")))
+            size += batch.num_rows
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if size:
+            yield sent()
+
+    return run
+
+
+def _looked_up(texts: pa.Table, rest: pa.Table) -> pa.Table:
+    """Rows of one slice per text: its own row as it came, and what the tables change for its words and pairs there."""
+    keys = _unpacked(rest, "keys", np.uint64)
+    order = np.argsort(keys)
+    keys, change = keys[order], np.stack([_unpacked(rest, k, float)[order] for k in "tb"], axis=1)
+    out = []
+    for row in texts.select(_PARTS[1:]).to_pylist():
+        _id, _h = np.frombuffer(row["_id"], np.int64), np.frombuffer(row["_h"], np.int64)
+        if row["n_words"] is not None:
+            out.append((_id, _h, pa.array(np.frombuffer(row["n_words"], np.int64)), np.frombuffer(row["t"]), np.frombuffer(row["b"])))
+            continue
+        begin = np.r_[0, np.cumsum(np.frombuffer(row["lengths"], np.int32))[:-1]]
+        at, found = _found(keys, np.frombuffer(row["keys"], np.uint64))
+        if not found.any():
+            continue
+        sums = np.add.reduceat(np.where(found[:, None], change[at], 0.0), begin, axis=0)
+        hit = np.add.reduceat(found, begin) > 0
+        out.append((_id[hit], _h[hit], pa.nulls(int(hit.sum()), pa.int64()), sums[hit, 0], sums[hit, 1]))
+    names = ["_id", "_h", "n_words", "t", "b"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.table({name: pa.chunked_array([pa.array(x[i]) for x in out], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+
+
 def _bounded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys in ascending order and their (t, b); the caller has bounded the rows."""
     got = rows.select("key", "t", "b").toArrow()
@@ -240,6 +337,11 @@ def _bounded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.stack([got.column("t").to_numpy()[order], got.column("b").to_numpy()[order]], axis=1).astype(float)
 
 
+def _n_parts(n_words: int, held: int) -> int:
+    """Slices of the key space, so that a task holds about ``held`` of the corpus's words or pairs."""
+    return 1 + n_words // held
+
+
 def _split_join(rows: DataFrame, key: str, head: DataFrame, tail: DataFrame) -> DataFrame:
     """Inner join on ``key``: a bounded ``head`` with all hot keys is broadcast, only the other rows are shuffled."""
     hot = rows.join(F.broadcast(head), key)
@@ -250,12 +352,10 @@ def fit(marked: DataFrame) -> Model:
     """The models of (``_id``, ``_h``, ``_text``, ``target``) rows."""
     spark = marked.sparkSession
 
-    def counted(events, names, by):
-        keyless = "key" not in by
-        rows = marked.mapInArrow(_counted(events, names, keyless), ", ".join(f"{c} bigint" for c in (*(() if keyless else by), "n", "n_target", *names)))
-        return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), *(F.max(c).alias(c) for c in names if c not in by))
-
-    words = stage(counted(_words, ("before", "after", "_id", "_h"), ("key",)), new_run_dir(spark, "words"))
+    names = ("before", "after", "_id", "_h")
+    counted = marked.mapInArrow(_counted(_words, names), ", ".join(f"{c} bigint" for c in ("key", "n", "n_target", *names)))
+    words = counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), *(F.max(c).alias(c) for c in names))
+    words = stage_alone(words, new_run_dir(spark, "words"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = words.agg(
         zero(F.sum("n")).alias("b"),
@@ -279,29 +379,35 @@ def fit(marked: DataFrame) -> Model:
         share = F.when(before > 0, pair / before).otherwise(0.0)
         return -F.log1p(LAMBDA * share / ((1 - LAMBDA) * (word + 1.0) / norm[k]))
 
-    pairs = counted(_pairs, ("before", "after"), ("before", "after")).where("n > 1")
-    pairs = pairs.mapInArrow(_with_keys, "key bigint, before bigint, after bigint, n bigint, n_target bigint")
-    pairs = stage(pairs, new_run_dir(spark, "pairs"))
+    parts = _n_parts(all_of["b"], PAIRS_HELD)
+    packed = marked.mapInArrow(_packed_pairs(parts), ", ".join(["part bigint", *(f"{c} binary" for c in _PAIRS)]))
+    pairs = packed.groupBy("part").applyInArrow(_recurring, ", ".join(f"{c} bigint" for c in ("key", *_PAIRS)))
+    counted_at = new_run_dir(spark, "pairs")
+    pairs = stage_alone(pairs, counted_at)
     for name in ("before", "after"):
         of = known.select(F.col("key").alias(name), *(F.col(k).alias(f"{name}_{k}") for k in "tb"))
         hot = F.col(f"{name}_b") >= HEAD_WORDS * all_of["b"]
         pairs = _split_join(pairs, name, of.where(hot), of.where(~hot))
     amount = {"t": F.col("n_target"), "b": F.col("n")}
-    pairs = stage(
-        pairs.select("key", "n", *(change(amount[k], F.col(f"before_{k}"), F.col(f"after_{k}"), k).alias(k) for k in "tb")), new_run_dir(spark, "pair_changes")
-    )
+    changes_at = new_run_dir(spark, "pair_changes")
+    pairs = stage_alone(pairs.select("key", "n", *(change(amount[k], F.col(f"before_{k}"), F.col(f"after_{k}"), k).alias(k) for k in "tb")), changes_at)
+    discard(spark, counted_at)
     is_head = F.col("n") >= HEAD_PAIRS * all_of["b"]
     pair_keys, changes = _bounded(pairs.where(is_head))
     rest = rest.unionByName(pairs.where(~is_head).select("key", "t", "b"))
+    more = _filter(rest)
+    packed = rest.mapInArrow(_packed_rest(_n_parts(all_of["b"], KEYS_HELD)), "part bigint, keys binary, t binary, b binary")
+    rest = stage(packed, new_run_dir(spark, "rest"))
+    discard(spark, changes_at)
 
     # Pairs with the unknown word: each word that occurs once has one neighbour on either side.
     once = words.where("n = 1").select("before", "after", "_id", "_h", "n_target")
     share_of_once = HEAD_WORDS * once_of["b"]
     spoken = words.select("key", F.col("n").alias("word_b"), F.col("n_target").alias("word_t"))
-    parts = []
+    changed = []
     for name in ("after", "before"):
         beside = once.where(F.col(name) != 0).groupBy(F.col(name).alias("key")).agg(F.count("*").alias("n"), F.sum("n_target").alias("n_target")).join(spoken, "key")
-        beside = stage(beside, new_run_dir(spark, f"once_{name}"))
+        beside = stage_alone(beside, new_run_dir(spark, f"once_{name}"))
         lone = beside.where("word_b = 1")
         if name == "after":
             both = lone.agg(zero(F.sum("n")).alias("b"), zero(F.sum("n_target")).alias("t")).first()
@@ -314,9 +420,9 @@ def fit(marked: DataFrame) -> Model:
             table = table.unionByName(lone.select("key", "n", *twice))
         table = table.withColumnRenamed("key", name)
         hot = F.col("n") >= share_of_once
-        parts.append(_split_join(once, name, table.where(hot).drop("n"), table.where(~hot).drop("n")).select("_id", "_h", "t", "b"))
-    head = Head(vocabulary, losses, np.array([unknown["t"], unknown["b"]]), pair_keys, changes, _filter(rest))
-    return Model(head, rest, parts[0].unionByName(parts[1]))
+        changed.append(_split_join(once, name, table.where(hot).drop("n"), table.where(~hot).drop("n")).select("_id", "_h", "t", "b"))
+    head = Head(vocabulary, losses, np.array([unknown["t"], unknown["b"]]), pair_keys, changes, more)
+    return Model(head, rest, changed[0].unionByName(changed[1]), all_of["b"])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -334,16 +440,21 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
         marked = stage(marked, new_run_dir(spark, "marked"))
     model = fit(marked)
     head = spark.sparkContext.broadcast(model.head)
-    run = lambda batches: _parts(head.value)(batches)
-    changes = model.rest.select("key", F.col("t").alias("_t"), F.col("b").alias("_b"))
-    own = F.col("n_words").isNotNull()
-    joined = texts.mapInArrow(run, _PARTS_DDL).join(changes, "key", "left")
-    parts = joined.where(own | F.col("_b").isNotNull()).select(
-        "_id", "_h", "n_words", *(F.when(own, F.col(k)).otherwise(F.col("n") * F.col(f"_{k}")).alias(k) for k in "tb")
+    parts = _n_parts(model.n_words, KEYS_HELD)
+    run = lambda batches: _parts(head.value, parts)(batches)
+    # What meets the tables is larger than the texts, so one share of them is on the disks at a time.
+    shares = min(SHARES, 1 + model.n_words // SHARE_WORDS)
+    summed = []
+    for share in range(shares):
+        asked = texts.where(F.pmod("_h", F.lit(shares)) == share).mapInArrow(run, _PARTS_DDL)
+        met = asked.groupBy("part").cogroup(model.rest.groupBy("part")).applyInArrow(_looked_up, "_id bigint, _h bigint, n_words bigint, t double, b double")
+        sums = met.groupBy("_id", "_h").agg(F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), *(F.sum(k).alias(k) for k in "tb"))
+        summed.append(stage_alone(sums, new_run_dir(spark, "scored")))
+    found = reduce(DataFrame.unionByName, summed).unionByName(
+        model.once.select("_id", "_h", F.lit(0).cast("bigint").alias("copies"), F.lit(None).cast("bigint").alias("n_words"), "t", "b")
     )
-    parts = parts.unionByName(model.once.select("_id", "_h", F.lit(None).cast("bigint").alias("n_words"), "t", "b"))
     # Rows equal in id and text are one group and come back as often as they were.
-    summed = parts.groupBy("_id", "_h").agg(F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), *(F.sum(k).alias(k) for k in "tb"))
+    summed = found.groupBy("_id", "_h").agg(F.sum("copies").alias("copies"), F.max("n_words").alias("n_words"), *(F.sum(k).alias(k) for k in "tb"))
     mean = lambda k: F.when(F.col("n_words") > 0, F.col(k) / F.col("copies") / F.col("n_words"))
     scored = summed.select("_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return scored.select(

@@ -62,6 +62,17 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.parquet(path)
 
 
+def stage_alone(df: DataFrame, path: str) -> DataFrame:
+    """``stage``, and the shuffle files of that write go as soon as it ends, not when the driver collects its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return stage(df, path)
+    finally:
+        conf.set(name, before)
+
+
 def stage_bucketed(df: DataFrame, path: str, key: str, order: str, buckets: int) -> DataFrame:
     """Write ``df`` in ``buckets`` files by hash of ``key``, each sorted by (key, order), and read it back.
 
